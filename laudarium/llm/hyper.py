@@ -10,6 +10,7 @@ import numpy as np
 
 DIMENSIONS = 2048
 GRAMS = (1, 2, 3)
+WHOLE = 3
 SEED = 20_000_003
 #: n-grams whose scores a worker keeps before it starts again.
 KEPT = 400_000
@@ -23,8 +24,9 @@ def words(text: str) -> list[str]:
 
 
 def grams(word: str) -> list[str]:
+    """The n-grams of a word with the blanks around it, and the word itself, WHOLE times: names, in any language, share n-grams."""
     said = f" {word} "
-    return [said[i : i + n] for n in GRAMS for i in range(len(said) - n + 1) if said[i : i + n] != " "]
+    return [said[i : i + n] for n in GRAMS for i in range(len(said) - n + 1) if said[i : i + n] != " "] + [said] * WHOLE
 
 
 _letter_vectors: dict[str, np.ndarray] = {}
@@ -120,14 +122,14 @@ def fitted(labelled: Iterable[tuple[str, str]], languages: Sequence[str], rounds
     for i, (_, said) in enumerate(texts):
         x[i] = vectors[[place[w] for w in said]].sum(axis=0)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    covariance = (x.T @ x).astype(np.float64) / len(texts)
-    covariance[np.diag_indices(DIMENSIONS)] += ridge
     labels = np.array([k for k, _ in texts])
     for _ in range(rounds):
-        y = np.eye(len(languages))[labels]
-        bundles = (x.T @ y.astype(np.float32)) / np.maximum(y.sum(axis=0), 1)
-        prototypes = np.linalg.solve(covariance, bundles.astype(np.float64)).T
-        prototypes *= (y.mean(axis=0) > 0)[:, None] * np.maximum(y.mean(axis=0), 1e-9)[:, None]
+        y = np.eye(len(languages), dtype=np.float32)[labels]
+        weight = y @ (1 / np.maximum(y.sum(axis=0), 1)) / len(languages)  # every language as much as any other
+        weighted = (x * weight[:, None]).T
+        covariance = (weighted @ x).astype(np.float64)
+        covariance[np.diag_indices(DIMENSIONS)] += ridge
+        prototypes = np.linalg.solve(covariance, (weighted @ y).astype(np.float64)).T
         now = np.argmax(x @ prototypes.T.astype(np.float32), axis=1)
         if (now == labels).all():
             break

@@ -49,7 +49,7 @@ TABLES: dict[str, list[Rule]] = {
         (KEEP, _short("Nr|lt|Art|bzw|St|Hr|Hrn|Dr|Se|Exz|Fr|Frh|Prof|d\\. h|z\\. B|v|vgl|Abs|Bd|ca|geb|gest|hl|S|u\\. a"), r"\s*\S"),
     ],
     "fr": [(KEEP, _short("M|MM|Mgr|Mme|Mlle|St|Ste|S\\. E|chap|art|av|apr|cf|fol|p|p\\. ex|vol|ch|env"), r"\s*\S")],
-    "la": [(KEEP, _short("fol|f|art|cap|lib|cf|v|D|Dns|R\\. P|S|S\\. R\\. M|Rev|Ill|Magn|Gen|sc|i\\. e|N"), r"\s*\S")],
+    "la": [(KEEP, _short("fol|f|art|cap|lib|cf|v|D|Dns|dns|R\\. P|S|S\\. R\\. M|Rev|Ill|Magn|Gen|sc|i\\. e|N"), r"\s*\S")],
     "pl": [
         (
             KEEP,
