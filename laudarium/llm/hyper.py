@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Sequence
@@ -61,47 +62,58 @@ class Profiles:
     def __init__(self, languages: Sequence[str], prototypes: np.ndarray) -> None:
         self.languages = tuple(languages)
         self.own = prototypes / max(np.linalg.norm(prototypes, axis=1).mean(), 1e-9)
-        self._of: dict[str, np.ndarray] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self._at: dict[str, int] = {}
         self._of_gram: dict[str, np.ndarray] = {}
+        self._rows = np.zeros((1024, len(self.languages) + 1))
 
     def __reduce__(self):
         return _restored, (self.languages, self.own.astype(np.float32))
 
-    def of(self, word: str) -> np.ndarray:
-        """Products of a word's bundled n-grams with the prototypes; they add up over the words of a text."""
-        if (s := self._of.get(word)) is None:
-            if len(self._of) >= KEPT:
-                self._of.clear()
-                self._of_gram.clear()
-            s = np.zeros(len(self.languages))
-            for g in grams(word):
-                if (x := self._of_gram.get(g)) is None:
-                    x = self._of_gram[g] = self.own @ gram_vector(g)
-                s = s + x
-            self._of[word] = s
-        return s
-
-    def cosines(self, said: Sequence[str]) -> np.ndarray:
-        """Cosines of a text, given as its words, with the prototypes; zeros if it has no words."""
-        if not said:
-            return np.zeros(len(self.languages))
-        counts = Counter(g for w in said for g in grams(w))
-        norm = np.sqrt(DIMENSIONS * sum(n * n for n in counts.values()))  # vectors of different n-grams are all but orthogonal
-        return np.sum([self.of(w) for w in said], axis=0) / norm
+    def _add(self, word: str) -> int:
+        """A word's bundled n-grams times the prototypes, and the square of its length."""
+        counts = Counter(grams(word))
+        row = np.zeros(len(self.languages) + 1)
+        for g, n in counts.items():
+            if (x := self._of_gram.get(g)) is None:
+                x = self._of_gram[g] = self.own @ gram_vector(g)
+            row[:-1] += n * x
+        row[-1] = DIMENSIONS * sum(n * n for n in counts.values())  # vectors of different n-grams are all but orthogonal
+        at = self._at[word] = len(self._at)
+        if at >= len(self._rows):
+            self._rows = np.vstack([self._rows, np.zeros_like(self._rows)])
+        self._rows[at] = row
+        return at
+
+    def rows(self, said: Sequence[str]) -> np.ndarray:
+        """For each word its products with the prototypes and, last, the square of its length; they add up over the words of a text."""
+        if len(self._at) + len(said) > KEPT:
+            self._empty()
+        at = self._at
+        places = [at[w] if w in at else self._add(w) for w in said]
+        return self._rows[places] if places else np.zeros((0, len(self.languages) + 1))
+
+
+def cosines(total: np.ndarray) -> np.ndarray:
+    """Cosines of a text with the prototypes from the sum of its words' rows."""
+    return total[:-1] / max(total[-1], 1.0) ** 0.5
 
 
 def _restored(languages: Sequence[str], own: np.ndarray) -> Profiles:
     out = Profiles.__new__(Profiles)
-    out.languages, out.own, out._of, out._of_gram = tuple(languages), own.astype(np.float64), {}, {}
+    out.languages, out.own = tuple(languages), own.astype(np.float64)
+    out._empty()
     return out
 
 
-def confidence(cosines: np.ndarray) -> float:
+def confidence(of: np.ndarray) -> float:
     """Between 0 and 1: how far the best cosine stands above the next, through a logistic curve."""
-    if not cosines.any():
-        return 0.0
-    two = np.sort(cosines)[-2:]
-    return float(1 / (1 + np.exp(-12 * (two[1] - two[0]))) * 2 - 1) if len(two) > 1 else 1.0
+    two = sorted(of.tolist())[-2:]
+    if len(two) < 2:
+        return 1.0
+    return math.tanh(6 * (two[1] - two[0]))
 
 
 def fitted(labelled: Iterable[tuple[str, str]], languages: Sequence[str], rounds: int = 3, ridge: float = 1e-3) -> Profiles:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from ..session import written
-from .hyper import DIMENSIONS, Profiles, confidence, fitted, words
+from .hyper import DIMENSIONS, KEPT, Profiles, confidence, cosines, fitted, words
 from .ocr import HYPHENS, line_kind, scanned
 from .sentences import sentence_starts
 from .tokens import TOKENS_PER_BLOCK
@@ -27,8 +27,11 @@ SECTIONS, PARAGRAPHS, CHARACTERS = 150, 20, 2000
 #: Words (of Chinese, characters) that make a stretch.
 STRETCH = 6
 #: A run of STRETCH words in a sentence that speaks so much more for another language has the sentence divided.
-STRANGE, CHANGE = 3.0, 1.5
+STRANGE, CHANGE = 4.0, 1.5
+#: Below this a whole paragraph is of one language.
+FAMILIAR = 1.0
 
+_WORDS = re.compile(r"[㐀-鿿]|[^\W\d_]+")
 _JOINED = re.compile(rf"(?<=\w)[{re.escape(HYPHENS)}]\s*\n\s*(?=[^\W\d_])")
 
 
@@ -56,14 +59,17 @@ def plain_text(rows: DataFrame, editions: DataFrame) -> DataFrame:
     return scans.unionByName(other)
 
 
-def section_profiles(text: DataFrame, labels: DataFrame) -> Profiles:
+def section_profiles(rows: DataFrame, labels: DataFrame, editions: DataFrame) -> Profiles:
     """Profiles from a bounded sample: for each language the SECTIONS sections with the smallest hash whose label names it alone."""
     named = labels.where("section_id is not null").select("section_id", label_names(F.col("lang_label")).alias("named")).where(F.size("named") == 1).select("section_id", F.col("named")[0].alias("lang"))
+    by_hash = F.struct(F.xxhash64("section_id").alias("hash"), "section_id")
     picked = None
     for lang in LANGUAGES:
-        some = named.where(F.col("lang") == lang).orderBy(F.xxhash64("section_id"), "section_id").limit(SECTIONS)
+        some = named.where(F.col("lang") == lang).orderBy(by_hash).limit(SECTIONS)
         picked = some if picked is None else picked.unionByName(some)
-    sample = text.where(F.col("par_n") <= PARAGRAPHS).join(picked, "section_id").select("lang", F.substring("text", 1, CHARACTERS).alias("text")).collect()
+    picked = written(picked, "picked")
+    text = plain_text(rows.where(F.col("par_n") <= PARAGRAPHS).join(picked, "section_id", "left_semi"), editions)
+    sample = text.join(picked, "section_id").select("lang", F.substring("text", 1, CHARACTERS).alias("text")).collect()
     out = []
     for r in sample:
         starts = sentence_starts(r["text"])
@@ -72,55 +78,84 @@ def section_profiles(text: DataFrame, labels: DataFrame) -> Profiles:
 
 
 def _n_words(text: str, lang: str) -> int:
-    return len(re.findall(r"[㐀-鿿]", text)) if lang == "zh" else len([w for w in text.split() if any(ch.isalnum() for ch in w)])
-
-
-def _divided(text: str, profiles: Profiles) -> list[tuple[int, int, int]]:
-    """(start, end, language) of the parts of a sentence: one, unless some run of words clearly speaks for another language."""
-    places = [m.span() for m in re.finditer(r"[㐀-鿿]|[^\W\d_]+", text)]
-    if not places:
-        return [(0, len(text), -1)]
-    said = np.array([profiles.of(text[a:b].lower()) for a, b in places]) / DIMENSIONS**0.5
-    main = int(np.argmax(said.sum(axis=0)))
-    if len(places) > STRETCH:
-        sums = np.vstack([np.zeros(said.shape[1]), np.cumsum(said, axis=0)])
-        runs = sums[STRETCH:] - sums[:-STRETCH]
-        if (runs.max(axis=1) - runs[:, main]).max() > STRANGE:
-            best, back = said[0].copy(), []
-            for s in said[1:]:
-                change = best.max() - CHANGE
-                back.append(np.where(best >= change, np.arange(len(best)), int(best.argmax())))
-                best = np.maximum(best, change) + s
-            of = [int(best.argmax())]
-            for b in reversed(back):
-                of.append(int(b[of[-1]]))
-            of.reverse()
-            out = []
-            for (a, _), k in zip(places, of):
-                if out and out[-1][2] == k:
-                    continue
-                if out:
-                    out[-1] = (out[-1][0], a, out[-1][2])
-                out.append((a if out else 0, len(text), k))
-            return out
-    return [(0, len(text), main)]
+    return len(re.findall(r"[㐀-鿿]", text)) if lang == "zh" else sum(1 for w in text.split() if w.isalnum() or any(map(str.isalnum, w)))
 
 
-def stretches_of(text: str, profiles: Profiles) -> list[tuple[int, int, str, int, float]]:
-    """(start, end, lang, words, confidence) of the stretches of one language; what has no words goes with what is before it."""
+def _states(said: np.ndarray) -> list[int]:
+    """The language of each word: the best way through the words, where a change of language costs CHANGE."""
+    best, back = said[0].copy(), []
+    for s in said[1:]:
+        change = best.max() - CHANGE
+        back.append(np.where(best >= change, np.arange(len(best)), int(best.argmax())))
+        best = np.maximum(best, change) + s
+    of = [int(best.argmax())]
+    for b in reversed(back):
+        of.append(int(b[of[-1]]))
+    return of[::-1]
+
+
+def _strange(sums: np.ndarray, main: int) -> float:
+    """How much more some run of STRETCH words speaks for another language than for the main one."""
+    if len(sums) <= STRETCH + 1:
+        return 0.0
+    runs = sums[STRETCH:] - sums[:-STRETCH]
+    return float((runs.max(axis=1) - runs[:, main]).max())
+
+
+def _parts(text: str, places: list[tuple[int, int]], sums: np.ndarray) -> list[list[int]]:
+    """(start, end, language, first word, last word + 1) of a text of several languages: sentence by sentence, and within a sentence where a run is strange."""
     starts = sentence_starts(text)
     parts: list[list[int]] = []
+
+    def add(a: int, b: int, k: int, i: int, j: int) -> None:
+        if parts and (k == -1 or parts[-1][2] in (k, -1)):
+            parts[-1] = [parts[-1][0], b, max(k, parts[-1][2]), parts[-1][3], j]
+        else:
+            parts.append([a, b, k, i, j])
+
+    i = 0
     for a, b in zip(starts, [*starts[1:], len(text)]):
-        for x, y, k in _divided(text[a:b], profiles):
-            if parts and (k == -1 or parts[-1][2] in (k, -1)):
-                parts[-1] = [parts[-1][0], a + y, max(k, parts[-1][2])]
-            else:
-                parts.append([a + x, a + y, k])
+        j = i
+        while j < len(places) and places[j][0] < b:
+            j += 1
+        if i == j:
+            add(a, b, -1, i, j)
+            continue
+        own = sums[i : j + 1]
+        main = int((own[-1] - own[0]).argmax())
+        if _strange(own, main) <= STRANGE:
+            add(a, b, main, i, j)
+        else:
+            at, from_ = a, i
+            of = _states(np.diff(own, axis=0))
+            for n in range(1, len(of) + 1):
+                if n == len(of) or of[n] != of[n - 1]:
+                    end = b if n == len(of) else places[i + n][0]
+                    add(at, end, of[n - 1], from_, i + n)
+                    at, from_ = end, i + n
+        i = j
+    return parts
+
+
+def stretches_of(text: str, profiles: Profiles) -> list[tuple[int, int, str, int, float]]:
+    """(start, end, lang, words, confidence) of the stretches of one language; what has no words goes with what is before it.
+
+    A text none of whose runs of words is strange to its language is one stretch; only others are taken apart.
+    """
+    found = list(_WORDS.finditer(text))
+    if not found:
+        return []
+    places = [m.span() for m in found]
+    rows = profiles.rows([m.group().lower() for m in found])
+    totals = np.vstack([np.zeros(rows.shape[1]), np.cumsum(rows, axis=0)])
+    sums = totals[:, :-1] / DIMENSIONS**0.5
+    main = int(sums[-1].argmax())
+    parts = [[0, len(text), main, 0, len(places)]] if _strange(sums, main) <= FAMILIAR else _parts(text, places, sums)
     out = []
-    for a, b, k in parts:
+    for a, b, k, i, j in parts:
         if k >= 0:
             lang = profiles.languages[k]
-            out.append((a, b, lang, _n_words(text[a:b], lang), confidence(profiles.cosines(words(text[a:b])))))
+            out.append((a, b, lang, _n_words(text[a:b], lang), confidence(cosines(totals[j] - totals[i]))))
     return out
 
 
@@ -142,8 +177,7 @@ def stretches(rows: DataFrame, labels: DataFrame, editions: DataFrame) -> DataFr
     Places are those in the plain text, of scanned rows without headers and numbers. Null, empty and wordless
     paragraphs have no stretches; rows without section or place are taken as they are; copies count once.
     """
-    text = plain_text(rows, editions)
-    return text.where("text <> ''").mapInPandas(_stretches(section_profiles(text, labels)), _STRETCH)
+    return plain_text(rows, editions).where("text <> ''").mapInPandas(_stretches(section_profiles(rows, labels, editions)), _STRETCH)
 
 
 def section_languages(found: DataFrame, labels: DataFrame) -> DataFrame:
@@ -155,10 +189,19 @@ def section_languages(found: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _token_score(profiles: Profiles):
+    known: dict[str | None, float] = {None: 0.0}
+
     @arrow_udf(T.DoubleType())
     def score(forms: pa.Array) -> pa.Array:
         coded = forms.dictionary_encode()
-        of = [float(s[0] - s[1]) for s in (sum((profiles.of(w) for w in words(f)), np.zeros(2)) for f in coded.dictionary.to_pylist())]
+        of = []
+        for f in coded.dictionary.to_pylist():
+            if (x := known.get(f)) is None:
+                if len(known) > KEPT:
+                    known.clear()
+                total = profiles.rows(words(f)).sum(axis=0)
+                x = known[f] = float(total[0] - total[1])
+            of.append(x)
         return pa.array(of, pa.float64()).take(coded.indices).fill_null(0.0)
 
     return score

@@ -72,7 +72,7 @@ def _cascade(languages: Sequence[str]) -> list[tuple[bool, regex.Pattern, regex.
 
 
 _PLACE = regex.compile(r"[.!?…։。！？]+[)\]]*")
-_WINDOW = 40  # characters before a place that a rule may look at
+_WINDOW = 16  # characters before a place that a rule may look at
 
 
 def _speeches(text: str) -> list[tuple[int, int]]:
