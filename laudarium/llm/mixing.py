@@ -13,7 +13,7 @@ RANGES = 4096
 
 
 def _name(c: str):
-    return F.lower(F.regexp_replace(c, r"^[\s ]+|[\s ]+$", ""))
+    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
 def sized(documents: DataFrame, seed: int, vocabulary: str) -> DataFrame:

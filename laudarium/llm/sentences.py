@@ -38,11 +38,11 @@ TABLES: dict[str, list[Rule]] = {
     ],
     "lower": [(KEEP, r"[.!?…]$", r"\s*[—–-]?\s*\p{Ll}")],
     "ends": [
-        (BREAK, _short("itd|itp|etc|usw|u\\. s\\. w|т\\. д|т\\. п|і т\\. д|і т\\. ін"), r"\s+\S"),
-        (BREAK, r"\p{N}{3,4}\s+[rр]\.$", r"\s+\S"),
-        (BREAK, r"(?:\bwyż\.\s*wsp|\bp\.\s*ex|\bv\.\s*fol|\bA\.\s*D)\.$", r"\s+\p{Lu}"),  # as above, for example, see the folio: they end what refers back
-        (BREAK, r"(?:fol|f|арк|k)\.\s+\p{N}+\s+[vr]\.$", r"\s+\S"),
-        (BREAK, r"(?:rozdz|art|Art|chap|cap|t|ks)\.\s+[IVXLC]+\.$", r"\s+\S"),
+        (BREAK, _short("itd|itp|etc|usw|u\\. s\\. w|т\\. д|т\\. п|і т\\. д|і т\\. ін"), r"\s+\S|\p{Lu}"),
+        (BREAK, r"\p{N}{3,4}\s+[rр]\.$", r"\s+\S|\p{Lu}"),
+        (BREAK, r"(?:\bwyż\.\s*wsp|\bp\.\s*ex|\bv\.\s*fol|\bA\.\s*D)\.$", r"\s*\p{Lu}"),  # as above, for example, see the folio: they end what refers back
+        (BREAK, r"(?:fol|f|арк|k)\.\s+\p{N}+\s+[vr]\.$", r"\s+\S|\p{Lu}"),
+        (BREAK, r"(?:rozdz|art|Art|chap|cap|t|ks)\.\s+[IVXLC]+\.$", r"\s+\S|\p{Lu}"),
     ],
     "de": [
         (KEEP, r"(?<!\p{N})\p{N}{1,2}\.$", r"\s+(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Jahrhundert|Jh|Tag)"),
