@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Sequence
+from functools import lru_cache
 
 import numpy as np
 
@@ -40,11 +41,16 @@ def _letter(ch: str) -> np.ndarray:
     return v
 
 
+@lru_cache(1 << 12)
+def _rolled(ch: str, places: int) -> np.ndarray:
+    return np.roll(_letter(ch), places)
+
+
 def gram_vector(gram: str) -> np.ndarray:
     """The letters of an n-gram, each permuted (rolled) by its place from the end, multiplied."""
     out = np.ones(DIMENSIONS, np.int8)
     for k, ch in enumerate(gram):
-        out = out * np.roll(_letter(ch), len(gram) - 1 - k)
+        out = out * _rolled(ch, len(gram) - 1 - k)
     return out
 
 
@@ -68,18 +74,19 @@ class Profiles:
         self._at: dict[str, int] = {}
         self._of_gram: dict[str, np.ndarray] = {}
         self._rows = np.zeros((1024, len(self.languages) + 1))
+        self.kept: dict[str, float] = {}  # scores that a caller keeps
 
     def __reduce__(self):
-        return _restored, (self.languages, self.own.astype(np.float32))
+        return _restored, (self.languages, self.own.astype(np.float32).tobytes())
 
     def _add(self, word: str) -> int:
         """A word's bundled n-grams times the prototypes, and the square of its length."""
         counts = Counter(grams(word))
         row = np.zeros(len(self.languages) + 1)
-        for g, n in counts.items():
-            if (x := self._of_gram.get(g)) is None:
-                x = self._of_gram[g] = self.own @ gram_vector(g)
-            row[:-1] += n * x
+        for g in counts:
+            if g not in self._of_gram:
+                self._of_gram[g] = self.own @ gram_vector(g)
+        row[:-1] = np.fromiter(counts.values(), float, len(counts)) @ np.array([self._of_gram[g] for g in counts])
         row[-1] = DIMENSIONS * sum(n * n for n in counts.values())  # vectors of different n-grams are all but orthogonal
         at = self._at[word] = len(self._at)
         if at >= len(self._rows):
@@ -101,9 +108,11 @@ def cosines(total: np.ndarray) -> np.ndarray:
     return total[:-1] / max(total[-1], 1.0) ** 0.5
 
 
-def _restored(languages: Sequence[str], own: np.ndarray) -> Profiles:
+@lru_cache(4)
+def _restored(languages: tuple[str, ...], own: bytes) -> Profiles:
+    """One object in each Python worker, so that what it has learnt of words serves the next task as well."""
     out = Profiles.__new__(Profiles)
-    out.languages, out.own = tuple(languages), own.astype(np.float64)
+    out.languages, out.own = languages, np.frombuffer(own, np.float32).astype(np.float64).reshape(len(languages), DIMENSIONS)
     out._empty()
     return out
 

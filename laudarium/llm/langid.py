@@ -189,11 +189,9 @@ def section_languages(found: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _token_score(profiles: Profiles):
-    known: dict[str | None, float] = {None: 0.0}
-
     @arrow_udf(T.DoubleType())
     def score(forms: pa.Array) -> pa.Array:
-        coded = forms.dictionary_encode()
+        coded, known = forms.dictionary_encode(), profiles.kept
         of = []
         for f in coded.dictionary.to_pylist():
             if (x := known.get(f)) is None:
