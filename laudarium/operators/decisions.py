@@ -98,4 +98,5 @@ def replay(sections: DataFrame, decisions: DataFrame) -> DataFrame:
     """
     plain = decisions.where("decision_type in ('split_sections', 'merge_sections')").select("decision_n", "decision_type", "pagenum", "from_title", "preceding_fragm", "following_fragm", "new_section_type")
     known = plain.join(sections.select("edition", F.col("page_n").alias("pagenum")).distinct(), "pagenum") if "edition" not in decisions.columns else plain.join(decisions.select("decision_n", "edition"), "decision_n")
-    return sections.groupBy("edition").cogroup(known.groupBy("edition")).applyInPandas(lambda s, d: _replayed(s, d) if len(s) else s, PARAGRAPH)
+    known = known.withColumnRenamed("edition", "of")
+    return sections.groupBy("edition").cogroup(known.groupBy("of")).applyInPandas(lambda s, d: _replayed(s, d) if len(s) else s, PARAGRAPH)

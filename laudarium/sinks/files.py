@@ -10,7 +10,7 @@ INDEXED = ["book_title", "inbook_section_id", "inbook_document_id", "scan_page",
 
 def date_tuple(date):
     """A date as (d, m, y), no date as False: how editions keep it."""
-    return F.coalesce(F.format_string("(%d, %d, %d)", F.dayofmonth(date), F.month(date), F.year(date)), F.lit("False"))
+    return F.when(date.isNull(), "False").otherwise(F.format_string("(%d, %d, %d)", F.dayofmonth(date), F.month(date), F.year(date)))
 
 
 def indexed_csv(rows: DataFrame, path: str) -> None:

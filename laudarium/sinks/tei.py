@@ -5,7 +5,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 XML, XI, NKJP = "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2001/XInclude", "http://www.nkjp.pl/ns/1.0"
@@ -185,20 +185,19 @@ def corpus_files(sections: DataFrame, config: dict, corpus: str) -> DataFrame:
     """
     with_parse = "parsed" in sections.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_dict("records"):
-                section = r | {"paragraphs": [(p["page"], p["text"]) for p in r["paragraphs"]]}
+            paths, files = [], []
+            for r in batch.to_pylist():
+                section = r | {"paragraphs": [(p["page"], p["text"]) for p in r["paragraphs"] or []]}
                 if not section["paragraphs"]:
                     continue
                 folder, n = f"{corpus}/{r['section_n']}", int(r["section_n"]) + 1
-                rows.append((f"{folder}/text.xml", _string(raw_text(section, config, note_n=n))))
-                rows.append((f"{folder}/header.xml", _string(header(section, config, corpus, r["convent_location"], n))))
+                made = {"text.xml": raw_text(section, config, note_n=n), "header.xml": header(section, config, corpus, r["convent_location"], n)}
                 if with_parse and r["parsed"] is not None:
-                    parsed = [[[dict(t) | {"interps": list(t["interps"])} for t in s] for s in p] for p in r["parsed"]]
-                    rows.append((f"{folder}/ann_segmentation.xml", _string(segmentation(parsed))))
-                    rows.append((f"{folder}/ann_morphosyntax.xml", _string(morphosyntax(parsed))))
-            yield pd.DataFrame(rows, columns=["path", "xml"])
+                    made |= {"ann_segmentation.xml": segmentation(r["parsed"]), "ann_morphosyntax.xml": morphosyntax(r["parsed"])}
+                paths += [f"{folder}/{name}" for name in made]
+                files += map(_string, made.values())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(files, pa.string())], names=["path", "xml"])
 
-    return sections.mapInPandas(run, "path string, xml string")
+    return sections.mapInArrow(run, "path string, xml string")
