@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,20 +42,29 @@ def label_names(label: Column) -> Column:
     return F.array_distinct(F.filter(named, lambda x: x.isin(*LANGUAGES)))
 
 
+def _plain(text: str, title: str | None, page: int | None, scan: bool) -> str:
+    if scan:
+        lines = [x for x in text.split("\n") if x.strip() and not any(line_kind(x, title, page))]
+        text = _JOINED.sub("", "\n".join(lines))
+    return text.replace("\n", " ")
+
+
 @arrow_udf(T.StringType())
-def _text_of(texts: pa.Array, titles: pa.Array, pages: pa.Array) -> pa.Array:
-    out = []
-    for text, title, page in zip(texts.to_pylist(), titles.to_pylist(), pages.to_pylist()):
-        lines = [x for x in (text or "").split("\n") if x.strip() and not any(line_kind(x, title, page))]
-        out.append(_JOINED.sub("", "\n".join(lines)).replace("\n", " "))
-    return pa.array(out, pa.string())
+def _text_of(texts: pa.Array, titles: pa.Array, pages: pa.Array, scans: pa.Array) -> pa.Array:
+    return pa.array(map(_plain, texts.to_pylist(), titles.to_pylist(), pages.to_pylist(), scans.to_pylist()), pa.string())
+
+
+def _paragraphs(rows: DataFrame, editions: DataFrame) -> DataFrame:
+    """(section_id, par_n, paragraph, book_title, page, scan) without copies."""
+    keep = ["section_id", "par_n", "paragraph", "book_title"]
+    scans = scanned(rows, editions).select(*keep, "page", F.lit(True).alias("scan"))
+    other = rows.where("paragraph is not null and (scan_page < 0 or scan_page is null)").select(*keep[:3]).distinct()
+    return scans.unionByName(other.withColumns({"book_title": F.lit(None).cast("string"), "page": F.lit(None).cast("int"), "scan": F.lit(False)}))
 
 
 def plain_text(rows: DataFrame, editions: DataFrame) -> DataFrame:
     """(section_id, par_n, text) without copies; scanned rows without header and number lines, their lines joined."""
-    scans = scanned(rows, editions).select("section_id", "par_n", _text_of("paragraph", "book_title", "page").alias("text"))
-    other = rows.where("paragraph is not null and (scan_page < 0 or scan_page is null)").select("section_id", "par_n", F.translate("paragraph", "\n", " ").alias("text")).distinct()
-    return scans.unionByName(other)
+    return _paragraphs(rows, editions).select("section_id", "par_n", _text_of("paragraph", "book_title", "page", "scan").alias("text"))
 
 
 def section_profiles(rows: DataFrame, labels: DataFrame, editions: DataFrame) -> Profiles:
@@ -123,11 +131,11 @@ def _parts(text: str, places: list[tuple[int, int]], sums: np.ndarray) -> list[l
             continue
         own = sums[i : j + 1]
         main = int((own[-1] - own[0]).argmax())
-        if _strange(own, main) <= STRANGE:
+        if _strange(own, main) <= STRANGE * _UNIT:
             add(a, b, main, i, j)
         else:
             at, from_ = a, i
-            of = _states(np.diff(own, axis=0))
+            of = _states(np.diff(own, axis=0) / _UNIT)
             for n in range(1, len(of) + 1):
                 if n == len(of) or of[n] != of[n - 1]:
                     end = b if n == len(of) else places[i + n][0]
@@ -142,17 +150,21 @@ def stretches_of(text: str, profiles: Profiles) -> list[tuple[int, int, str, int
 
     A text none of whose runs of words is strange to its language is one stretch; only others are taken apart.
     """
-    found = list(_WORDS.finditer(text))
-    if not found:
+    said = _WORDS.findall(text.lower())
+    if not said:
         return []
-    places = [m.span() for m in found]
-    rows = profiles.rows([m.group().lower() for m in found])
-    totals = np.vstack([np.zeros(rows.shape[1]), np.cumsum(rows, axis=0)])
-    sums = totals[:, :-1] / DIMENSIONS**0.5
-    main = int(sums[-1].argmax())
-    parts = [[0, len(text), main, 0, len(places)]] if _strange(sums, main) <= FAMILIAR else _parts(text, places, sums)
+    rows = profiles.rows(said)
+    totals = np.zeros((len(rows) + 1, rows.shape[1]))
+    np.cumsum(rows, axis=0, out=totals[1:])
+    main = int(totals[-1, :-1].argmax())
+    if _strange(totals[:, :-1], main) <= FAMILIAR * _UNIT:
+        lang = profiles.languages[main]
+        return [(0, len(text), lang, _n_words(text, lang), confidence(cosines(totals[-1])))]
+    places = [m.span() for m in _WORDS.finditer(text)]
+    if len(places) != len(said):  # a letter whose small form is not one letter
+        totals = np.vstack([np.zeros(rows.shape[1]), np.cumsum(profiles.rows([text[a:b].lower() for a, b in places]), axis=0)])
     out = []
-    for a, b, k, i, j in parts:
+    for a, b, k, i, j in _parts(text, places, totals[:, :-1]):
         if k >= 0:
             lang = profiles.languages[k]
             out.append((a, b, lang, _n_words(text[a:b], lang), confidence(cosines(totals[j] - totals[i]))))
@@ -160,14 +172,20 @@ def stretches_of(text: str, profiles: Profiles) -> list[tuple[int, int, str, int
 
 
 def _stretches(profiles: Profiles):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(s, p, n, *x) for s, p, t in zip(batch["section_id"], batch["par_n"], batch["text"]) for n, x in enumerate(stretches_of(t, profiles), 1)]
-            yield pd.DataFrame(rows, columns=["section_id", "par_n", "stretch_n", "start", "end", "lang", "n_words", "confidence"]).astype({"section_id": "Int64", "par_n": "Int32"})
+            out: list[list] = [[] for _ in _COLUMNS]
+            for section, par, *given in zip(*(c.to_pylist() for c in batch.columns)):
+                for n, row in enumerate(stretches_of(_plain(*given), profiles), 1):
+                    for column, x in zip(out, (section, par, n, *row)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _COLUMNS.values())], names=list(_COLUMNS))
 
     return run
 
 
+_COLUMNS = {"section_id": pa.int64(), "par_n": pa.int32(), "stretch_n": pa.int32(), "start": pa.int32(), "end": pa.int32(), "lang": pa.string(), "n_words": pa.int32(), "confidence": pa.float64()}
+_UNIT = DIMENSIONS**0.5
 _STRETCH = "section_id long, par_n int, stretch_n int, start int, end int, lang string, n_words int, confidence double"
 
 
@@ -177,7 +195,8 @@ def stretches(rows: DataFrame, labels: DataFrame, editions: DataFrame) -> DataFr
     Places are those in the plain text, of scanned rows without headers and numbers. Null, empty and wordless
     paragraphs have no stretches; rows without section or place are taken as they are; copies count once.
     """
-    return plain_text(rows, editions).where("text <> ''").mapInPandas(_stretches(section_profiles(rows, labels, editions)), _STRETCH)
+    given = _paragraphs(rows, editions).where("paragraph <> ''").select("section_id", "par_n", "paragraph", "book_title", "page", "scan")
+    return given.mapInArrow(_stretches(section_profiles(rows, labels, editions)), _STRETCH)
 
 
 def section_languages(found: DataFrame, labels: DataFrame) -> DataFrame:
