@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from ..session import written
+
 # Letters of other scripts drawn like a Latin letter, each after its prototype.
 LOOK_ALIKES = {
     "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈͿᎫ", "K": "ΚКᏦK",
@@ -136,7 +138,7 @@ def look_alike_pairs(documents: DataFrame, *, key: str = "doc_id", text: str = "
     made; other pairs are made between the different texts of a class and then given to their documents, so
     exact copies never meet each other.
     """
-    rows = look_classes(documents, key=key, text=text)
+    rows = written(look_classes(documents, key=key, text=text), "looks")  # digests in place of texts
     several = rows.groupBy("look").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).where("lo <> hi").select("look")
     members = rows.join(several, "look", "left_semi")
     texts = members.select("look", "exact").distinct()
