@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import interp_str
 
-_PLACE = F.struct
-
 
 def basic_stats(tokens: DataFrame) -> DataFrame:
     """(subset, stat, n): sections, tokens and tokens by flag, titles included; flags that never occur have no row.
@@ -82,6 +80,6 @@ def rule_lifetimes(rules: DataFrame) -> DataFrame:
 def rules_dropped(rules: DataFrame) -> DataFrame:
     """(year, rule): rules of the year that the table knows before it, which no longer hold."""
     held = rules.where("rule is not null and year is not null").select("rule", "year").distinct()
-    years = held.select("year").distinct()
-    following = years.alias("a").join(years.alias("b"), F.col("a.year") < F.col("b.year")).groupBy(F.col("a.year").alias("year")).agg(F.min("b.year").alias("next"))
+    years = held.select("year").distinct()  # a few hundred rows
+    following = years.select("year", F.lead("year").over(Window.orderBy("year")).alias("next")).where("next is not null")
     return held.join(following, "year").select(F.col("next").alias("year"), "rule").join(held, ["year", "rule"], "left_anti")

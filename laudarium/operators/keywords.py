@@ -39,7 +39,8 @@ def keyword_distribution(lemma_counts: DataFrame, keywords: DataFrame) -> DataFr
     """
     subsets = lemma_counts.select("subset").distinct()
     names = groups(keywords).select("keyword_category", "group_n", "first_lemma")
-    grid = subsets.withColumn("_1", F.lit(1)).join(keywords.where("lemma is not null").select("keyword_category", "group_n", "lemma_n", "lemma").withColumn("_1", F.lit(1)), "_1").drop("_1")
+    listed = keywords.where("lemma is not null").select("keyword_category", "group_n", "lemma_n", "lemma")
+    grid = subsets.crossJoin(F.broadcast(listed))  # a fixed table of keywords: every subset shows every group
     counts = grid.join(lemma_counts.select("subset", "lemma", "n"), ["subset", "lemma"], "left").na.fill(0, ["n"])
     total = F.sum("n").over(Window.partitionBy("subset", "keyword_category", "group_n"))
     return (

@@ -52,25 +52,27 @@ def segment(paragraphs: DataFrame, max_line: int = 200, max_heading: int = 300,
     at titles. A note comes after the document that was open when it stood, in the order of commits: a
     document is committed at the paragraph after the title of the next. An edition of notes alone gives nothing.
     """
-    place = ["page_n", "par_n"]
-    scored = paragraphs.withColumn("meta", meta_reason(F.col("text"), max_line).isNotNull())
-    by = Window.partitionBy("edition").orderBy(*place)
-    said = scored.where(~F.col("meta")).withColumn("score", heading_score(F.col("text"), max_heading, discount)).withColumn("next", F.lead(beginning_score(F.col("text"))).over(by))
-    title = F.col("next").isNotNull() & (F.col("score") + F.greatest(F.lit(0.0), F.col("next")) > 0)
-    titled = said.withColumn("title", title).withColumn("group", F.sum(title.cast("int")).over(by))
-    first = F.row_number().over(by) == 1
-    ordered = titled.withColumn("first", first).withColumn("commit", F.coalesce(F.lag(F.expr("title and not first")).over(by), F.lit(False)))
-    number = ordered.withColumn("document_n", F.dense_rank().over(Window.partitionBy("edition").orderBy("group")) - 1)
-    documents = number.select("edition", F.col("document_n").alias("seq"), F.lit(0).alias("note"), *place, F.when(F.col("title"), ocr_corrected(F.trim(ocr_corrected(F.col("text"))))).otherwise(F.col("text")).alias("text"), F.lit("document").alias("section_type"), F.lit(None).cast("int").alias("note_par"))
-    stops = number.select("edition", *place, F.col("commit").cast("int").alias("commit"), F.lit(False).alias("is_note"), F.lit(None).cast("string").alias("text"))
-    notes = scored.where("meta").select("edition", *place, F.lit(0).alias("commit"), F.lit(True).alias("is_note"), "text")
-    both = stops.unionByName(notes).withColumn("seq", F.coalesce(F.sum("commit").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    some = documents.select("edition").distinct()
-    noted = both.where("is_note").join(some, "edition", "left_semi").select("edition", F.col("seq").cast("int").alias("seq"), F.lit(1).alias("note"), *place, "text", F.lit("meta").alias("section_type"), F.col("par_n").alias("note_par"))
-    every = documents.unionByName(noted)
-    at = Window.partitionBy("edition").orderBy("seq", "note", *place)
-    new = F.when(F.col("note") == 1, True).otherwise(F.coalesce(F.lag(F.struct("seq", "note")).over(at) != F.struct("seq", "note"), F.lit(True)))
-    return every.withColumn("new", new.cast("int")).withColumn("section_n", F.sum("new").over(at) - 1).select("edition", F.col("section_n").cast("int").alias("section_n"), "section_type", *place, "text")
+    by = "partition by edition order by page_n, par_n"
+    text = F.col("text")
+    scored = paragraphs.select("edition", "page_n", "par_n", "text", meta_reason(text, max_line).isNotNull().alias("meta"), heading_score(text, max_heading, discount).alias("score"), beginning_score(text).alias("begin"))
+    return (
+        scored
+        # what follows looks past the notes: their values are null, and nulls are not counted
+        .withColumn("next", F.expr(f"lead(case when not meta then begin end) ignore nulls over ({by})"))
+        .withColumn("title", F.expr("case when not meta then next is not null and score + greatest(0D, next) > 0 end"))
+        .withColumn("said", F.expr(f"count(title) over ({by})"))
+        .withColumn("begins", F.expr("coalesce(title, false) and said > 1"))
+        .withColumn("document_n", F.expr(f"sum(int(begins)) over ({by})"))
+        .withColumn("commits", F.expr(f"not meta and coalesce(lag(case when not meta then begins end) ignore nulls over ({by}), false)"))
+        .withColumn("committed", F.expr(f"coalesce(sum(int(commits)) over ({by} rows between unbounded preceding and 1 preceding), 0)"))
+        .withColumn("some", F.expr("max(not meta) over (partition by edition)"))
+        .where("some")
+        .withColumn("seq", F.expr("case when meta then committed else document_n end"))
+        .withColumn("at", F.struct("seq", "meta"))
+        .withColumn("new", F.expr("meta or coalesce(lag(at) over (partition by edition order by seq, meta, page_n, par_n) <> at, true)"))
+        .withColumn("section_n", F.expr("cast(sum(int(new)) over (partition by edition order by seq, meta, page_n, par_n) - 1 as int)"))
+        .select("edition", "section_n", F.when(F.col("meta"), "meta").otherwise("document").alias("section_type"), "page_n", "par_n", F.when(F.col("title"), ocr_corrected(F.trim(ocr_corrected(text)))).otherwise(text).alias("text"))
+    )
 
 
 def merge_short(sections: DataFrame) -> DataFrame:

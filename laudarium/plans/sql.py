@@ -219,6 +219,14 @@ select book_title as edition, section_id as section_n, section_type, (row_number
   case when section_type = 'document' then (sum(case when section_type = 'document' then 1 else 0 end) over (partition by book_title order by section_id rows unbounded preceding) - 1)::int end as inbook_document_id
 from sections where book_title is not null""",
     "ocr_correct": _PARAGRAPHS + f"select distinct section_id, par_n, {_OCR} as text from paragraphs",
+    "joined_lines": _PARAGRAPHS
+    + r"""
+select distinct section_id, par_n, list_reduce(list_concat([''], string_split(paragraph, chr(10))), lambda a, l, i:
+  case when a = '' then ' ' || l
+    when right(a, 1) = '-' and lower(left(l, 1)) = left(l, 1) and upper(left(l, 1)) <> left(l, 1)
+      then left(a, length(a) - 1) || case when regexp_matches(l, ' [^aeikouwyz]$') then left(l, length(l) - 2) else l end
+    else a || ' ' || case when regexp_matches(l, ' [^aeikouwyz]$') then left(l, length(l) - 2) else l end end) as text
+from paragraphs""",
     "match_keys": _PARAGRAPHS + r"select distinct section_id, par_n, regexp_replace(paragraph, '[\s\x{00a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]|\\n', '', 'g') as match_key from paragraphs",
     "token_sentences": _TOKENS
     + """,
