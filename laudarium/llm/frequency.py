@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import delivered_once, term_of
+from .tokens import delivered_once, spelled, term_of
 
 #: Heavy terms that are counted in local arrays. A section's heavy terms are one BIGINT of bits.
 HEAVY = 64
@@ -72,10 +72,11 @@ def term_frequency(tokens: DataFrame, rare_below: int = 3, common_share: tuple[i
     section. Copies of a token count once. An empty table gives no rows; other columns are ignored.
     """
     spark = tokens.sparkSession
-    raw = _fields(tokens.select("section_id", "form", "lemma"))
-    top = raw.agg(F.expr(f"approx_top_k(term_field || ':' || term, {HEAVY}, 10000)").alias("top"))
+    raw = tokens.select(F.expr("stack(2, 'form', form, 'lemma', lemma) as (term_field, word)")).where("word is not null")
+    top = raw.agg(F.expr(f"approx_top_k(term_field || ':' || lower(word), {HEAVY}, 10000)").alias("top"))  # an estimate needs no exact spelling
     total = tokens.agg(F.count_distinct("section_id").alias("all_sections"))
-    keys = [tuple(x["item"].split(":", 1)) for x in (top.first()["top"] or [])]
+    named = [(field, spelled(word)) for field, word in (x["item"].split(":", 1) for x in (top.first()["top"] or []))]
+    keys = list(dict.fromkeys(k for k in named if k[1]))
     heavy = spark.createDataFrame([(f, t, i) for i, (f, t) in enumerate(keys)], "term_field string, term string, slot int")
     marked = _fields(delivered_once(tokens)).join(F.broadcast(heavy), ["term_field", "term"], "left")  # at most 64 rows
 

@@ -14,12 +14,16 @@ from pyspark.sql.functions import arrow_udf
 TOKENS_PER_BLOCK = 4096
 
 
+def spelled(word: str | None) -> str | None:
+    """Composed lower case without blanks around; what is blank is no term."""
+    return (normalize("NFC", normalize("NFC", word.strip()).lower()) or None) if word is not None else None
+
+
 @arrow_udf(T.StringType())
 def term_of(words: pa.Array) -> pa.Array:
     """Composed lower case without blanks around; what is blank becomes null."""
     coded = words.dictionary_encode()
-    spelled = [normalize("NFC", normalize("NFC", w.strip()).lower()) or None for w in coded.dictionary.to_pylist()]
-    return pa.array(spelled, pa.string()).take(coded.indices)
+    return pa.array(map(spelled, coded.dictionary.to_pylist()), pa.string()).take(coded.indices)
 
 
 def delivered_once(tokens: DataFrame) -> DataFrame:
