@@ -43,3 +43,19 @@ def html_report(sections: DataFrame) -> DataFrame:
     body = F.array_join(F.transform("paragraphs", lambda p: F.concat(F.lit("<p>"), safe(p), F.lit("</p>"))), "")
     document = F.concat(F.lit("<h4>"), safe(F.coalesce("title", F.lit(""))), F.lit("</h4>"), body)
     return sections.select("edition", "section_n", F.when(F.col("section_type") == "meta", note).otherwise(document).alias("html"))
+
+
+def save_texts(files: DataFrame, folder: str, content: str) -> None:
+    """Each row (path, content) as a file below a folder that all executors share; a row's file is written whole, then renamed."""
+
+    def write(rows) -> None:
+        import os
+
+        for row in rows:
+            target = os.path.join(folder, row["path"])
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            with open(target + ".part", "w", encoding="utf-8") as f:
+                f.write(row[content] or "")
+            os.replace(target + ".part", target)
+
+    files.select("path", content).foreachPartition(write)
