@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
@@ -13,6 +12,7 @@ import numpy as np
 DIMENSIONS = 2048
 GRAMS = (1, 2, 3)
 WHOLE = 3
+LONGEST = 40
 SEED = 20_000_003
 #: n-grams whose scores a worker keeps before it starts again.
 KEPT = 400_000
@@ -26,9 +26,12 @@ def words(text: str) -> list[str]:
 
 
 def grams(word: str) -> list[str]:
-    """The n-grams of a word with the blanks around it, and the word itself, WHOLE times: names, in any language, share n-grams."""
+    """The n-grams of a word with the blanks around it, and the word itself, WHOLE times: names, in any language, share n-grams.
+
+    A run of more than LONGEST letters is no word and counts by its n-grams alone.
+    """
     said = f" {word} "
-    return [said[i : i + n] for n in GRAMS for i in range(len(said) - n + 1) if said[i : i + n] != " "] + [said] * WHOLE
+    return [said[i : i + n] for n in GRAMS for i in range(len(said) - n + 1) if said[i : i + n] != " "] + [said] * (WHOLE if len(word) <= LONGEST else 0)
 
 
 _letter_vectors: dict[str, np.ndarray] = {}
@@ -72,26 +75,30 @@ class Profiles:
 
     def _empty(self) -> None:
         self._at: dict[str, int] = {}
-        self._of_gram: dict[str, np.ndarray] = {}
         self._rows = np.zeros((1024, len(self.languages) + 1))
+        self._gram_at: dict[str, int] = {}
+        self._gram_rows = np.zeros((1024, len(self.languages)))
         self.kept: dict[str, float] = {}  # scores that a caller keeps
 
     def __reduce__(self):
         return _restored, (self.languages, self.own.astype(np.float32).tobytes())
 
+    def _gram(self, gram: str) -> int:
+        at = self._gram_at[gram] = len(self._gram_at)
+        if at >= len(self._gram_rows):
+            self._gram_rows = np.vstack([self._gram_rows, np.zeros_like(self._gram_rows)])
+        self._gram_rows[at] = self.own @ gram_vector(gram)
+        return at
+
     def _add(self, word: str) -> int:
         """A word's bundled n-grams times the prototypes, and the square of its length."""
-        counts = Counter(grams(word))
-        row = np.zeros(len(self.languages) + 1)
-        for g in counts:
-            if g not in self._of_gram:
-                self._of_gram[g] = self.own @ gram_vector(g)
-        row[:-1] = np.fromiter(counts.values(), float, len(counts)) @ np.array([self._of_gram[g] for g in counts])
-        row[-1] = DIMENSIONS * sum(n * n for n in counts.values())  # vectors of different n-grams are all but orthogonal
+        parts, known = grams(word), self._gram_at
+        places = [known[g] if g in known else self._gram(g) for g in parts]
         at = self._at[word] = len(self._at)
         if at >= len(self._rows):
             self._rows = np.vstack([self._rows, np.zeros_like(self._rows)])
-        self._rows[at] = row
+        self._rows[at, :-1] = self._gram_rows[places].sum(axis=0)
+        self._rows[at, -1] = DIMENSIONS * (len(parts) + (WHOLE * WHOLE - WHOLE if len(word) <= LONGEST else 0))  # vectors of different n-grams are all but orthogonal
         return at
 
     def rows(self, said: Sequence[str]) -> np.ndarray:
