@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..functions import patterns
+
 _TOKENS = """
 with tokens as (select distinct section_id, book_title, par_n, tok_n, form, lemma, interp, proper_name, unknown_form, latin, corrected from parsed_tokens),
 books as (select distinct book_title, palatinate, convent_location from editions),
@@ -123,6 +125,35 @@ _OCR = "paragraph"
 for _from, _to in [("lnstru", "Instru"), ("rn ", "m "), ("ćm ", "em "), ("ćj ", "ej "), ("wv", "w"), ("^ ?@", "§"), ("^ ?%", "§"), ("^ ?&", "§"), ("^ ?ś ", "§ "), ("^ ?g ", "§ "), (" lmc", " Imc"), (" ct ", " et ")]:
     _OCR = f"regexp_replace({_OCR}, '{_from}', '{_to}', 'g')"
 
+
+
+def _like(column: str, pattern: str) -> str:
+    """A fixed pattern in RE2, whose classes are ASCII."""
+    plain = pattern.removeprefix("(?iu)").replace(r"[,\.\s]", r"[,\.@]").replace(r"\s", r"[@]").replace("@", r"\s\x{00a0}").replace(r"[^\w]", r"[^\p{L}\p{N}_]")
+    return f"regexp_matches({column}, '{plain.replace(chr(39), chr(39) * 2)}'{', ' + chr(39) + 'i' + chr(39) if pattern.startswith('(?iu)') else ''})"
+
+
+def _hits(column: str, given: list[str]) -> str:
+    return "(" + " + ".join(f"{_like(column, p)}::int" for p in given) + ")"
+
+
+_SCORED = (
+    _PARAGRAPHS
+    + f""",
+bare as (select p.*, replace(paragraph, '-', '') as b, coalesce(most, 300) as most from paragraphs p left join (select book_title, max(max_heading_len) as most from editions group by book_title) e on e.book_title = p.book_title),
+signs as (
+  select *, {_hits("b", patterns.HEADING_FIRST)} as first, {_hits("b", patterns.HEADING_SECOND)} as second, {_hits("b", patterns.HEADING_AGAINST)} as against, regexp_extract(b, '\\p{{L}}') as letter,
+    {" + ".join(f"starts_with(lower(paragraph), '{w}')::int" for w in patterns.OPENING_WORDS)} as at_start, {_like("paragraph", patterns.OPENING)} as opens
+  from bare),
+scored as (
+  select *, (first + (second - case when first = 0 then 1.5 else 0 end)) - (against * 0.6 + case when letter = '' or lower(letter) = letter then 1.0 else 0 end) - length(b) / 70.0 as raw,
+    case when opens or left(paragraph, 1) <> lower(left(paragraph, 1)) then -0.2 + 0.3 * (11 - at_start) / 11 else -0.5 end as beginning
+  from signs),
+titled as (
+  select section_id, first(paragraph order by (case when length(paragraph) < 15 or length(paragraph) > 300 then -1.5 else raw end) desc, par_n) as title from scored where par_n <= 3 and paragraph is not null group by section_id)
+"""
+)
+
 _STATS = ["all_docs", "all_tokens", "corrected_tokens", "unknown_form_tokens", "proper_name_tokens", "latin_tokens"]
 
 SQL: dict[str, str] = {
@@ -218,6 +249,17 @@ select book_title, island_n::int as island_n, max(section_id) as section_id, cou
 select book_title as edition, section_id as section_n, section_type, (row_number() over (partition by book_title order by section_id) - 1)::int as inbook_section_id,
   case when section_type = 'document' then (sum(case when section_type = 'document' then 1 else 0 end) over (partition by book_title order by section_id rows unbounded preceding) - 1)::int end as inbook_document_id
 from sections where book_title is not null""",
+    "heading_scores": _SCORED
+    + "select distinct section_id, par_n, round(case when length(paragraph) < 15 or length(paragraph) > most then -1.5 else raw end, 6)::double as score, round(beginning, 6)::double as beginning from scored",
+    "titles": _SCORED + "select section_id, title from titled",
+    "document_ids": _SCORED + "select s.section_id, title, pertinence = 'True' as pertinence from sections s left join titled t on t.section_id = s.section_id where section_type = 'document'",
+    "pertinence": _SCORED
+    + f""",
+held as (
+  select section_id, count(*) as n, max(case when par_n = 2 then paragraph end) as second, max(case when par_n = 3 then paragraph end) as third from paragraphs group by section_id)
+select held.section_id, case when n <= 1 then false when contains(second, 'sędziowie') then false when {_like("second", patterns.OPENING)} then true when {_like("third", patterns.OPENING)} then true
+  else coalesce({" or ".join(_like("title", p) for p in patterns.RESOLUTION_TITLES)}, false) end as pertinent
+from held left join titled t on t.section_id = held.section_id""",
     "ocr_correct": _PARAGRAPHS + f"select distinct section_id, par_n, {_OCR} as text from paragraphs",
     "joined_lines": _PARAGRAPHS
     + r"""
