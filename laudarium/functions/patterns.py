@@ -84,7 +84,3 @@ OPENING_WORDS = ["dygnitarze", "urzędnic", "rycerstw", "obywatel", "panow", "ws
 OCR_REPAIRS = [
     ("lnstru", "Instru"), ("rn ", "m "), ("ćm ", "em "), ("ćj ", "ej "), ("wv", "w"), ("^ ?@", "§"), ("^ ?%", "§"), ("^ ?&", "§"), ("^ ?ś ", "§ "), ("^ ?g ", "§ "), (" lmc", " Imc"), (" ct ", " et "),
 ]
-
-
-def length(text: Column) -> Column:
-    return F.length(text)
