@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,5 +62,25 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, once for each context.
+
+    A local session whose workers find it anyway (the current folder or PYTHONPATH holds it) is left alone.
+    """
+    context, package = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(context, "_laudarium_shipped", False):
+        return
+    context._laudarium_shipped = True
+    seen = {Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
+    if context.master.startswith("local[") and package.parent in seen or not package.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="laudarium-")) / "laudarium.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
