@@ -17,12 +17,20 @@ LANDMARK_EVERY = 256
 #: Paragraphs of a section that are cut as one group; a group's end is always a cut, between two paragraphs.
 GROUP_PARAGRAPHS = 256
 JOIN = "\n\n"
-#: Kinds of cut, from the most natural.
-PARAGRAPH, SENTENCE, BLANK, NONE = 0, 1, 2, 3
-KINDS = ("paragraph", "sentence", "blank", "none")
+#: Kinds of cut; NATURAL has those at a boundary of the text, from the most natural.
+PARAGRAPH, SENTENCE, BLANK, NONE, CLAUSE = 0, 1, 2, 3, 4
+KINDS = ("paragraph", "sentence", "blank", "none", "clause")
+NATURAL = (PARAGRAPH, SENTENCE, CLAUSE, BLANK)
 
 _BLANKS = re.compile(r"\s+")
+_HAN, _CLOSING = r"[\u3400-\u9fff]", r"[”’»」』）》〉】)\]]*+"
+#: Blanks, and the marks that end a sentence or a clause without one; a sentence goes on where a clause mark follows its end.
+_PAUSES = re.compile(
+    rf"(?P<blank>\s+)|(?P<sentence>(?:[。！？։]|(?<={_HAN})[.!?](?={_HAN}))++{_CLOSING}(?![\s，；：、]))"
+    rf"|(?:[，；：、]|(?<={_HAN})[,;:](?={_HAN}))++{_CLOSING}(?!\s)"
+)
 _STOP = re.compile(r"[.!?…։。！？][\"'”’»“」』)\]]*\s*$")
+_HELD = re.compile(r"[,;:，；：、][\"'”’»“」』)\]]*\s*$")
 _HASH_STEPS = 5  # a window of 2 ** 5 characters
 
 
@@ -42,19 +50,24 @@ def landmarks(text: str) -> np.ndarray:
 class _Bounds:
     """Allowed cuts of a text by kind: where a piece may end, and where the next one then begins, behind the blanks.
 
-    A paragraph that fits a piece is never cut; one that does not is cut after sentences and at blanks.
+    A paragraph that fits a piece is never cut; one that does not is cut after sentences and clauses, also where no blank follows
+    them, and at blanks.
     """
 
     def __init__(self, paragraphs: list[str], most: int) -> None:
         self.text = JOIN.join(paragraphs)
-        self.ends: list[list[int]] = [[], [], []]
+        self.ends: dict[int, list[int]] = {k: [] for k in NATURAL}
         self.next: dict[int, int] = {}
         at = 0
         for p in paragraphs:
             if len(p) > most:
-                for m in _BLANKS.finditer(p):
-                    if m.start():
-                        self.ends[SENTENCE if _STOP.search(p, max(0, m.start() - 6), m.start()) else BLANK].append(at + m.start())
+                for m in _PAUSES.finditer(p):
+                    if not m["blank"]:
+                        if m.end() < len(p):
+                            self.ends[SENTENCE if m["sentence"] else CLAUSE].append(at + m.end())
+                    elif m.start():
+                        near = max(0, m.start() - 6), m.start()
+                        self.ends[SENTENCE if _STOP.search(p, *near) else CLAUSE if _HELD.search(p, *near) else BLANK].append(at + m.start())
                         self.next[at + m.start()] = at + m.end()
             self.ends[PARAGRAPH].append(at + len(p))
             self.next[at + len(p)] = min(at + len(p) + len(JOIN), len(self.text))
@@ -84,8 +97,8 @@ def cut(paragraphs: list[str], before: str = "", most: int = MOST, least: int =
     """Pieces (begin, start, end, kind) of a group of paragraphs: text[begin:end], new from start on, and the kind of its end.
 
     From a piece's start, the first landmark at least `least` away is the wish, and the natural boundary
-    nearest to it is the cut: between paragraphs if one can be reached, else after a sentence, else at a
-    blank, else, in a run without blanks, the landmark itself. The overlap shrinks where otherwise a
+    nearest to it is the cut: between paragraphs if one can be reached, else after a sentence, else after a
+    clause, else at a blank, else, in a run without any of them, the landmark itself. The overlap shrinks where otherwise a
     paragraph or a word would not fit as a whole. Blanks at a cut lie between the pieces. before is what
     precedes the group; places in it are negative.
     """
@@ -107,7 +120,7 @@ def cut(paragraphs: list[str], before: str = "", most: int = MOST, least: int =
             k = int(np.searchsorted(marks, start + least))
             easy = begin + most
             want = min(int(marks[k]) if k < len(marks) else easy, easy)
-            for kind in (PARAGRAPH, SENTENCE, BLANK):
+            for kind in NATURAL:
                 if (end := bounds.best(kind, start, start + least, easy, start + most, want)) is not None:
                     break
             else:
@@ -126,9 +139,10 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for section, group, paragraphs, before in zip(batch["section_id"], batch["group_n"], batch["paragraphs"], batch["before"]):
             paragraphs = list(paragraphs)
             whole, shift = (before or "") + JOIN.join(paragraphs), len(before or "")
+            unbroken = any(len(w) > MOST for p in paragraphs if len(p) > MOST for w in p.split())
             for k, (begin, start, end, kind) in enumerate(cut(paragraphs, before or "")):
-                rows.append((section, group, k, whole[begin + shift : end + shift], start - begin, start, end, kind))
-        yield pd.DataFrame(rows, columns=["section_id", "group_n", "k", "piece", "overlap", "start", "end", "kind"])
+                rows.append((section, group, k, whole[begin + shift : end + shift], start - begin, start, end, kind, unbroken))
+        yield pd.DataFrame(rows, columns=["section_id", "group_n", "k", "piece", "overlap", "start", "end", "kind", "unbroken"])
 
 
 def pieces(rows: DataFrame) -> DataFrame:
@@ -136,14 +150,19 @@ def pieces(rows: DataFrame) -> DataFrame:
 
     A section is its paragraphs as stored, in order of par_n, joined by two line breaks. Pieces are numbered
     from 1; piece holds the overlap first, whose length with the blanks after it is given; char_start and
-    char_end are the places of what is new. cut_kind is the worst kind of cut of the piece's end: paragraph,
-    sentence, blank or none (within a run of letters).
+    char_end are the places of what is new. cut_kind is the kind of cut of the piece's end: paragraph,
+    sentence, clause, blank or none (within a run of letters).
 
     Paragraphs are cut in groups of GROUP_PARAGRAPHS by par_n, so a section of any length is many tasks'
     work; the ends of groups are cuts as well, and the overlap goes on over them. Copies count once. Null
     paragraphs are left out; so are rows without a section. Rows without par_n come first. Short sections
     give no rows.
     """
+    return _placed(rows).drop("unbroken")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """pieces, with unbroken: their group of paragraphs holds a run of more than MOST characters without white space."""
     text = rows.where("section_id is not null and paragraph is not null").select("section_id", F.coalesce("par_n", F.lit(0)).alias("par_n"), "paragraph").distinct()
     long = text.groupBy("section_id").agg((F.sum(F.length("paragraph")) + (F.count("*") - 1) * len(JOIN)).alias("size")).where(F.col("size") > MOST)
     grouped = (
@@ -159,7 +178,7 @@ def pieces(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
     )
     cuts = grouped.join(before.select("section_id", "group_n", "before"), ["section_id", "group_n"]).mapInPandas(
-        _pieces, "section_id long, group_n long, k int, piece string, overlap int, start long, end long, kind int"
+        _pieces, "section_id long, group_n long, k int, piece string, overlap int, start long, end long, kind int, unbroken boolean"
     )
     earlier = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbers = cuts.groupBy("section_id", "group_n").agg(F.count("*").alias("n")).select("section_id", "group_n", earlier.alias("earlier"))
@@ -169,12 +188,12 @@ def pieces(rows: DataFrame) -> DataFrame:
         .select(
             "section_id", (F.col("earlier") + F.col("k") + 1).alias("piece_n"), "piece", "overlap",
             (F.col("offset") + F.col("start")).alias("char_start"), (F.col("offset") + F.col("end")).alias("char_end"),
-            F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("cut_kind"),
+            F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1).alias("cut_kind"), "unbroken",
         )
     )
 
 
 def found(rows: DataFrame) -> DataFrame:
-    """The long sections, each with the level down to which the operator had to go to cut it."""
-    worst = F.when(F.max(F.col("cut_kind") == "none"), "unbroken").when(F.max(F.col("cut_kind").isin("sentence", "blank")), "within").otherwise("paragraph")
-    return pieces(rows).groupBy("section_id").agg(worst.alias("cut_level"))
+    """The long sections, each with the level down to which its paragraphs leave white space to cut it at: unbroken, whatever marks such a run holds."""
+    worst = F.when(F.max("unbroken"), "unbroken").when(F.max(F.col("cut_kind") != "paragraph"), "within").otherwise("paragraph")
+    return _placed(rows).groupBy("section_id").agg(worst.alias("cut_level"))

@@ -83,3 +83,18 @@ def test_sections_of_rows(rows, clashing, monkeypatch):
 def test_no_long_sections(rows):
     assert found(rows([])).count() == 0
     assert found(rows([(1, 1, "short")])).count() == 0
+
+
+def test_sentences_and_clauses_without_blanks_are_cut_after():
+    said = "城中商人收到白银29.385两，无人反对。各县代表说：“我不同意！”，随后不再说话。"
+    (p,) = text = [said * 200]
+    ends = [e for *_, e, _ in cut(text)]
+    assert len(ends) > 3 and all(p[e - 1] == "。" for e in ends) and {k for *_, k in cut(text)[:-1]} == {chunking.SENTENCE}
+    (p,) = text = ["城中商人收到白银25,2两，" * 500]
+    assert all(p[e - 1] == "，" for *_, e, _ in cut(text)) and {k for *_, k in cut(text)[:-1]} == {chunking.CLAUSE}
+    assert {k for *_, k in cut(["城" * 6000])[:-1]} == {chunking.NONE}
+
+
+def test_a_run_with_pauses_is_still_unbroken(rows):
+    assert [tuple(r) for r in found(rows([(1, 1, "众人都签了名。" * 500), (2, 1, "众人都签了名。 " * 500)])).orderBy("section_id").collect()] == [(1, "unbroken"), (2, "within")]
+    assert {r.cut_kind for r in pieces(rows([(1, 1, "众人都签了名。" * 500)])).collect()} == {"sentence", "paragraph"}
