@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..numbering import dense_ids
+from ..session import written
 
 
 def _sequence(tokens: DataFrame, fields: Sequence[str], size: int, boundary: str) -> DataFrame:
@@ -48,7 +49,27 @@ def _term(observed: Column, expected: Column) -> Column:
     return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
 
 
-def collocations(tokens: DataFrame, fields: Sequence[str], size: int = 2, boundary: str = "corpus", placeholders: bool = False, least: int = 2, shortest: int = 2) -> DataFrame:
+def _marked(counts: DataFrame, names: Sequence[str], fields: Sequence[str], marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """counts (keys, names, n) of words, for each category that marks a lemma in them: with placeholders as words, added up."""
+    for w in names:
+        counts = counts.join(marks.select(F.col("lemma").alias("_lemma"), F.col("placeholders").alias(f"m_{w}")), F.col(w)["lemma"] == F.col("_lemma"), "left").drop("_lemma")
+    of = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.map_keys(f"m_{w}"), F.array().cast("array<string>")) for w in names])))
+    by = counts.withColumn("keyword_category", F.explode(of))
+    put = lambda w: F.struct(*[(F.coalesce(F.try_element_at(f"m_{w}", F.col("keyword_category")), F.col(w)[f]) if f in ("form", "lemma") else F.col(w)[f]).alias(f) for f in fields])
+    return by.select(*keys, "keyword_category", *[put(w).alias(w) for w in names], "n").groupBy(*keys, "keyword_category", *names).agg(F.sum("n").alias("n"))
+
+
+def _with_count(out: DataFrame, plain: DataFrame, marked: DataFrame | None, keys: Sequence[str], words: dict[str, str], name: str) -> DataFrame:
+    """out with the count of words (column of out: column of plain) as name; a category's own count, if it has placeholders in them."""
+    cols = [F.col(b).alias(a) for a, b in words.items()]
+    out = out.join(plain.select(*keys, *cols, F.col("n").alias(name)), [*keys, *words], "left")
+    if marked is None:
+        return out
+    own = marked.select(*keys, "keyword_category", *cols, F.col("n").alias("_own"))
+    return out.join(own, [*keys, "keyword_category", *words], "left").withColumn(name, F.coalesce("_own", name)).drop("_own")
+
+
+def collocations(tokens: DataFrame, fields: Sequence[str], size: int = 2, boundary: str = "corpus", placeholders: bool = False, least: int = 2, shortest: int = 2, marks: DataFrame | None = None) -> DataFrame:
     """(w1_*, w2_*[, w3_*], n, jaccard, likelihood_ratio), most frequent first, ties by the words.
 
     fields are the columns of a word, the first its form or lemma. N-grams count from `least` on, if no word
@@ -57,11 +78,21 @@ def collocations(tokens: DataFrame, fields: Sequence[str], size: int = 2, bounda
 
     Jaccard is n over all places that hold any of the words where the n-gram has it; the likelihood ratio is
     twice the sum of observed times the logarithm of observed over expected, over the contingency table.
+
+    marks (lemma, placeholders: category to placeholder) asks for the n-grams that hold a keyword group, of
+    every category by itself, as if its placeholders stood in the corpus; keyword_category comes first. The
+    corpus is counted once: a lemma decides what a word is replaced by, so counts are, not tokens.
     """
+    keys: list[str] = []
     plain = tokens.select("section_id", "par_n", "tok_n", *[F.coalesce(f, F.lit("")).alias(f) for f in fields])
     grams = _sequence(plain, fields, size, boundary)
+    if marks is not None:
+        grams = written(grams, "grams")  # counted up to three times; the plan would outgrow the driver
     names = [f"w{k + 1}" for k in range(size)]
     counted = grams.where(F.col(names[-1]).isNotNull()).groupBy(*names).agg(F.count("*").alias("n"))
+    if marks is not None:
+        counted = _marked(counted, names, fields, marks, keys)
+    own = [*keys, *(["keyword_category"] if marks is not None else [])]
     kept = counted.where(F.col("n") >= least)
     for w in names:
         kept = kept.where(F.length(F.col(w)[fields[0]]) >= shortest)
@@ -70,9 +101,10 @@ def collocations(tokens: DataFrame, fields: Sequence[str], size: int = 2, bounda
         kept = kept.where(mark[0] | mark[1] if size == 2 else mark[0] | mark[1] | mark[2])
     single = plain.select(F.struct(*fields).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     total = plain.agg(F.count("*").cast("double").alias("total"))
+    single_marked = None if marks is None else _marked(single, ["w"], fields, marks, keys)
     out = kept
     for w in names:
-        out = out.join(single.select(F.col("w").alias(w), F.col("n").alias(f"n_{w}")), w)
+        out = _with_count(out, single, single_marked, keys, {w: "w"}, f"n_{w}")
     out = out.crossJoin(F.broadcast(total))  # one row
     d = lambda c: F.col(c).cast("double")
     if size == 2:
@@ -83,8 +115,10 @@ def collocations(tokens: DataFrame, fields: Sequence[str], size: int = 2, bounda
         jaccard = a / (a + b + c)
     else:
         for x, y in ((1, 2), (1, 3), (2, 3)):
-            pair = _sequence(plain, fields, 2, boundary).where("w2 is not null").select(F.col("w1").alias(f"w{x}"), F.col("w2").alias(f"w{y}")) if y - x == 1 else grams.where("w3 is not null").select("w1", "w3")
-            out = out.join(pair.groupBy(f"w{x}", f"w{y}").agg(F.count("*").alias(f"n_{x}{y}")), [f"w{x}", f"w{y}"], "left").na.fill(0, [f"n_{x}{y}"])
+            a, b = ("w1", "w3") if y - x == 2 else ("w1", "w2")
+            pair = grams.where(F.col(b).isNotNull()).groupBy(*keys, a, b).agg(F.count("*").alias("n"))
+            pair_marked = None if marks is None else _marked(pair, [a, b], fields, marks, keys)
+            out = _with_count(out, pair, pair_marked, keys, {f"w{x}": a, f"w{y}": b}, f"n_{x}{y}").na.fill(0, [f"n_{x}{y}"])
         iii, ii_, i_i, _ii = d("n"), d("n_12"), d("n_13"), d("n_23")
         t = F.col("total")
         table = {
@@ -99,4 +133,4 @@ def collocations(tokens: DataFrame, fields: Sequence[str], size: int = 2, bounda
         llr = sum((_term(o, margin(0, k[0]) * margin(1, k[1]) * margin(2, k[2]) / (t * t)) for k, o in table.items()), F.lit(0.0)) * 2
         jaccard = iii / held
     words = [F.col(w)[f].alias(f"{w}_{f}") for w in names for f in fields]
-    return out.select(*words, "n", F.round(jaccard, 6).alias("jaccard"), F.round(llr, 4).alias("likelihood_ratio")).orderBy(F.desc("n"), *[f"{w}_{f}" for w in names for f in fields])
+    return out.select(*own, *words, "n", F.round(jaccard, 6).alias("jaccard"), F.round(llr, 4).alias("likelihood_ratio")).orderBy(*own, F.desc("n"), *[f"{w}_{f}" for w in names for f in fields])

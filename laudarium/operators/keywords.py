@@ -31,6 +31,18 @@ def keyword_collocations(tokens: DataFrame, keywords: DataFrame, category: str,
     return collocations(marked, fields, size, boundary, placeholders=some)
 
 
+def marks(keywords: DataFrame) -> DataFrame:
+    """(lemma, placeholders): of each category that lists the lemma the placeholder of its first group that does."""
+    first = keywords.where("lemma <> ''").groupBy("keyword_category", "lemma").agg(F.min("group_n").alias("group_n"))
+    named = first.join(groups(keywords), ["keyword_category", "group_n"])
+    return named.groupBy("lemma").agg(F.map_from_entries(F.collect_list(F.struct("keyword_category", "placeholder"))).alias("placeholders"))
+
+
+def every_keyword_collocations(tokens: DataFrame, keywords: DataFrame, fields: list[str], size: int = 2, boundary: str = "corpus") -> DataFrame:
+    """(keyword_category, w1_*, ...): N-grams that hold a keyword group, of all categories."""
+    return collocations(tokens, fields, size, boundary, marks=marks(keywords))
+
+
 def keyword_distribution(lemma_counts: DataFrame, keywords: DataFrame) -> DataFrame:
     """(subset, keyword_category, group_n, first_lemma, lemma_n, lemma, n, group_sum), groups by their sum, lemmas by n.
 

@@ -38,6 +38,11 @@ def _words(rows: DataFrame) -> DataFrame:
     return words.select("section_id", "date", F.lower(F.regexp_replace("word", r"^[.,;:!?()]+|[.,;:!?()]+$", "")).alias("lemma")).where("lemma <> ''")
 
 
+def _forms(parsed: DataFrame) -> DataFrame:
+    """Tokens without titles, with their tags as a string: the form corpus."""
+    return model.body(model.tokens(parsed)).withColumn("tags", codec.interp_str(F.col("interp")))
+
+
 def _token_codec(parsed: DataFrame) -> DataFrame:
     coded = model.tokens(parsed).withColumn("coded", codec.encoded(*[F.col(c) for c in ("form", "lemma", "interp", "latin", "proper_name", "unknown_form", "corrected")]))
     t = codec.decoded(F.col("coded"))
@@ -205,6 +210,10 @@ QUERIES: dict[str, Query] = {
     "kw_lemma_trigrams": _on(lambda p, k: keywords.keyword_collocations(_corpus(p), k, "money", ["lemma"], 3), "parsed_tokens", "keyword_lemmas"),
     "kw_form_bigrams": _on(lambda p, k: keywords.keyword_collocations(model.body(model.tokens(p)).withColumn("tags", codec.interp_str(F.col("interp"))), k, "money", ["form", "lemma", "tags"], 2), "parsed_tokens", "keyword_lemmas"),
     "kw_form_trigrams": _on(lambda p, k: keywords.keyword_collocations(model.body(model.tokens(p)).withColumn("tags", codec.interp_str(F.col("interp"))), k, "money", ["form", "lemma", "tags"], 3), "parsed_tokens", "keyword_lemmas"),
+    "kw_lemma_bigrams_by_category": _on(lambda p, k: keywords.every_keyword_collocations(_corpus(p), k, ["lemma"], 2), "parsed_tokens", "keyword_lemmas"),
+    "kw_lemma_trigrams_by_category": _on(lambda p, k: keywords.every_keyword_collocations(_corpus(p), k, ["lemma"], 3), "parsed_tokens", "keyword_lemmas"),
+    "kw_form_bigrams_by_category": _on(lambda p, k: keywords.every_keyword_collocations(_forms(p), k, ["form", "lemma", "tags"], 2), "parsed_tokens", "keyword_lemmas"),
+    "kw_form_trigrams_by_category": _on(lambda p, k: keywords.every_keyword_collocations(_forms(p), k, ["form", "lemma", "tags"], 3), "parsed_tokens", "keyword_lemmas"),
     "keyword_groups": _on(keywords.groups, "keyword_lemmas"),
     "keyword_distribution": _on(_distribution, "parsed_tokens", "editions", "keyword_lemmas"),
     "keyword_report": _on(lambda p, e, k: keywords.keyword_report(_distribution(p, e, k)), "parsed_tokens", "editions", "keyword_lemmas"),

@@ -104,6 +104,55 @@ cells as (select *, c111 + c011 + c101 + c110 + c100 + c010 + c001 as held, t -
 select {out}, n, round(c111 / held, 6) as jaccard, round(2 * ({llr}), 4) as likelihood_ratio from cells"""
 
 
+def _marked_all(source: str) -> str:
+    """The tokens of a source once for every category, with its placeholders."""
+    return f""",
+{_GROUPS},
+categories as (select distinct keyword_category from keyword_lemmas where lemma is not null),
+first as (select keyword_category, lemma, min(group_n) as group_n from keyword_lemmas where lemma is not null group by keyword_category, lemma),
+marks as (select first.keyword_category, lemma, placeholder from first join groups on groups.group_n = first.group_n and groups.keyword_category = first.keyword_category),
+marked as (
+  select s.* exclude (form, lemma), c.keyword_category, coalesce(m.placeholder, s.form) as form, coalesce(m.placeholder, s.lemma) as lemma, array_to_string(interp, ':') as tags
+  from {source} s cross join categories c left join marks m on m.keyword_category = c.keyword_category and m.lemma = s.lemma)
+"""
+
+
+def _grams_by(keys: list[str], source: str, fields: list[str], size: int, keyed: bool = False) -> str:
+    """The collocations of a source by windows over all rows with the same keys, counts and totals too."""
+    key, names = ", ".join(keys), [f"w{k + 1}" for k in range(size)]
+    word = "struct_pack(" + ", ".join(f"{f} := coalesce({f}, '')" for f in fields) + ")"
+    leads = "".join(f", lead(w1, {k}) over (partition by {key} order by section_id, par_n, tok_n, w1) as w{k + 1}" for k in range(1, size))
+    head = f""",
+seq as (select {key}, section_id, par_n, tok_n, {word} as w1 from {source}),
+grams as (select {key}, w1{leads} from seq),
+single as (select {key}, w1 as w, count(*)::double as n from seq group by all),
+every as (select {key}, count(*)::double as t from seq group by all),
+kept as (
+  select {key}, {", ".join(names)}, count(*) as n from grams where {names[-1]} is not null group by all
+  having n >= 2 and {" and ".join(f"length({w}.{fields[0]}) >= 2" for w in names)}{" and (" + " or ".join(f"starts_with({w}.lemma, '__')" for w in names) + ")" if keyed else ""}),
+known as (select kept.*, t, {", ".join(f"s{k + 1}.n as n{k + 1}" for k in range(size))} from kept join every using ({key}) {" ".join(f"join single s{k + 1} on {' and '.join(f's{k + 1}.{x} = kept.{x}' for x in keys)} and s{k + 1}.w = w{k + 1}" for k in range(size))})
+"""
+    out = ", ".join([*keys, *[f"{w}.{f} as {w}_{f}" for w in names for f in fields], "n"])
+    llr = lambda o, e: f"case when {o} > 0 then {o} * ln({o} / ({e})) else 0 end"
+    if size == 2:
+        return head + f""",
+cells as (select *, n::double as c11, n2 - n as c01, n1 - n as c10, t - n1 - n2 + n as c00 from known)
+select {out}, round(c11 / (c11 + c01 + c10), 6) as jaccard,
+  round(2 * ({" + ".join(llr(f"c{i}{j}", f"{('(t - n1)', 'n1')[i]} * {('(t - n2)', 'n2')[j]} / t") for i in (0, 1) for j in (0, 1))}), 4) as likelihood_ratio from cells"""
+    bits = [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+    same = lambda p: " and ".join(f"{p}.{x} = k.{x}" for x in keys)
+    return head + f""",
+pairs as (select {key}, w1, w2, count(*)::double as n from grams where w2 is not null group by all),
+gaps as (select {key}, w1, w3, count(*)::double as n from grams where w3 is not null group by all),
+joined as (
+  select k.*, k.n::double as c111, q.n - k.n as c011, g.n - k.n as c101, p.n - k.n as c110
+  from known k join pairs p on {same("p")} and p.w1 = k.w1 and p.w2 = k.w2 join pairs q on {same("q")} and q.w1 = k.w2 and q.w2 = k.w3 join gaps g on {same("g")} and g.w1 = k.w1 and g.w3 = k.w3),
+more as (select *, n1 - c111 - c101 - c110 as c100, n2 - c111 - c011 - c110 as c010, n3 - c111 - c011 - c101 as c001 from joined),
+cells as (select *, c111 + c011 + c101 + c110 + c100 + c010 + c001 as held, t - (c111 + c011 + c101 + c110 + c100 + c010 + c001) as c000 from more)
+select {out}, round(c111 / held, 6) as jaccard,
+  round(2 * ({" + ".join(llr(f"c{i}{j}{k}", f"{('(t - n1)', 'n1')[i]} * {('(t - n2)', 'n2')[j]} * {('(t - n3)', 'n3')[k]} / (t * t)") for i, j, k in bits)}), 4) as likelihood_ratio from cells"""
+
+
 _DISTRIBUTION = f"""{_TOKENS}, {_GROUPS},
 counts as (select subset, lemma, count(*) as n from plain group by subset, lemma),
 grid as (select distinct subset from counts),
@@ -190,6 +239,10 @@ select coalesce(sum(n), 0)::bigint as head_sum, count(*) as lines from (select n
     "kw_lemma_trigrams": _TOKENS + _marked("corpus") + _grams("marked", ["lemma"], 3, keyed=True),
     "kw_form_bigrams": _TOKENS + _marked("(select * from tokens where par_n > 1)") + _grams("marked", ["form", "lemma", "tags"], 2, keyed=True),
     "kw_form_trigrams": _TOKENS + _marked("(select * from tokens where par_n > 1)") + _grams("marked", ["form", "lemma", "tags"], 3, keyed=True),
+    "kw_lemma_bigrams_by_category": _TOKENS + _marked_all("corpus") + _grams_by(["keyword_category"], "marked", ["lemma"], 2, keyed=True),
+    "kw_lemma_trigrams_by_category": _TOKENS + _marked_all("corpus") + _grams_by(["keyword_category"], "marked", ["lemma"], 3, keyed=True),
+    "kw_form_bigrams_by_category": _TOKENS + _marked_all("(select * from tokens where par_n > 1)") + _grams_by(["keyword_category"], "marked", ["form", "lemma", "tags"], 2, keyed=True),
+    "kw_form_trigrams_by_category": _TOKENS + _marked_all("(select * from tokens where par_n > 1)") + _grams_by(["keyword_category"], "marked", ["form", "lemma", "tags"], 3, keyed=True),
     "keyword_groups": "with " + _GROUPS + "select keyword_category, group_n, first_lemma, placeholder from groups",
     "keyword_distribution": _DISTRIBUTION + "select subset, keyword_category, group_n, first_lemma, lemma_n, lemma, n, group_sum from distribution",
     "keyword_report": _DISTRIBUTION

@@ -186,3 +186,14 @@ def test_review_views(spark):
     assert [r.section_n for r in review.near(s, 3).collect()] == list(range(0, 8))
     assert review.preview(s, first=1).select("text").first().text == "x" * 40
     assert review.document_step(s, 5).first().section_n == 7 and review.document_step(s, 4, False).first().section_n == 2 and review.document_step(s, 19).first() is None
+
+
+def test_keyword_collocations_of_every_category(spark):
+    from laudarium.operators import keywords
+
+    words = "król dać grosz sąd król dać grosz wojna król dać złoty prawo . grosz dać".split() * 2
+    tokens = spark.createDataFrame([(1, 2 + n // 9, n, w, w, "x") for n, w in enumerate(words)], "section_id long, par_n int, tok_n int, form string, lemma string, tags string")
+    kw = spark.createDataFrame([("money", 1, 1, "grosz"), ("money", 1, 2, "złoty"), ("law", 1, 1, "sąd"), ("law", 2, 1, "prawo"), ("war", 1, 1, "wojna"), ("war", 2, 1, "grosz")], "keyword_category string, group_n int, lemma_n int, lemma string")
+    got = {tuple(r) for r in keywords.every_keyword_collocations(tokens, kw, ["form", "lemma", "tags"], 2).collect()}
+    want = {(c, *r) for c in ("money", "law", "war") for r in keywords.keyword_collocations(tokens, kw, c, ["form", "lemma", "tags"], 2).collect()}
+    assert got == want and {r[0] for r in got} == {"money", "law", "war"}
