@@ -75,15 +75,17 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     save("basic_stats", frequency.basic_stats(every))
     save("form_frequency", frequency.form_frequency(body))
     save("lemma_frequency", frequency.lemma_frequency(lemmas))
-    plain = editions.tokens(rows)
+    span = span if args.ranges else spark.createDataFrame([], "range_n int, range_start string, range_end string")
+    of = subsets.subset_index(found, span).groupBy("section_id").agg(F.collect_set("subset").alias("subsets"))
+    plain = editions.tokens(rows).join(of, "section_id")
     forms, corpus = model.body(plain).withColumn("tags", interp_str(F.col("interp"))), model.unabbreviated(model.body(plain))
     kw = files.keyword_files(spark, args.keywords) if args.keywords else None
     for size, name in ((2, "bigrams"), (3, "trigrams")):
         for kind, tokens, fields in (("form", forms, ["form", "lemma", "tags"]), ("lemma", corpus, ["lemma"])):
-            save(f"{kind}_{name}", collocations.collocations(tokens, fields, size).withColumn("subset", F.lit("ALL")))
+            save(f"{kind}_{name}", collocations.collocations(tokens, fields, size, by_subset=True))
             if kw is not None:
                 for category in [r[0] for r in kw.select("keyword_category").distinct().collect()]:
-                    save(f"keywords_{kind}_{name}/{category}", keywords.keyword_collocations(tokens, kw, category, fields, size).withColumn("subset", F.lit("ALL")))
+                    save(f"keywords_{kind}_{name}/{category}", keywords.keyword_collocations(tokens, kw, category, fields, size, by_subset=True))
     if kw is not None:
         counts = lemmas.groupBy("subset", "lemma").agg(F.count("*").alias("n"))
         save("keyword_dist", keywords.keyword_report(keywords.keyword_distribution(counts, kw)))

@@ -11,37 +11,40 @@ from ..numbering import dense_ids
 from ..session import written
 
 
-def _sequence(tokens: DataFrame, fields: Sequence[str], size: int, boundary: str) -> DataFrame:
+def _sequence(tokens: DataFrame, fields: Sequence[str], size: int, boundary: str, by_subset: bool = False) -> DataFrame:
     """(w1, w2[, w3]) of all places; the last ones of a paragraph go on in the next if boundary is corpus.
 
     Neighbours within a paragraph are found by windows over the paragraph. For the places at its end,
     paragraphs get consecutive numbers and meet the first tokens of the next two, so the corpus is never one
-    window. A place with too few followers has nulls.
+    window. A place with too few followers has nulls. By subset, a sequence is what a subset holds, and places
+    come out with each of their subsets: within a paragraph they are the same, so only its ends are multiplied.
     """
+    held, keys = (["subsets"], ["subset"]) if by_subset else ([], [])
+    spread = lambda df: df.withColumn("subset", F.explode("subsets")).drop("subsets") if by_subset else df
     token = F.struct(*fields)
     order = Window.partitionBy("section_id", "par_n").orderBy("tok_n", *fields)
-    placed = tokens.select("section_id", "par_n", "tok_n", *fields).withColumn("w1", token)
+    placed = tokens.select(*held, "section_id", "par_n", "tok_n", *fields).withColumn("w1", token)
     for k in range(1, size):
         placed = placed.withColumn(f"w{k + 1}", F.lead("w1", k).over(order))
     if boundary == "paragraph":
-        return placed.select(*[f"w{k + 1}" for k in range(size)])
+        return spread(placed.select(*held, *[f"w{k + 1}" for k in range(size)]))
     back = Window.partitionBy("section_id", "par_n").orderBy(F.desc("tok_n"), *[F.desc(f) for f in fields])
     marked = placed.withColumn("from_end", F.row_number().over(back)).withColumn("from_start", F.row_number().over(order))
-    heads = marked.where("from_start <= 2").groupBy("section_id", "par_n").agg(
+    heads = spread(marked.where("from_start <= 2")).groupBy(*keys, "section_id", "par_n").agg(
         F.max(F.when(F.col("from_start") == 1, F.col("w1"))).alias("h1"), F.max(F.when(F.col("from_start") == 2, F.col("w1"))).alias("h2")
     )
-    numbered = dense_ids(heads.withColumn("at", F.struct("section_id", "par_n")), "at", "id").drop("at")
-    one = numbered.select((F.col("id") - 1).alias("id"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    two = numbered.select((F.col("id") - 2).alias("id"), F.col("h1").alias("b1"))
-    after = numbered.select("section_id", "par_n", "id").join(one, "id", "left").join(two, "id", "left").drop("id")
-    ends = marked.where(F.col("from_end") < size).join(after, ["section_id", "par_n"], "left")
+    numbered = dense_ids(heads.withColumn("at", F.struct(*keys, "section_id", "par_n")), "at", "id").drop("at")
+    one = numbered.select(*keys, (F.col("id") - 1).alias("id"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
+    two = numbered.select(*keys, (F.col("id") - 2).alias("id"), F.col("h1").alias("b1"))
+    after = numbered.select(*keys, "section_id", "par_n", "id").join(one, [*keys, "id"], "left").join(two, [*keys, "id"], "left").drop("id")
+    ends = spread(marked.where(F.col("from_end") < size)).join(after, [*keys, "section_id", "par_n"], "left")
     second = F.coalesce("w2", "a1")
     if size == 2:
-        tail = ends.select("w1", second.alias("w2"))
+        tail = ends.select(*keys, "w1", second.alias("w2"))
     else:
         third = F.when(F.col("from_end") == 2, F.col("a1")).otherwise(F.coalesce("a2", "b1"))
-        tail = ends.select("w1", second.alias("w2"), third.alias("w3"))
-    inner = marked.where(F.col("from_end") >= size).select(*[f"w{k + 1}" for k in range(size)])
+        tail = ends.select(*keys, "w1", second.alias("w2"), third.alias("w3"))
+    inner = spread(marked.where(F.col("from_end") >= size).select(*held, *[f"w{k + 1}" for k in range(size)]))
     return inner.unionByName(tail)
 
 
@@ -69,7 +72,7 @@ def _with_count(out: DataFrame, plain: DataFrame, marked: DataFrame | None, keys
     return out.join(own, [*keys, "keyword_category", *words], "left").withColumn(name, F.coalesce("_own", name)).drop("_own")
 
 
-def collocations(tokens: DataFrame, fields: Sequence[str], size: int = 2, boundary: str = "corpus", placeholders: bool = False, least: int = 2, shortest: int = 2, marks: DataFrame | None = None) -> DataFrame:
+def collocations(tokens: DataFrame, fields: Sequence[str], size: int = 2, boundary: str = "corpus", placeholders: bool = False, least: int = 2, shortest: int = 2, marks: DataFrame | None = None, by_subset: bool = False) -> DataFrame:
     """(w1_*, w2_*[, w3_*], n, jaccard, likelihood_ratio), most frequent first, ties by the words.
 
     fields are the columns of a word, the first its form or lemma. N-grams count from `least` on, if no word
@@ -82,14 +85,17 @@ def collocations(tokens: DataFrame, fields: Sequence[str], size: int = 2, bounda
     marks (lemma, placeholders: category to placeholder) asks for the n-grams that hold a keyword group, of
     every category by itself, as if its placeholders stood in the corpus; keyword_category comes first. The
     corpus is counted once: a lemma decides what a word is replaced by, so counts are, not tokens.
+
+    by_subset asks for the n-grams of every subset by itself, with its own counts and total; tokens have an
+    array subsets, the same for all of a section, and subset comes first.
     """
-    keys: list[str] = []
-    plain = tokens.select("section_id", "par_n", "tok_n", *[F.coalesce(f, F.lit("")).alias(f) for f in fields])
-    grams = _sequence(plain, fields, size, boundary)
-    if marks is not None:
+    keys = ["subset"] if by_subset else []
+    plain = tokens.select(*(["subsets"] if by_subset else []), "section_id", "par_n", "tok_n", *[F.coalesce(f, F.lit("")).alias(f) for f in fields])
+    grams = _sequence(plain, fields, size, boundary, by_subset)
+    if marks is not None or by_subset:
         grams = written(grams, "grams")  # counted up to three times; the plan would outgrow the driver
     names = [f"w{k + 1}" for k in range(size)]
-    counted = grams.where(F.col(names[-1]).isNotNull()).groupBy(*names).agg(F.count("*").alias("n"))
+    counted = grams.where(F.col(names[-1]).isNotNull()).groupBy(*keys, *names).agg(F.count("*").alias("n"))
     if marks is not None:
         counted = _marked(counted, names, fields, marks, keys)
     own = [*keys, *(["keyword_category"] if marks is not None else [])]
@@ -99,13 +105,14 @@ def collocations(tokens: DataFrame, fields: Sequence[str], size: int = 2, bounda
     if placeholders:
         mark = [F.startswith(F.col(w)[fields[-1] if len(fields) == 1 else fields[1]], F.lit("__")) for w in names]
         kept = kept.where(mark[0] | mark[1] if size == 2 else mark[0] | mark[1] | mark[2])
-    single = plain.select(F.struct(*fields).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    total = plain.agg(F.count("*").cast("double").alias("total"))
+    each = plain.withColumn("subset", F.explode("subsets")) if by_subset else plain
+    single = each.select(*keys, F.struct(*fields).alias("w")).groupBy(*keys, "w").agg(F.count("*").alias("n"))
+    total = each.groupBy(*keys).agg(F.count("*").cast("double").alias("total"))
     single_marked = None if marks is None else _marked(single, ["w"], fields, marks, keys)
     out = kept
     for w in names:
         out = _with_count(out, single, single_marked, keys, {w: "w"}, f"n_{w}")
-    out = out.crossJoin(F.broadcast(total))  # one row
+    out = out.join(total, "subset") if by_subset else out.crossJoin(F.broadcast(total))  # one row
     d = lambda c: F.col(c).cast("double")
     if size == 2:
         a, b, c = d("n"), d("n_w2") - d("n"), d("n_w1") - d("n")

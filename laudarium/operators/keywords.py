@@ -24,11 +24,11 @@ def with_placeholders(tokens: DataFrame, keywords: DataFrame, category: str) ->
     return joined.withColumns({"form": F.coalesce("placeholder", "form"), "lemma": F.coalesce("placeholder", "lemma")}).drop("placeholder")
 
 
-def keyword_collocations(tokens: DataFrame, keywords: DataFrame, category: str, fields: list[str], size: int = 2, boundary: str = "corpus") -> DataFrame:
+def keyword_collocations(tokens: DataFrame, keywords: DataFrame, category: str, fields: list[str], size: int = 2, boundary: str = "corpus", by_subset: bool = False) -> DataFrame:
     """N-grams that hold a keyword group. A category without keywords filters nothing."""
     marked = with_placeholders(tokens, keywords, category)
     some = keywords.where((F.col("keyword_category") == category) & F.col("lemma").isNotNull()).limit(1).count() > 0
-    return collocations(marked, fields, size, boundary, placeholders=some)
+    return collocations(marked, fields, size, boundary, placeholders=some, by_subset=by_subset)
 
 
 def marks(keywords: DataFrame) -> DataFrame:
@@ -38,9 +38,9 @@ def marks(keywords: DataFrame) -> DataFrame:
     return named.groupBy("lemma").agg(F.map_from_entries(F.collect_list(F.struct("keyword_category", "placeholder"))).alias("placeholders"))
 
 
-def every_keyword_collocations(tokens: DataFrame, keywords: DataFrame, fields: list[str], size: int = 2, boundary: str = "corpus") -> DataFrame:
-    """(keyword_category, w1_*, ...): N-grams that hold a keyword group, of all categories."""
-    return collocations(tokens, fields, size, boundary, marks=marks(keywords))
+def every_keyword_collocations(tokens: DataFrame, keywords: DataFrame, fields: list[str], size: int = 2, boundary: str = "corpus", by_subset: bool = False) -> DataFrame:
+    """([subset, ]keyword_category, w1_*, ...): N-grams that hold a keyword group, of all categories."""
+    return collocations(tokens, fields, size, boundary, marks=marks(keywords), by_subset=by_subset)
 
 
 def keyword_distribution(lemma_counts: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -43,6 +43,20 @@ def _forms(parsed: DataFrame) -> DataFrame:
     return model.body(model.tokens(parsed)).withColumn("tags", codec.interp_str(F.col("interp")))
 
 
+def _with_subsets(tokens: DataFrame, editions: DataFrame) -> DataFrame:
+    """Tokens with the array of the subsets that their book is in."""
+    books = editions.select("book_title", "palatinate", "convent_location").dropDuplicates(["book_title"])
+    return tokens.join(books, "book_title", "left").withColumn("subsets", subsets.attribute_keys())
+
+
+def _grams(corpus: Callable[[DataFrame], DataFrame], fields: list[str], size: int) -> Query:
+    return _on(lambda p, e: collocations.collocations(_with_subsets(corpus(p), e), fields, size, by_subset=True), "parsed_tokens", "editions")
+
+
+def _kw_grams(corpus: Callable[[DataFrame], DataFrame], fields: list[str], size: int) -> Query:
+    return _on(lambda p, e, k: keywords.every_keyword_collocations(_with_subsets(corpus(p), e), k, fields, size, by_subset=True), "parsed_tokens", "editions", "keyword_lemmas")
+
+
 def _token_codec(parsed: DataFrame) -> DataFrame:
     coded = model.tokens(parsed).withColumn("coded", codec.encoded(*[F.col(c) for c in ("form", "lemma", "interp", "latin", "proper_name", "unknown_form", "corrected")]))
     t = codec.decoded(F.col("coded"))
@@ -214,6 +228,14 @@ QUERIES: dict[str, Query] = {
     "kw_lemma_trigrams_by_category": _on(lambda p, k: keywords.every_keyword_collocations(_corpus(p), k, ["lemma"], 3), "parsed_tokens", "keyword_lemmas"),
     "kw_form_bigrams_by_category": _on(lambda p, k: keywords.every_keyword_collocations(_forms(p), k, ["form", "lemma", "tags"], 2), "parsed_tokens", "keyword_lemmas"),
     "kw_form_trigrams_by_category": _on(lambda p, k: keywords.every_keyword_collocations(_forms(p), k, ["form", "lemma", "tags"], 3), "parsed_tokens", "keyword_lemmas"),
+    "form_bigrams_by_subset": _grams(_forms, ["form", "lemma", "tags"], 2),
+    "kw_form_bigrams_by_subset": _kw_grams(_forms, ["form", "lemma", "tags"], 2),
+    "form_trigrams_by_subset": _grams(_forms, ["form", "lemma", "tags"], 3),
+    "kw_form_trigrams_by_subset": _kw_grams(_forms, ["form", "lemma", "tags"], 3),
+    "lemma_bigrams_by_subset": _grams(_corpus, ["lemma"], 2),
+    "kw_lemma_bigrams_by_subset": _kw_grams(_corpus, ["lemma"], 2),
+    "lemma_trigrams_by_subset": _grams(_corpus, ["lemma"], 3),
+    "kw_lemma_trigrams_by_subset": _kw_grams(_corpus, ["lemma"], 3),
     "keyword_groups": _on(keywords.groups, "keyword_lemmas"),
     "keyword_distribution": _on(_distribution, "parsed_tokens", "editions", "keyword_lemmas"),
     "keyword_report": _on(lambda p, e, k: keywords.keyword_report(_distribution(p, e, k)), "parsed_tokens", "editions", "keyword_lemmas"),

@@ -243,6 +243,14 @@ select coalesce(sum(n), 0)::bigint as head_sum, count(*) as lines from (select n
     "kw_lemma_trigrams_by_category": _TOKENS + _marked_all("corpus") + _grams_by(["keyword_category"], "marked", ["lemma"], 3, keyed=True),
     "kw_form_bigrams_by_category": _TOKENS + _marked_all("(select * from tokens where par_n > 1)") + _grams_by(["keyword_category"], "marked", ["form", "lemma", "tags"], 2, keyed=True),
     "kw_form_trigrams_by_category": _TOKENS + _marked_all("(select * from tokens where par_n > 1)") + _grams_by(["keyword_category"], "marked", ["form", "lemma", "tags"], 3, keyed=True),
+    "form_bigrams_by_subset": _TOKENS + _grams_by(["subset"], "(select *, array_to_string(interp, ':') as tags from body)", ["form", "lemma", "tags"], 2),
+    "kw_form_bigrams_by_subset": _TOKENS + _marked_all("body") + _grams_by(["subset", "keyword_category"], "marked", ["form", "lemma", "tags"], 2, keyed=True),
+    "form_trigrams_by_subset": _TOKENS + _grams_by(["subset"], "(select *, array_to_string(interp, ':') as tags from body)", ["form", "lemma", "tags"], 3),
+    "kw_form_trigrams_by_subset": _TOKENS + _marked_all("body") + _grams_by(["subset", "keyword_category"], "marked", ["form", "lemma", "tags"], 3, keyed=True),
+    "lemma_bigrams_by_subset": _TOKENS + _grams_by(["subset"], "plain", ["lemma"], 2),
+    "kw_lemma_bigrams_by_subset": _TOKENS + _marked_all("plain") + _grams_by(["subset", "keyword_category"], "marked", ["lemma"], 2, keyed=True),
+    "lemma_trigrams_by_subset": _TOKENS + _grams_by(["subset"], "plain", ["lemma"], 3),
+    "kw_lemma_trigrams_by_subset": _TOKENS + _marked_all("plain") + _grams_by(["subset", "keyword_category"], "marked", ["lemma"], 3, keyed=True),
     "keyword_groups": "with " + _GROUPS + "select keyword_category, group_n, first_lemma, placeholder from groups",
     "keyword_distribution": _DISTRIBUTION + "select subset, keyword_category, group_n, first_lemma, lemma_n, lemma, n, group_sum from distribution",
     "keyword_report": _DISTRIBUTION

@@ -54,3 +54,12 @@ def test_methods_over_a_tagged_edition(spark, tmp_path, capsys):
     main(["correct", str(tmp_path / "e"), str(tmp_path / "d"), str(tmp_path / "fixed")])
     fixed = [r.paragraph for r in files.indexed_csv(spark, str(tmp_path / "fixed")).where("inbook_section_id = 0").collect()]
     assert any("!!_pan:paz:subst" in p for p in fixed)
+
+
+def test_ngrams_of_every_subset(spark):
+    from laudarium.operators import collocations
+
+    given = [(s, 2, n, w, ["ALL", f"book_title__{b}"]) for s, b, text in ((1, "a", "pan król pan król"), (2, "b", "pan sąd"), (3, "a", "pan król")) for n, w in enumerate(text.split())]
+    tokens = spark.createDataFrame(given, "section_id long, par_n int, tok_n int, lemma string, subsets array<string>")
+    got = {(r.subset, r.w1_lemma, r.w2_lemma, r.n) for r in collocations.collocations(tokens, ["lemma"], 2, by_subset=True).collect()}
+    assert got == {("ALL", "pan", "król", 3), ("book_title__a", "pan", "król", 3), ("book_title__a", "król", "pan", 2), ("ALL", "król", "pan", 2)}
