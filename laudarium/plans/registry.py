@@ -203,9 +203,11 @@ def _document_ids(rows: DataFrame) -> DataFrame:
 
 
 def _html(rows: DataFrame) -> DataFrame:
-    p = model.paragraphs(rows).where("section_type = 'meta' and par_n = 1")
-    one = p.select(F.col("book_title").alias("edition"), F.col("section_id").alias("section_n"), "section_type", F.lit(None).cast("string").alias("title"), classify.meta_reason(F.col("paragraph")).alias("reason"), F.array("paragraph").alias("paragraphs"))
-    return sinks.html_report(one)
+    """Every section of the edition, its paragraphs in order; notes have the reason of their first paragraph."""
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("par_n", F.coalesce("paragraph", F.lit("")).alias("text")))), lambda x: x["text"])
+    gathered = model.paragraphs(rows).groupBy("section_id").agg(texts.alias("paragraphs"))
+    s = model.sections(rows).join(gathered, "section_id").join(_titles(rows), "section_id", "left")
+    return sinks.html_report(s.select(F.col("book_title").alias("edition"), F.col("section_id").alias("section_n"), "section_type", "title", classify.meta_reason(F.get("paragraphs", F.lit(0))).alias("reason"), "paragraphs"))
 
 
 QUERIES: dict[str, Query] = {

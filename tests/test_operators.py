@@ -197,3 +197,11 @@ def test_keyword_collocations_of_every_category(spark):
     got = {tuple(r) for r in keywords.every_keyword_collocations(tokens, kw, ["form", "lemma", "tags"], 2).collect()}
     want = {(c, *r) for c in ("money", "law", "war") for r in keywords.keyword_collocations(tokens, kw, c, ["form", "lemma", "tags"], 2).collect()}
     assert got == want and {r[0] for r in got} == {"money", "law", "war"}
+
+
+def test_html_report_holds_documents(spark, sf_dir):
+    from laudarium.plans.registry import QUERIES
+
+    given = {r[0] for r in spark.read.parquet(f"{sf_dir}/edition_rows.parquet").where("section_type = 'document'").select("section_id").distinct().collect()}
+    html = {r.section_n: r.html for r in QUERIES["html_report"](spark, sf_dir).collect()}
+    assert given and all(html[n].startswith("<h4>") for n in given)
