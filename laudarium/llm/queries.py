@@ -43,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_shares": _on(lambda d, m: mixing.mix(d, m)[1], "documents", "mix_targets"),
     "p9_found": _on(skeleton.found, "documents"),
     "p9_forms": _on(skeleton.text_forms, "documents"),
+    "p9_groups": _on(skeleton.look_groups, "documents"),
 }
 
 _TERM = r"nullif(nfc_normalize(lower(nfc_normalize(regexp_replace({0}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')))), '')"
