@@ -41,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_found": _on(mixing.found, "documents", "mix_targets"),
     "p8_mix": _on(lambda d, m: mixing.mix(d, m)[0], "documents", "mix_targets"),
     "p8_shares": _on(lambda d, m: mixing.mix(d, m)[1], "documents", "mix_targets"),
+    "p8_shares_full_size": _on(lambda d, m: mixing.mix(d, m, size=None)[1], "documents", "mix_targets"),
     "p9_found": _on(skeleton.found, "documents"),
     "p9_forms": _on(skeleton.text_forms, "documents"),
     "p9_groups": _on(skeleton.look_groups, "documents"),

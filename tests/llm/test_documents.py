@@ -51,31 +51,60 @@ def test_found_are_texts_over_the_capacity(documents):
     assert [r.doc_id for r in packing.found(documents([(1, "słowo " * 5000), (2, "słowo"), (1, None)])).collect()] == [1]
 
 
-def _mix(spark, documents, given, targets):
-    return mixing.mix(documents(given), spark.createDataFrame(targets, "source string, target_share double, max_repeats int"), seed=7)
+MIX = "source string, target_share double, max_repeats int"
 
 
-def test_a_mix_meets_its_shares(spark, documents, clashing):
+def _mix(spark, documents, given, targets, **kw):
+    return mixing.mix(documents(given), spark.createDataFrame(targets, MIX), seed=7, **kw)
+
+
+def _sources(seed=6, n=400):
     rng = random.Random(5)
-    given = [(i, t, rng.choice(["Alfa", " alfa", "ALFA ", "beta", None, "other"])) for i, t in enumerate(_texts(6, 400))]
-    records, shares = mixing.mix(clashing(documents(given)), spark.createDataFrame([("alfa", 0.2, 1), ("beta", 0.5, 4), ("gamma", 0.3, 2)], "source string, target_share double, max_repeats int"), seed=7)
+    return [(i, t, rng.choice(["Alfa", " alfa", "ALFA ", "beta", None, "other"])) for i, t in enumerate(_texts(seed, n))]
+
+
+def _total(given, *names):
+    return sum(len(token_ids(t)) for _, t, s in given if not names or (s or "").strip().lower() in names)
+
+
+def test_a_mix_of_full_size_meets_its_budgets(spark, documents, clashing):
+    given, targets = _sources(), [("alfa", 0.2, 1), ("beta", 0.5, 4), ("gamma", 0.3, 2)]
+    records, shares = mixing.mix(clashing(documents(given)), spark.createDataFrame(targets, MIX), seed=7, size=None)
     got, by = records.collect(), {r.source: r for r in shares.collect()}
-    total = sum(len(token_ids(t)) for _, t, _ in given)
+    total = _total(given)
     assert {r.source for r in got} <= {"alfa", "beta"} and len({r.doc_id for r in got}) == len(got)
-    for name, share, most in (("alfa", 0.2, 1), ("beta", 0.5, 4)):
+    for name, share, most in targets[:2]:
         taken = sum(r.n_tokens * r.uses for r in got if r.source == name)
         assert max(r.uses for r in got if r.source == name) <= most
         assert by[name].n_tokens == taken <= by[name].budget and abs(by[name].budget - share * total) <= 1
+        assert by[name].reachable == (_total(given, name) * most >= by[name].budget)
         if by[name].reachable:
             assert taken > 0.97 * by[name].budget
     assert by["gamma"].n_tokens == 0 and not by["gamma"].reachable
     assert abs(sum(r.actual_share for r in by.values()) - 1) < 1e-9
-    again, _ = mixing.mix(documents(given), spark.createDataFrame([("alfa", 0.2, 1), ("beta", 0.5, 4), ("gamma", 0.3, 2)], "source string, target_share double, max_repeats int"), seed=7)
+    again, _ = _mix(spark, documents, given, targets, size=None)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
+    missed = [r.source for r in mixing.found(documents(given), spark.createDataFrame(targets, MIX)).collect()]
+    assert sorted(missed) == sorted(r.source for r in by.values() if not r.reachable)
+
+
+def test_a_feasible_mix_meets_its_shares(spark, documents):
+    given, targets = _sources(8, 900), [("alfa", 0.2, 1), ("beta", 0.7, 2), ("other", 0.1, 1)]
+    records, shares = _mix(spark, documents, given, targets)
+    by = {r.source: r for r in shares.collect()}
+    most = min(_total(given, n) * k / share for n, share, k in targets)
+    for name, share, k in targets:
+        assert by[name].reachable and abs(by[name].actual_share - share) < 0.005 and abs(by[name].share_of_size - share) < 0.005
+        assert by[name].mix_size == by[name].feasible_size == int(most) and max(r.uses for r in records.where(f"source = '{name}'").collect()) <= k
+    twice = _mix(spark, documents, [(1, "a b c", "alfa"), (1, "a b c", "alfa"), (1, "d", "alfa")], [("alfa", 1.0, 1)])[0].collect()
+    assert len(twice) == 3
+    smaller = {r.source: r for r in _mix(spark, documents, given, targets, size=9000)[1].collect()}
+    assert {r.mix_size for r in smaller.values()} == {9000} and smaller["beta"].budget == 6300 >= smaller["beta"].n_tokens > 6000
 
 
 def test_mixing_nothing(spark, documents):
-    records, shares = _mix(spark, documents, [], [("alfa", 1.0, 2)])
-    assert records.count() == 0 and [(r.source, r.n_tokens) for r in shares.collect()] == [("alfa", 0)]
-    records, shares = _mix(spark, documents, [(1, None, "alfa"), (2, "x", None)], [("alfa", 1.0, None), (None, 0.5, 1)])
-    assert records.count() == 0 and shares.count() == 1
+    for size in ("feasible", None):
+        records, shares = _mix(spark, documents, [], [("alfa", 1.0, 2)], size=size)
+        assert records.count() == 0 and [(r.source, r.n_tokens) for r in shares.collect()] == [("alfa", 0)]
+        records, shares = _mix(spark, documents, [(1, None, "alfa"), (2, "x", None)], [("alfa", 1.0, None), (None, 0.5, 1)], size=size)
+        assert records.count() == 0 and shares.count() == 1
