@@ -11,11 +11,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 MOST, LEAST, OVERLAP = 2500, 1200, 200
 #: One landmark in about so many characters.
 LANDMARK_EVERY = 256
-#: Paragraphs of a section that are cut as one group; a group's end is always a cut, between two paragraphs.
+#: A paragraph in so many, by a hash of its text, ends a group; groups are cut by themselves, so their ends are cuts that no edit elsewhere moves.
 GROUP_PARAGRAPHS = 256
+#: Where no paragraph is such an end (all may be alike), so many places after the last one a group ends all the same.
+LONGEST_GROUP = 4 * GROUP_PARAGRAPHS
+#: Places of a section that one task looks through for ends of groups.
+PLACES = 4096
 JOIN = "\n\n"
 #: Kinds of cut; NATURAL has those at a boundary of the text, from the most natural.
 PARAGRAPH, SENTENCE, BLANK, NONE, CLAUSE = 0, 1, 2, 3, 4
@@ -153,23 +159,40 @@ def pieces(rows: DataFrame) -> DataFrame:
     char_end are the places of what is new. cut_kind is the kind of cut of the piece's end: paragraph,
     sentence, clause, blank or none (within a run of letters).
 
-    Paragraphs are cut in groups of GROUP_PARAGRAPHS by par_n, so a section of any length is many tasks'
-    work; the ends of groups are cuts as well, and the overlap goes on over them. Copies count once. Null
-    paragraphs are left out; so are rows without a section. Rows without par_n come first. Short sections
-    give no rows.
+    Paragraphs are cut in groups, so a section of any length is many tasks' work. A group ends at a paragraph
+    whose own hash says so, about every GROUP_PARAGRAPHS, so that a paragraph more or less leaves all other
+    groups as they are; the overlap goes on over their ends. Copies count once. Null paragraphs are left out;
+    so are rows without a section. Rows without par_n come first, in the order of a hash. Short sections give no rows.
     """
     return _placed(rows).drop("unbroken")
 
 
+def _grouped(text: DataFrame) -> DataFrame:
+    """(section_id, group_n, paragraphs) of (section_id, place, paragraph): the paragraphs of a group in order, group_n the place of the first.
+
+    Ends are carried on over blocks of PLACES first and within a block then.
+    """
+    keys = ["section_id", "block"]
+    ends = F.pmod(F.xxhash64("paragraph"), F.lit(GROUP_PARAGRAPHS)) == 0
+    marked = text.withColumn("block", F.floor(F.col("place") / PLACES)).withColumn("end", F.when(ends, F.col("place")))
+    before = Window.unboundedPreceding, -1
+    of_blocks = marked.groupBy(*keys).agg(F.max("end").alias("end"))
+    carried = of_blocks.select(*keys, F.max("end").over(Window.partitionBy("section_id").orderBy("block").rowsBetween(*before)).alias("carried"))
+    within = F.max("end").over(Window.partitionBy(*keys).orderBy("place", "paragraph").rowsBetween(*before))
+    start = F.coalesce("within", "carried", F.lit(-(1 << 62) - 1)) + 1
+    far = F.when(F.col("place") < 0, 0).otherwise(F.floor((F.col("place") - F.greatest("start", F.lit(0))) / LONGEST_GROUP))  # places that are hashes lie far apart
+    placed = marked.withColumn("within", within).join(carried, keys).withColumn("start", start).withColumn("far", far)
+    return placed.groupBy("section_id", "start", "far").agg(
+        F.min("place").alias("group_n"), F.sort_array(F.collect_list(F.struct("place", "paragraph"))).getField("paragraph").alias("paragraphs")
+    ).drop("start", "far")
+
+
 def _placed(rows: DataFrame) -> DataFrame:
     """pieces, with unbroken: their group of paragraphs holds a run of more than MOST characters without white space."""
-    text = rows.where("section_id is not null and paragraph is not null").select("section_id", F.coalesce("par_n", F.lit(0)).alias("par_n"), "paragraph").distinct()
+    place = F.coalesce(F.col("par_n").cast("long"), -F.xxhash64("paragraph").bitwiseAND((1 << 62) - 1) - 1)
+    text = rows.where("section_id is not null and paragraph is not null").select("section_id", place.alias("place"), "paragraph").distinct()
     long = text.groupBy("section_id").agg((F.sum(F.length("paragraph")) + (F.count("*") - 1) * len(JOIN)).alias("size")).where(F.col("size") > MOST)
-    grouped = (
-        text.join(long, "section_id", "left_semi")
-        .groupBy("section_id", F.floor(F.col("par_n") / GROUP_PARAGRAPHS).alias("group_n"))
-        .agg(F.sort_array(F.collect_list(F.struct("par_n", "paragraph"))).getField("paragraph").alias("paragraphs"))
-    )
+    grouped = written(_grouped(text.join(long, "section_id", "left_semi")), "groups")
     text_of = F.array_join("paragraphs", JOIN)
     order = Window.partitionBy("section_id").orderBy("group_n")
     slim = grouped.select("section_id", "group_n", F.right(F.concat(text_of, F.lit(JOIN)), F.lit(OVERLAP + len(JOIN))).alias("tail"), (F.length(text_of) + len(JOIN)).alias("size"))

@@ -63,8 +63,10 @@ def test_sections_of_rows(rows, clashing, monkeypatch):
             want[s] = _level(paragraphs)
     given += given[:5] + [(None, 1, "x" * 9000), (50, 1, None), (51, 1, ""), (52, None, "y" * 3000)]
     want[52] = "unbroken"
-    for group in (256, 2):
+    for group, longest, places in ((256, 1024, 4096), (2, 3, 4)):
         monkeypatch.setattr(chunking, "GROUP_PARAGRAPHS", group)
+        monkeypatch.setattr(chunking, "LONGEST_GROUP", longest)
+        monkeypatch.setattr(chunking, "PLACES", places)
         df = clashing(rows(given))
         assert {r.section_id: r.cut_level for r in found(df).collect()} == want
         by = {}
@@ -80,6 +82,31 @@ def test_sections_of_rows(rows, clashing, monkeypatch):
             assert not text[at:].strip()
 
 
+def test_a_paragraph_more_alters_only_near_pieces(rows):
+    """Also where groups end, and in whatever task a paragraph was: 1,200 paragraphs, one more at the start, in the middle and near the end."""
+    rng = random.Random(4)
+    said = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(5, 80))) + "." for _ in range(1200)]
+    of = lambda paragraphs: [r.piece[r.overlap :] for r in pieces(rows([(1, n, p) for n, p in enumerate(paragraphs, 1)])).orderBy("piece_n").collect()]
+    plain = of(said)
+    assert len(plain) > 120
+    for at in (0, 600, 1190):
+        more = of([*said[:at], "Jeden akapit więcej.", *said[at:]])
+        assert len(set(more) - set(plain)) <= 3
+
+
+def test_paragraphs_that_are_all_alike_are_still_many_groups(rows, spark):
+    text = spark.range(1, 5001).selectExpr("1L as section_id", "id as place", "'same' as paragraph")
+    groups = chunking._grouped(text).orderBy("group_n").collect()
+    assert max(len(g.paragraphs) for g in groups) <= chunking.LONGEST_GROUP and sum(len(g.paragraphs) for g in groups) == 5000
+
+
+def test_rows_without_place_come_first(rows):
+    given = [(1, None, f"bez miejsca {k} " + "x" * 200) for k in range(40)] + [(1, k, f"akapit {k} " + "y" * 200) for k in range(1, 30)]
+    got = pieces(rows(given)).orderBy("piece_n").collect()
+    text = "".join(r.piece[r.overlap :] for r in got)
+    assert max(text.index(p) for _, n, p in given if n is None) < min(text.index(p) for _, n, p in given if n is not None) and all(p in text for _, _, p in given)
+
+
 def test_no_long_sections(rows):
     assert found(rows([])).count() == 0
     assert found(rows([(1, 1, "short")])).count() == 0
