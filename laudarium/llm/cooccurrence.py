@@ -85,7 +85,7 @@ def pair_counts(tokens: DataFrame, field: str = "lemma", least: int = 1, lift: i
     total = tokens.agg(F.count_distinct("section_id").alias("n_sections"))
     all_sections = total.first()["n_sections"]
     terms = used.groupBy("term").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") * lift <= all_sections))
-    terms = written(dense_ids(terms, "term", "id"), "vocabulary")
+    terms = written(dense_ids(terms, "term", "id").where(F.assert_true(F.col("id") < 1 << 31, "more terms than a code has room for").isNull()), "vocabulary")
     blocks = (
         used.join(terms.select("term", "id"), "term")
         .groupBy("section_id", F.expr(f"id div {BLOCK}").alias("block"))
@@ -94,7 +94,7 @@ def pair_counts(tokens: DataFrame, field: str = "lemma", least: int = 1, lift: i
     a = blocks.select("section_id", F.col("block").alias("block_a"), F.col("ids").alias("ids_a"))
     b = blocks.select("section_id", F.col("block").alias("block_b"), F.col("ids").alias("ids_b"))
     within = a.select("ids_a", F.lit(None).cast("array<long>").alias("ids_b"))
-    across = a.join(b, "section_id").where("block_a < block_b").select("ids_a", "ids_b")
+    across = a.join(b, "section_id").where("block_a < block_b").repartition("section_id", "block_a", "block_b").select("ids_a", "ids_b")  # the pairs of one section are many tasks' work
     runs = within.unionByName(across).mapInArrow(_pair_runs, "code long, n long")
     counts = runs.repartition("code").sortWithinPartitions("code").mapInArrow(_merged, "code long, n long").where(F.col("n") >= least)
 
