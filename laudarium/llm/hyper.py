@@ -6,6 +6,7 @@ import math
 import re
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 
@@ -16,6 +17,8 @@ LONGEST = 40
 SEED = 20_000_003
 #: n-grams whose scores a worker keeps before it starts again.
 KEPT = 400_000
+#: Texts of a language that profiles are made of, at most; they are 8 KB each on the driver.
+TEXTS = 1300
 
 _WORD = re.compile(r"[㐀-鿿]|[^\W\d_]+")
 
@@ -65,12 +68,21 @@ def word_vector(word: str) -> np.ndarray:
     return out
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+
+
 class Profiles:
-    """Language prototypes, to which texts are compared by cosine."""
+    """Language prototypes of length 1, to which texts are compared by cosine.
+
+    shared has, by language, the product of two of its words on average: words share n-grams, so a text is
+    longer than its words alone would make it.
+    """
 
-    def __init__(self, languages: Sequence[str], prototypes: np.ndarray) -> None:
+    def __init__(self, languages: Sequence[str], prototypes: np.ndarray, shared: Sequence[float] = ()) -> None:
         self.languages = tuple(languages)
-        self.own = prototypes / max(np.linalg.norm(prototypes, axis=1).mean(), 1e-9)
+        self.own = _unit(prototypes)
+        self.shared = tuple(map(float, shared)) or (0.0,) * len(self.languages)
         self._empty()
 
     def _empty(self) -> None:
@@ -81,7 +93,7 @@ class Profiles:
         self.kept: dict[str, float] = {}  # scores that a caller keeps
 
     def __reduce__(self):
-        return _restored, (self.languages, self.own.astype(np.float32).tobytes())
+        return _restored, (self.languages, self.own.astype(np.float32).tobytes(), self.shared)
 
     def _gram(self, gram: str) -> int:
         at = self._gram_at[gram] = len(self._gram_at)
@@ -110,16 +122,17 @@ class Profiles:
         return self._rows[places] if places else np.zeros((0, len(self.languages) + 1))
 
 
-def cosines(total: np.ndarray) -> np.ndarray:
-    """Cosines of a text with the prototypes from the sum of its words' rows."""
-    return total[:-1] / max(total[-1], 1.0) ** 0.5
+    def cosines(self, total: np.ndarray, n: int) -> np.ndarray:
+        """Cosines of a text of n words with the prototypes from the sum of its words' rows; the length of the text is that of its words and what they share."""
+        of = total[:-1]
+        return of / max(total[-1] + n * (n - 1) * self.shared[int(of.argmax())], 1.0) ** 0.5
 
 
 @lru_cache(4)
-def _restored(languages: tuple[str, ...], own: bytes) -> Profiles:
+def _restored(languages: tuple[str, ...], own: bytes, shared: tuple[float, ...]) -> Profiles:
     """One object in each Python worker, so that what it has learnt of words serves the next task as well."""
     out = Profiles.__new__(Profiles)
-    out.languages, out.own = languages, np.frombuffer(own, np.float32).astype(np.float64).reshape(len(languages), DIMENSIONS)
+    out.languages, out.shared, out.own = languages, shared, np.frombuffer(own, np.float32).astype(np.float64).reshape(len(languages), DIMENSIONS)
     out._empty()
     return out
 
@@ -132,34 +145,48 @@ def confidence(of: np.ndarray) -> float:
     return math.tanh(6 * (two[1] - two[0]))
 
 
-def fitted(labelled: Iterable[tuple[str, str]], languages: Sequence[str], rounds: int = 3, ridge: float = 1e-3) -> Profiles:
-    """Profiles of a sample of texts whose labels may be wrong.
+def fitted(labelled: Iterable[tuple[str, str]], languages: Sequence[str], rounds: int = 3, ridge: float = 1e-3, most: int = TEXTS, whiten: bool = True) -> Profiles:
+    """Profiles of a sample of texts whose labels may be wrong: of each language the first `most` in the order of a hash.
 
     Prototypes are the bundles of the texts of a language, whitened by the covariance of the sample (which
-    takes out what the languages have in common). Then every text takes the label of its nearest prototype
-    and they are made anew, until the labels stay or for some rounds: wrong labels, being the fewer, go.
+    takes out what the languages have in common). Then every text takes the label of its nearest prototype, by
+    cosine, and they are made anew, until the labels stay or for some rounds: wrong labels, being the fewer, go.
     """
-    texts = [(languages.index(lang), said) for lang, text in labelled if lang in languages and (said := words(text))]
+    by: dict[str, list[str]] = {k: [] for k in languages}
+    for lang, text in labelled:
+        if lang in by:
+            by[lang].append(text)
+    texts = [(k, said) for k, lang in enumerate(languages) for text in sorted(by[lang], key=lambda x: (crc32(x.encode()), x))[:most] if (said := words(text))]
     if not texts:
         return Profiles(languages, np.zeros((len(languages), DIMENSIONS)))
-    place = {w: i for i, w in enumerate(sorted({w for _, said in texts for w in said}))}
-    vectors = np.zeros((len(place), DIMENSIONS), np.float32)
-    for w, i in place.items():
-        vectors[i] = word_vector(w)
-    x = np.zeros((len(texts), DIMENSIONS), np.float32)
-    for i, (_, said) in enumerate(texts):
-        x[i] = vectors[[place[w] for w in said]].sum(axis=0)
+    vectors: dict[str, np.ndarray] = {}
+    x, alone = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(languages))
+    for i, (k, said) in enumerate(texts):
+        for w in said:
+            if (v := vectors.get(w)) is None:
+                v = vectors[w] = word_vector(w)
+            x[i] += v
+            alone[k] += np.dot(v.astype(np.float32), v)
+    vectors.clear()
+    given = np.array([k for k, _ in texts])
+    n_words = np.bincount(given, [len(said) for _, said in texts], len(languages))
+    together = np.array([(x[given == k].sum(axis=0, dtype=np.float64) ** 2).sum() for k in range(len(languages))])
+    shared = (together - alone) / np.maximum(n_words * (n_words - 1), 1)  # of two different words
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    labels = np.array([k for k, _ in texts])
+    labels = given
     for _ in range(rounds):
         y = np.eye(len(languages), dtype=np.float32)[labels]
         weight = y @ (1 / np.maximum(y.sum(axis=0), 1)) / len(languages)  # every language as much as any other
-        weighted = (x * weight[:, None]).T
-        covariance = (weighted @ x).astype(np.float64)
-        covariance[np.diag_indices(DIMENSIONS)] += ridge
-        prototypes = np.linalg.solve(covariance, (weighted @ y).astype(np.float64)).T
+        bundles = ((x * weight[:, None]).T @ y).astype(np.float64)
+        if whiten:
+            covariance = np.zeros((DIMENSIONS, DIMENSIONS))
+            for a in range(0, len(x), 1024):
+                covariance += (x[a : a + 1024] * weight[a : a + 1024, None]).T @ x[a : a + 1024]
+            covariance[np.diag_indices(DIMENSIONS)] += ridge
+            bundles = np.linalg.solve(covariance, bundles)
+        prototypes = _unit(bundles.T)
         now = np.argmax(x @ prototypes.T.astype(np.float32), axis=1)
         if (now == labels).all():
             break
         labels = now
-    return Profiles(languages, prototypes)
+    return Profiles(languages, prototypes, shared)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from ..session import written
-from .hyper import DIMENSIONS, KEPT, Profiles, confidence, cosines, fitted, words
+from .hyper import DIMENSIONS, KEPT, Profiles, confidence, fitted, words
 from .ocr import HYPHENS, line_kind, scanned
 from .sentences import sentence_starts
 from .tokens import TOKENS_PER_BLOCK
@@ -159,7 +159,7 @@ def stretches_of(text: str, profiles: Profiles) -> list[tuple[int, int, str, int
     main = int(totals[-1, :-1].argmax())
     if _strange(totals[:, :-1], main) <= FAMILIAR * _UNIT:
         lang = profiles.languages[main]
-        return [(0, len(text), lang, _n_words(text, lang), confidence(cosines(totals[-1])))]
+        return [(0, len(text), lang, _n_words(text, lang), confidence(profiles.cosines(totals[-1], len(said))))]
     places = [m.span() for m in _WORDS.finditer(text)]
     if len(places) != len(said):  # a letter whose small form is not one letter
         totals = np.vstack([np.zeros(rows.shape[1]), np.cumsum(profiles.rows([text[a:b].lower() for a, b in places]), axis=0)])
@@ -167,10 +167,19 @@ def stretches_of(text: str, profiles: Profiles) -> list[tuple[int, int, str, int
     for a, b, k, i, j in _parts(text, places, totals[:, :-1]):
         if k >= 0:
             lang = profiles.languages[k]
-            out.append((a, b, lang, _n_words(text[a:b], lang), confidence(cosines(totals[j] - totals[i]))))
+            out.append((a, b, lang, _n_words(text[a:b], lang), confidence(profiles.cosines(totals[j] - totals[i], j - i))))
     return out
 
 
+def spans(profiles: Profiles):
+    """A function of a text: (start, end, lang) of its stretches of one language."""
+
+    def of(text: str) -> list[tuple[int, int, str]]:
+        return [x[:3] for x in stretches_of(text, profiles)]
+
+    return of
+
+
 def _stretches(profiles: Profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

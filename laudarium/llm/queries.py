@@ -19,6 +19,11 @@ def _languages(rows: DataFrame, labels: DataFrame, editions: DataFrame) -> DataF
     return langid.section_languages(langid.stretches(rows, labels, editions), labels)
 
 
+def _sentences(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Sentences by the tables of the languages that texts are found to be in."""
+    return lambda rows, labels, editions: f(rows, spans=langid.spans(langid.section_profiles(rows, labels, editions)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": _on(frequency.found, "parsed_tokens"),
     "p1_terms": _on(frequency.term_frequency, "parsed_tokens"),
@@ -28,8 +33,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_stretches": _on(langid.stretches, "edition_rows", "section_labels", "editions"),
     "p3_sections": _on(_languages, "edition_rows", "section_labels", "editions"),
     "p3_token_paragraphs": _on(langid.token_paragraphs, "parsed_tokens"),
-    "p4_found": _on(sentences.found, "edition_rows"),
-    "p4_sentences": _on(sentences.sentences, "edition_rows"),
+    "p4_found": _on(_sentences(sentences.found), "edition_rows", "section_labels", "editions"),
+    "p4_sentences": _on(_sentences(sentences.sentences), "edition_rows", "section_labels", "editions"),
     "p5_found": _on(chunking.found, "edition_rows"),
     "p5_pieces": _on(chunking.pieces, "edition_rows"),
     "p6_found": _on(cooccurrence.found, "parsed_tokens"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import pandas as pd
@@ -61,18 +61,21 @@ TABLES: dict[str, list[Rule]] = {
     "initials": [(KEEP, r"(?<!\p{L})\p{Lu}\.$", r"\s*\S")],
     "default": [(BREAK, r"[.!?…]$", r"\s*\S"), (BREAK, r"[.!?…][)\]]+$", r"\s+\S")],
 }
-#: Languages whose tables are asked one after the other, after what holds for all; texts mix languages.
+#: Languages with a table of their own, asked after what holds for all. Where the language is not known, all are, one after the other.
 LANGUAGES = ("de", "fr", "la", "pl", "uk")
+Spans = Callable[[str], list[tuple[int, int, str]]]
 
 
-@lru_cache(8)
-def _cascade(languages: Sequence[str]) -> list[tuple[bool, regex.Pattern, regex.Pattern]]:
+@lru_cache(16)
+def _cascade(languages: tuple[str, ...]) -> list[tuple[bool, regex.Pattern, regex.Pattern]]:
     names = ["speech", "zh", "hy", "numbers", "lower", "ends", *languages, "initials", "default"]
     return [(yes, regex.compile(before), regex.compile(after)) for name in names for yes, before, after in TABLES[name]]
 
 
 _PLACE = regex.compile(r"[.!?…։。！？]+[)\]]*")
-_WINDOW = 16  # characters before a place that a rule may look at
+_BLANKS = regex.compile(r"\s*")
+#: Characters before a place that rules look at: more than any abbreviation, number or reference in the tables has.
+REACH = 48
 
 
 def _speeches(text: str) -> list[tuple[int, int]]:
@@ -88,14 +91,18 @@ def _speeches(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def sentence_starts(text: str | None, languages: Sequence[str] = LANGUAGES, title: bool = False) -> list[int]:
-    """Places of the first characters of the sentences; none in a null or blank text. A title is one sentence."""
+def sentence_starts(text: str | None, languages: Sequence[str] = LANGUAGES, title: bool = False, spans: Sequence[tuple[int, int, str]] = ()) -> list[int]:
+    """Places of the first characters of the sentences; none in a null or blank text. A title is one sentence.
+
+    spans are (start, end, language) in order: a place within one is decided by the table of that language alone,
+    any other by those of `languages`.
+    """
     if text is None or not text.strip():
         return []
     starts = [len(text) - len(text.lstrip())]
     if title:
         return starts
-    rules = _cascade(tuple(languages))
+    rules, given, own = _cascade(tuple(languages)), iter(spans), None
     speeches = _speeches(text)
     places = [b for a, b in speeches if text[a + 1 : b - 1].rstrip()[-1:] in tuple(STOPS)]
     k = 0
@@ -105,22 +112,25 @@ def sentence_starts(text: str | None, languages: Sequence[str] = LANGUAGES, titl
         if k == len(speeches) or speeches[k][0] > m.start():
             places.append(m.end())
     for place in sorted(set(places)):
-        before = text[max(0, place - _WINDOW) : place]
-        for yes, b, a in rules:
+        while spans and (own is None or own[1] < place) and (further := next(given, None)):
+            own = further
+        known = own is not None and own[0] < place <= own[1]
+        before = text[max(0, place - REACH) : place]
+        for yes, b, a in _cascade((own[2],) if own[2] in LANGUAGES else ()) if known else rules:
             if a.match(text, place) and b.search(before):
                 if yes:
-                    rest = text[place:]
-                    starts.append(place + len(rest) - len(rest.lstrip()))
+                    starts.append(_BLANKS.match(text, place).end())
                 break
     return starts
 
 
-def _rows(languages: Sequence[str]):
+def _rows(languages: Sequence[str], spans: Spans | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for section, par, text, title in zip(batch["section_id"], batch["par_n"], batch["paragraph"], batch["title"]):
-                starts = sentence_starts(text, languages, bool(title))
+                own = spans(text) if spans and not title and _PLACE.search(text) else ()
+                starts = sentence_starts(text, languages, bool(title), own)
                 for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(text or "")]), 1):
                     rows.append((section, par, n, a, text[a:b].rstrip()))
             yield pd.DataFrame(rows, columns=["section_id", "par_n", "sent_n", "sent_start", "sentence"]).astype({"section_id": "Int64", "par_n": "Int32"})
@@ -128,17 +138,19 @@ def _rows(languages: Sequence[str]):
     return run
 
 
-def sentences(rows: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
+def sentences(rows: DataFrame, languages: Sequence[str] = LANGUAGES, spans: Spans | None = None) -> DataFrame:
     """(section_id, par_n, sent_n, sent_start, sentence) of every paragraph, scanned or not.
 
-    sent_start counts code points from 0. Speech stays in the sentence that quotes it. The first paragraph of
-    a document is its title, one sentence. Copies count once; null, empty and blank paragraphs have no
-    sentences. Paragraphs are single rows, so nothing is gathered, however long a section is.
+    spans gives the stretches of one language of a text (as langid.spans does): each is cut by the table of its
+    language. Without it all tables hold for all texts. sent_start counts code points from 0. Speech stays in
+    the sentence that quotes it. The first paragraph of a document is its title, one sentence. Copies count
+    once; null, empty and blank paragraphs have no sentences. Paragraphs are single rows, so nothing is
+    gathered, however long a section is.
     """
     title = (F.col("par_n") == 1) & (F.coalesce("section_type", F.lit("")) == "document")
     one = rows.where("paragraph is not null").select("section_id", "par_n", "paragraph", F.coalesce(title, F.lit(False)).alias("title")).distinct()
-    return one.mapInPandas(_rows(tuple(languages)), "section_id long, par_n int, sent_n int, sent_start int, sentence string")
+    return one.mapInPandas(_rows(tuple(languages), spans), "section_id long, par_n int, sent_n int, sent_start int, sentence string")
 
 
-def found(rows: DataFrame) -> DataFrame:
-    return sentences(rows.where("scan_page = -1")).select("section_id", "par_n", "sent_start").distinct()
+def found(rows: DataFrame, spans: Spans | None = None) -> DataFrame:
+    return sentences(rows.where("scan_page = -1"), spans=spans).select("section_id", "par_n", "sent_start").distinct()

@@ -1,9 +1,15 @@
 from __future__ import annotations
 
+import os
+from collections import Counter, defaultdict
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from laudarium.llm import langid
+from laudarium.llm.hyper import fitted, word_vector, words
+from laudarium.llm.sentences import sentence_starts
 from laudarium.session import table
 
 PL = "Szlachta ziemi naszej uchwaliła pobór łanowy na sejmiku dla całości Rzeczypospolitej."
@@ -45,6 +51,60 @@ def test_nothing(small, rows, spark, editions, tokens):
     assert langid.stretches(rows([(1, 2, PL)]), labels.limit(0), editions).count() >= 0
 
 
+#: Words that stand in one of the languages alone: what a text is, without any profile.
+ONLY = {"pl": "i w na z nie się do że jest są przez oraz", "la": "et cum quod non ad est atque per quae sunt ut eius", "de": "und der die das nicht ist mit von den wird zu auf", "fr": "les des est une dans pour qui que du au sur avec"}
+
+
+def _held_out(spark, sf_dir):
+    """(sample, texts) as (language, sentence): sections of even hash are the sample, with labels as they are given; of the others the language is that of their small words, and none that is also in the sample is taken."""
+    rows, labels, editions = (table(spark, sf_dir, t) for t in ("edition_rows", "section_labels", "editions"))
+    text = langid.plain_text(rows, editions)
+    named = labels.select("section_id", langid.label_names(F.col("lang_label")).alias("n")).where(F.size("n") == 1).select("section_id", F.col("n")[0].alias("lang"))
+    sample, texts, seen = [], [], set()
+    for r in text.join(named, "section_id", "left").withColumn("even", F.pmod(F.xxhash64("section_id"), F.lit(2)) == 0).orderBy("section_id", "par_n").collect():
+        starts = sentence_starts(r["text"])
+        said = [r["text"][a:b] for a, b in zip(starts, [*starts[1:], len(r["text"])])]
+        if r["even"] and r["lang"]:
+            sample += [(r["lang"], x) for x in said]
+            seen.update(said)
+        elif not r["even"]:
+            texts += said
+    small = {w: k for k, ws in ONLY.items() for w in ws.split()}
+    out = []
+    for x in texts:
+        n = Counter(small[w] for w in words(x) if w in small)
+        if x not in seen and len(words(x)) >= langid.STRETCH and sum(n.values()) >= 2 and len(n) == 1:
+            out.append((n.most_common(1)[0][0], x))
+    return sample, out
+
+
+def _right(profiles, texts):
+    by = defaultdict(list)
+    for lang, x in texts:
+        by[lang].append(profiles.languages[int(profiles.cosines(profiles.rows(words(x)).sum(axis=0), len(words(x))).argmax())] == lang)
+    return {k: (sum(v) / len(v), len(v)) for k, v in by.items()}
+
+
+def test_accuracy_by_language_on_texts_held_out(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test data here")
+    sample, texts = _held_out(spark, sf_dir)
+    for whiten in (True, False):
+        of = _right(fitted(sample, langid.LANGUAGES, whiten=whiten), texts)
+        print(whiten, of)
+        assert set(of) == set(ONLY) and all(n >= 20 for _, n in of.values())
+        assert not whiten or min(r for r, _ in of.values()) > 0.97
+
+
+def test_prototypes_are_compared_by_cosine():
+    p = fitted([("pl", PL), ("la", LA), ("la", LA + " " + LA)], ("pl", "la"))
+    assert np.allclose(np.linalg.norm(p.own, axis=1), 1)
+    for text in (PL, LA, f"{LA} {PL} {LA}"):
+        x = sum(word_vector(w).astype(float) for w in words(text))
+        assert np.allclose(p.cosines(p.rows(words(text)).sum(axis=0), len(words(text))), p.own @ x / np.linalg.norm(x), atol=0.12)  # the length of a text is estimated
+
+
 def test_held_out_accuracy(spark, sf_dir):
     """Texts in scripts of their own show what is right; the labels that profiles are made of are wrong in part."""
     rows, labels, editions = (table(spark, sf_dir, t) for t in ("edition_rows", "section_labels", "editions"))

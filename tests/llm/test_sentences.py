@@ -42,3 +42,25 @@ def test_rows(rows, clashing):
     assert got == sorted([(1, 1, 0), (1, 2, 0), (1, 2, 4), (2, 1, 0), (2, 1, 4), (None, 2, 0)], key=str)
     assert sentences(rows(given)).where("section_id = 4").count() == 2
     assert found(rows([])).count() == 0
+
+
+def test_a_place_is_decided_by_the_table_of_its_language():
+    from laudarium.llm.sentences import sentence_starts
+
+    one, two = "Widział to v. Potem odszedł.", "Vide cap. Secundum dicit."
+    assert len(sentence_starts(one)) == 1 and len(sentence_starts(one, spans=[(0, len(one), "pl")])) == 2
+    assert len(sentence_starts(two, spans=[(0, len(two), "la")])) == 1 and len(sentence_starts(two, spans=[(0, len(two), "pl")])) == 2
+    mixed = f"{one} {two}"
+    own = [(0, len(one) + 1, "pl"), (len(one) + 1, len(mixed), "la")]
+    assert sentence_starts(mixed, spans=own) == [0, mixed.index("Potem"), mixed.index("Vide")]
+    assert sentence_starts(mixed, spans=own[1:]) == [0, mixed.index("Vide")]
+    long = "Zob. rozdz. " + " " * 20 + "XXVIII. Dalej."
+    assert len(sentence_starts(long, spans=[(0, len(long), "pl")])) == 2
+
+
+def test_sentences_of_found_languages(rows, clashing):
+    from laudarium.llm.sentences import sentences
+
+    given = clashing(rows([(1, 2, "Widział to v. Potem odszedł."), (1, 1, "Tytuł v. Potem."), (1, 3, None), (1, 4, " ")]))
+    by = lambda spans: {(r.par_n, r.sent_start) for r in sentences(given, spans=spans).collect()}
+    assert by(None) == {(1, 0), (2, 0)} and by(lambda text: [(0, len(text), "pl")]) == {(1, 0), (2, 0), (2, 14)}
