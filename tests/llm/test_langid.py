@@ -95,14 +95,13 @@ def test_accuracy_by_language_on_texts_held_out(spark):
         print(whiten, of)
         assert set(of) == set(ONLY) and all(n >= 20 for _, n in of.values())
         assert not whiten or min(r for r, _ in of.values()) > 0.97
-
-
-def test_prototypes_are_compared_by_cosine():
-    p = fitted([("pl", PL), ("la", LA), ("la", LA + " " + LA)], ("pl", "la"))
+    p = fitted(sample, langid.LANGUAGES)
     assert np.allclose(np.linalg.norm(p.own, axis=1), 1)
-    for text in (PL, LA, f"{LA} {PL} {LA}"):
+    off = []
+    for _, text in texts[:: max(1, len(texts) // 80)]:  # the length of a text is estimated
         x = sum(word_vector(w).astype(float) for w in words(text))
-        assert np.allclose(p.cosines(p.rows(words(text)).sum(axis=0), len(words(text))), p.own @ x / np.linalg.norm(x), atol=0.12)  # the length of a text is estimated
+        off.append(np.abs(p.cosines(p.rows(words(text)).sum(axis=0), len(words(text))) - p.own @ x / np.linalg.norm(x)).max())
+    assert np.median(off) < 0.06 and max(off) < 0.2
 
 
 def test_held_out_accuracy(spark, sf_dir):
