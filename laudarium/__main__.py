@@ -127,8 +127,13 @@ def rate(spark: SparkSession, args: argparse.Namespace) -> None:
     pages = files.config(args.config).get("dev__true_document_pages")
     if not pages:
         raise SystemExit("no true pages in the config")
-    lengths = [r.text_length for r in editions.sections(editions.paragraphs(spark, args.edition)).where("section_type = 'document'").orderBy("section_id").select("text_length").collect()]  # one book's documents
-    print(json.dumps(dict(zip(("distance", "difference", "score"), score.indexing_score(lengths, pages)))))
+    documents = editions.sections(editions.paragraphs(spark, args.edition)).where("section_type = 'document'")
+    found = documents.select(F.lit("e").alias("edition"), F.col("section_id").alias("document_n"), "text_length")
+    truth = spark.createDataFrame([("e", n, x) for n, x in enumerate(score.true_lengths(pages))], "edition string, document_n int, pages int")
+    row = score.indexing_scores(found, truth).first()
+    if row is None or row["distance"] is None:
+        raise SystemExit("fewer than half as many documents as in the truth are not scored")
+    print(json.dumps({k: row[k] for k in ("distance", "difference", "score")}))
 
 
 def _whole(rows: DataFrame) -> DataFrame:

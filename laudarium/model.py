@@ -35,9 +35,9 @@ def documents_only(found: DataFrame) -> DataFrame:
 
 
 def tokens(parsed_tokens: DataFrame, editions: DataFrame | None = None) -> DataFrame:
-    """Tagged tokens without copies; with editions also the palatinate and convent_location of their books."""
+    """Tagged tokens without copies (rows that differ in any content stay); with editions also the palatinate and convent_location of their books."""
     cols = ["section_id", "book_title", "par_n", "tok_n", "form", "lemma", "interp", "proper_name", "unknown_form", "latin", "corrected"]
-    once = parsed_tokens.select(*cols).dropDuplicates(["section_id", "par_n", "tok_n", "form", "lemma"])
+    once = parsed_tokens.select(*cols).distinct()
     if editions is None:
         return once
     books = editions.select("book_title", "palatinate", "convent_location").dropDuplicates(["book_title"])

@@ -88,7 +88,7 @@ def _rules(rows: DataFrame, kw: DataFrame) -> DataFrame:
 def _edition(rows: DataFrame) -> DataFrame:
     """Scanned paragraphs as an edition's own: edition, page_n, par_n, text."""
     scans = model.paragraphs(rows).where("scan_page >= 0 and paragraph is not null")
-    return scans.select(F.col("book_title").alias("edition"), F.col("scan_page").alias("page_n"), (F.col("section_id") * 10000 + F.col("par_n")).alias("par_n"), F.col("paragraph").alias("text"))
+    return scans.select(F.col("book_title").alias("edition"), F.col("scan_page").alias("page_n"), F.struct("section_id", "par_n").alias("par_n"), F.col("paragraph").alias("text"))
 
 
 def _segmented(rows: DataFrame) -> DataFrame:
@@ -180,8 +180,8 @@ def _correct(parsed: DataFrame) -> DataFrame:
 def _variants(parsed: DataFrame) -> DataFrame:
     """Each place of a paragraph as a position of a lattice."""
     t = model.tokens(parsed).where("par_n is not null and tok_n is not null")
-    arcs = t.select((F.col("section_id") * 1000 + F.col("par_n")).alias("sent"), (F.col("tok_n") - 1).alias("start"), F.col("tok_n").alias("end"), F.col("form").alias("orth"), F.col("lemma").alias("base"), codec.interp_str(F.col("interp")).alias("tag"), F.lit(0).alias("arc_n"))
-    return lattice.weighted_arcs(arcs).groupBy("sent").agg(F.count("*").alias("arcs"), F.sum("prob").alias("prob"), F.max(F.when(F.col("eos") == "eos", F.col("end"))).alias("last"))
+    arcs = t.select(F.struct("section_id", "par_n").alias("sent"), (F.col("tok_n") - 1).alias("start"), F.col("tok_n").alias("end"), F.col("form").alias("orth"), F.col("lemma").alias("base"), codec.interp_str(F.col("interp")).alias("tag"), F.lit(0).alias("arc_n"))
+    return lattice.weighted_arcs(arcs).groupBy("sent").agg(F.count("*").alias("arcs"), F.sum("prob").alias("prob"), F.max(F.when(F.col("eos") == "eos", F.col("end"))).alias("last")).select("sent.section_id", "sent.par_n", "arcs", "prob", "last")
 
 
 def _token_sentences(parsed: DataFrame) -> DataFrame:
@@ -190,12 +190,12 @@ def _token_sentences(parsed: DataFrame) -> DataFrame:
     return lattice.split_sentences(places).groupBy("par", "sent_n").agg(F.count("*").alias("n_tokens")).select("par.section_id", "par.par_n", "sent_n", "n_tokens")
 
 
-def _scores(rows: DataFrame, editions: DataFrame) -> DataFrame:
-    """Books as found against the same books with every document of equal length."""
-    s = model.sections(rows).where("book_title is not null and section_type = 'document'")
-    by = Window.partitionBy("book_title").orderBy("section_id")
-    docs = s.select(F.col("book_title").alias("edition"), F.row_number().over(by).alias("document_n"), "text_length")
-    return score.distance_of_equal(docs, docs.select("edition", "document_n", F.lit(2).alias("pages"))).select("edition", F.round("distance", 6).alias("distance"))
+def _scores(rows: DataFrame) -> DataFrame:
+    """Scanned books as segment_documents tells their documents apart, against the pages on which their own documents begin."""
+    own = model.documents_only(model.sections(rows)).join(_pages(rows), "section_id").where("book_title is not null and start_page >= 0")
+    truth = score.page_lengths(own.select(F.col("book_title").alias("edition"), F.col("section_id").alias("document_n"), "start_page"))
+    documents = _segmented(rows).where("section_type = 'document'").groupBy("edition", F.col("section_n").alias("document_n")).agg((F.sum(F.length("text")) + 2 * (F.count("*") - 1)).alias("text_length"))
+    return score.indexing_scores(documents, truth).select("edition", F.round("distance", 6).alias("distance"), "difference", F.round("score", 6).alias("score"))
 
 
 def _document_ids(rows: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ QUERIES: dict[str, Query] = {
     "decided_sections": _on(_decided, "edition_rows"),
     "lattice_arcs": _on(_variants, "parsed_tokens"),
     "token_sentences": _on(_token_sentences, "parsed_tokens"),
-    "indexing_scores": _on(_scores, "edition_rows", "editions"),
+    "indexing_scores": _on(_scores, "edition_rows"),
     "document_ids": _on(_document_ids, "edition_rows"),
     "html_report": _on(_html, "edition_rows"),
     "near_sections": _on(lambda r: review.near(model.sections(r).select(F.col("section_id").alias("section_n"), "section_type", "n_paragraphs"), 100), "edition_rows"),

@@ -339,12 +339,7 @@ numbered as (select *, coalesce(sum(ended) over (partition by section_id, par_n
 select section_id, par_n, sent_n, count(*) as n_tokens from numbered group by all""",
     "lattice_arcs": _TOKENS
     + """,
-arcs as (select section_id * 1000 + par_n as sent, tok_n from tokens where par_n is not null and tok_n is not null)
-select sent, count(*) as arcs, count(distinct tok_n)::double as prob, max(tok_n) as last from arcs group by sent""",
-    "indexing_scores": _PARAGRAPHS
-    + """,
-docs as (select book_title, text_length from sections where book_title is not null and section_type = 'document'),
-sums as (select book_title, sum(text_length) as size, count(*) as n from docs group by book_title)
-select d.book_title as edition, round(sqrt(sum(pow(2 - text_length / size * 2 * n, 2))), 6) as distance from docs d join sums s on s.book_title = d.book_title group by d.book_title""",
+arcs as (select section_id, par_n, tok_n from tokens where par_n is not null and tok_n is not null)
+select section_id, par_n, count(*) as arcs, count(distinct tok_n)::double as prob, max(tok_n) as last from arcs group by section_id, par_n""",
     "near_sections": _PARAGRAPHS + "select section_id as section_n, section_type, n_paragraphs from sections where abs(section_id - 100) <= 4",
 }

@@ -4,6 +4,8 @@ import datetime
 import math
 from collections import Counter
 
+import random
+
 import pytest
 
 from laudarium.operators import collocations, correction, decisions, frequency, keywords, lattice, review, score, search, subsets, tagging
@@ -138,13 +140,50 @@ def test_tagging_boundary(spark):
     assert [(r.offset, r.pause) for r in tagging.transfer_spaces(raw).orderBy("tok_n").collect()] == [(0, ""), (5, "  "), (-1, ""), (8, " ")]
 
 
-def test_scores():
-    assert score.indexing_score([10, 20, 30], [1, 2, 4, 7])[0] == pytest.approx(score.indexing_score([1, 2, 3], [1, 2, 4, 7])[0])
-    assert score.indexing_score([2, 3, 4], [0, 1, 3, 6])[:2] == (0.0, 0)
-    distance, more, total = score.indexing_score([1, 1, 3, 4], [0, 1, 3, 6])
-    assert more == 1 and total == distance + 1
-    with pytest.raises(ValueError):
-        score.indexing_score([5], [0, 1, 3])
+def _walked(found, true):
+    """The distance of one way through an edition, documents as lists of numbers."""
+    n, m = len(found), len(true)
+    if n >= m:
+        parts = [[found[0]]]
+        for i in range(1, n):
+            whole, goal = sum(parts[-1]), true[len(parts) - 1]
+            enough = n - i - 1 >= m - len(parts)
+            if len(parts) == m or (enough and abs(whole + found[i] - goal) < abs(whole - goal)):
+                parts[-1].append(found[i])
+            else:
+                parts.append([found[i]])
+        lengths = [sum(p) for p in parts]
+    else:
+        lengths = []
+        for i, x in enumerate(found):
+            rest, left = true[len(lengths) :], n - i
+            shares = [x * t / sum(rest[:2]) for t in rest[:2]]
+            far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+            must = len(rest) >= 2 * left
+            better = i + 1 < n and len(rest) > 1 and far(shares, rest) < far([x, found[i + 1]], rest)
+            lengths += shares if len(rest) > left and (must or better) else [x]
+    assert len(lengths) == m
+    return sum((x - y) ** 2 for x, y in zip(lengths, true)) ** 0.5
+
+
+def test_scores_are_those_of_a_walk_through_each_edition(spark):
+    assert score.true_lengths([1, 2, 4, 7]) == [2, 3, 4]
+    rng, given, truth, want = random.Random(3), [], [], {}
+    for k in range(60):
+        lengths, pages = [rng.choice([0, 3, 900, rng.randint(1, 4000)]) for _ in range(rng.randint(1, 9))], [rng.randint(1, 6) for _ in range(rng.randint(1, 9))]
+        given += [(f"e{k}", n, x) for n, x in enumerate(lengths)]
+        truth += [(f"e{k}", n, x) for n, x in enumerate(pages)]
+        scaled = [x / sum(lengths) * sum(pages) for x in lengths] if sum(lengths) else None
+        known = scaled and 2 * len(lengths) >= len(pages)
+        want[f"e{k}"] = (pytest.approx(min(_walked(scaled, pages), _walked(scaled[::-1], pages[::-1]))) if known else None, abs(len(lengths) - len(pages)))
+    found = spark.createDataFrame([*given, ("none", 0, 5)], "edition string, document_n int, text_length long")
+    got = {r.edition: (r.distance, r.difference) for r in score.indexing_scores(found, spark.createDataFrame(truth, "edition string, document_n int, pages int")).collect()}
+    assert got == want
+    starts = spark.createDataFrame([("a", n, p) for n, p in enumerate([1, 2, 4, 7])], "edition string, document_n int, start_page int")
+    assert [r.pages for r in score.page_lengths(starts).orderBy("document_n").collect()] == [2, 3, 4]
+    exact = score.indexing_scores(spark.createDataFrame([("a", n, x) for n, x in enumerate([20, 30, 40])], found.schema), score.page_lengths(starts)).first()
+    assert tuple(exact) == ("a", 0.0, 0, 0.0)
+    assert score.indexing_scores(found.limit(0), score.page_lengths(starts)).count() == 0
 
 
 def test_decisions_and_their_log(spark, tmp_path):
