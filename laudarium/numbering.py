@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import written
@@ -29,3 +30,37 @@ def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
         .withColumn(name, F.col("_start") + F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1))
         .drop("_part", "_start", "_at")
     )
+
+
+def nearest(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], values: dict[str, Column], after: bool = False) -> DataFrame:
+    """df with, by name, the last value that is not null in the rows before a row, or with `after` the first in those after it.
+
+    Rows of equal keys (not null) stand in the order of `order`; block must not fall in that order. Values go on
+    over the blocks first and within a block then, so a task has a block, never all rows of a key.
+    """
+    own = [*keys, "_block"]
+    marked = df.withColumn("_block", block).withColumns({f"_of_{n}": v for n, v in values.items()})
+    side = (lambda c: F.col(c).desc()) if after else (lambda c: F.col(c).asc())
+    within = Window.partitionBy(*own).orderBy(*map(side, order)).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*keys).orderBy(side("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    edge = F.min_by if after else F.max_by
+    place = lambda n: F.when(F.col(f"_of_{n}").isNotNull(), F.struct(*order))
+    edges = marked.groupBy(*own).agg(*[edge(f"_of_{n}", place(n)).alias(f"_edge_{n}") for n in values])
+    carried = edges.select(*own, *[F.last(f"_edge_{n}", ignorenulls=True).over(over).alias(f"_edge_{n}") for n in values])
+    inner = marked.withColumns({n: F.last(f"_of_{n}", ignorenulls=True).over(within) for n in values})
+    out = inner.join(carried, own).withColumns({n: F.coalesce(n, f"_edge_{n}") for n in values})
+    return out.drop("_block", *[f"_of_{n}" for n in values], *[f"_edge_{n}" for n in values])
+
+
+def running(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], values: dict[str, Column], inclusive: bool = True) -> DataFrame:
+    """df with, by name, the sum of a value over the rows up to a row (before it, if not inclusive); blocks as in nearest()."""
+    own = [*keys, "_block"]
+    marked = df.withColumn("_block", block).withColumns({f"_of_{n}": v for n, v in values.items()})
+    within = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = marked.groupBy(*own).agg(*[F.sum(f"_of_{n}").alias(f"_edge_{n}") for n in values])
+    carried = sums.select(*own, *[F.sum(f"_edge_{n}").over(over).alias(f"_edge_{n}") for n in values])
+    inner = marked.withColumns({n: F.sum(f"_of_{n}").over(within) for n in values})
+    zero = F.lit(0)
+    out = inner.join(carried, own).withColumns({n: F.coalesce(n, zero) + F.coalesce(f"_edge_{n}", zero) for n in values})
+    return out.drop("_block", *[f"_of_{n}" for n in values], *[f"_edge_{n}" for n in values])
