@@ -4,30 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, combinations
+from itertools import accumulate
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
+from ..numbering import nearest, running
 from ..session import written
 
-# What a scanner reads, and what was printed; a pair costs CONFUSED in the edit distance.
+# What a scanner reads, and what was printed; a pair costs CONFUSED in the edit distance. What else is confused is learnt from the words.
 CONFUSIONS = {
     "c": "eć", "e": "cęé", "5": "s", "0": "oо", "f": "te", "1": "liı", "q": "g", "t": "łf", "н": "ип", "n": "вu", "u": "n", "и": "п", "3": "зz", "ç": "ę", "6": "бó", "m": "ш",
     "ć": "é", "λ": "a", "8": "b", "l": "ł1i", "i": "l", "o": "ó0", "a": "ą", "z": "żź", "s": "ś5", "б": "6", "h": "b", "b": "h", "ь": "ъ", "ш": "щ",
     "!": "il", "«": "a", "|": "l", "z:": "ż", "s'": "ś", "c'": "ć", "n'": "ń", "z'": "źż", "o'": "ó",
     "ii": "nuü", "li": "h", "lj": "b", "cl": "d", "vv": "w", "rn": "m", "iii": "m", "ij": "y", "lc": "k",
 }
-CONFUSED, FAR = 0.25, 9.0
-#: At most so much edit distance between a misread word and its repair: two confusions.
+CONFUSED = 0.25
+#: Any other edit of one character.
+OTHER = 1.0
+#: At most so much edit distance between a misread word and its repair: two listed confusions, or one that was learnt.
 MOST = 0.5
+#: A pair of letters is learnt as a confusion if so many misread words show it, and so many times as often as words that are all known differ by it.
+SHOWN, LIFT = 5, 8.0
+#: A run of more letters is no word, and is not repaired.
+LONGEST = 64
+#: Rows of a section that one task looks through for the next one.
+ROWS = 4096
 #: A word that no unscanned text holds is misread if a word near to it is so many times as frequent.
 TIMES = 3
+#: Words of fewer letters are not repaired.
+SHORTEST = 2
 HYPHENS = "-­‐‑–¬="
 
 #: A word as a scanner leaves it: some marks stand for letters within a word, or at its ends.
@@ -107,9 +119,9 @@ def line_kind(line: str, title: str | None, page: int | None) -> tuple[bool, boo
     A number alone in a line counts if it is that of the page or of the next one, where a paragraph runs on; if
     none is known, if it stands in dashes or brackets or after str. A number beside a header always counts.
     """
-    if len(line) > 120 or _PROSE.search(line) and not _YEAR_HINT.search(line):
-        return False, False
     title = title or ""
+    if _PROSE.search(line) and not _YEAR_HINT.search(line) or len(line) > 80 and len(" ".join(line.split())) > 80 + 2 * len(title):  # longer than the title, a year and a number can be
+        return False, False
     if m := _ALONE.fullmatch(line):
         n = page_number(m[1])
         if n is None:
@@ -198,16 +210,10 @@ def readings(rows: DataFrame, editions: DataFrame) -> DataFrame:
     """What each scanned row holds; a word that breaks at the end of a row is joined with the next row that has text."""
     pages = scanned(rows, editions).select("section_id", "par_n", "paragraph", "book_title", "page")
     read = written(pages.mapInArrow(_readings, _READING), "readings")
-    head = F.struct(F.col("head").alias("rest"), F.col("par_n").alias("rest_par"), F.col("head_line").alias("rest_line"))
-    heads = read.select("section_id", F.col("par_n").alias("next_n"), head.alias("head"), F.col("has_text").alias("next_text"))
-    after = lambda k: heads.select("section_id", (F.col("next_n") - k).alias("par_n"), F.col("head").alias(f"head_{k}"), F.col("next_text").alias(f"text_{k}"))
-    open_ends = read.where("last_part is not null").select("section_id", "par_n", "last_line", "last_part")
-    joined = (
-        open_ends.join(after(1), ["section_id", "par_n"], "left").join(after(2), ["section_id", "par_n"], "left")
-        .withColumn("next", F.when(F.col("text_1"), F.col("head_1")).when(F.col("text_1") == F.lit(False), F.col("head_2")))
-        .where("next.rest is not null")
-        .groupBy("section_id", "par_n").agg(F.max(F.struct(F.col("last_line").alias("line_n"), F.col("last_part").alias("first"), "next.rest", "next.rest_par", "next.rest_line")).alias("over"))
-    )
+    slim = read.where("section_id is not null and par_n is not null").select("section_id", "par_n", "last_line", "last_part", F.when(F.col("has_text"), F.struct("head", "par_n", "head_line")).alias("own"))
+    at = nearest(slim, ["section_id"], F.floor(F.col("par_n") / ROWS), ["par_n", "last_line"], {"next": F.col("own")}, after=True)
+    over = F.struct(F.col("last_line").alias("line_n"), F.col("last_part").alias("first"), F.col("next.head").alias("rest"), F.col("next.par_n").alias("rest_par"), F.col("next.head_line").alias("rest_line"))
+    joined = at.where("last_part is not null and next.head is not null").groupBy("section_id", "par_n").agg(F.max(over).alias("over"))
     return read.join(joined, ["section_id", "par_n"], "left")
 
 
@@ -221,45 +227,154 @@ def lexicon(rows: DataFrame, read: DataFrame) -> DataFrame:
     return of_clean.join(of_scans, "word", "full").na.fill(0, ["n_clean", "n_scanned"])
 
 
-def _deletes(word: str, most: int) -> list[str]:
-    out = {word}
-    for k in range(1, min(most, len(word) - 1) + 1):
-        out |= {"".join(word[i] for i in range(len(word)) if i not in gone) for gone in combinations(range(len(word)), k)}
-    return sorted(out)
+Weights = dict[str, dict[str, float]]
+
+
+def listed() -> Weights:
+    return {read: {printed: CONFUSED for printed in of} for read, of in CONFUSIONS.items()}
+
+
+def _mixed(codes: np.ndarray) -> np.ndarray:
+    """Random numbers of 64 bits, the same for the same character."""
+    x = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _gone(text: str) -> int:
+    """What characters that are left out add up to, in whatever order."""
+    return int(_mixed(np.array([ord(c) for c in text], np.uint64)).sum(dtype=np.uint64)) if text else 0
+
+
+_BASE = 0x100000001B3
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
-def _deletes_of(most: int):
-    @arrow_udf(T.ArrayType(T.StringType()))
+def delete_keys(words: list[str], wanted: np.ndarray, drops: tuple[str, ...] = ()) -> list[list[tuple[int, int]]]:
+    """Of each word the (key, gone) of what stays if up to two characters are left out, where gone, the sum of those, is in wanted (sorted).
+
+    With drops, a place where one of these stands may be left out as well. Keys are rolling hashes, made for
+    all words of a length at once; equal keys that stand for different texts are told apart by the distance later.
+    """
+    out: list[list[tuple[int, int]]] = [[] for _ in words]
+    by_length: dict[int, list[tuple[int, str, int]]] = {}
+    for i, w in enumerate(words):
+        if w is None or len(w) > LONGEST:
+            continue
+        by_length.setdefault(len(w), []).append((i, w, 0))
+        for d in drops:
+            at = w.find(d)
+            while at >= 0:
+                by_length.setdefault(len(w) - len(d), []).append((i, w[:at] + w[at + len(d) :], _gone(d)))
+                at = w.find(d, at + 1)
+    power = np.cumprod(np.array([1] + [_BASE] * LONGEST, np.uint64), dtype=np.uint64)
+    back = np.uint64(_BACK)
+    for n, own in by_length.items():
+        places = np.array([i for i, _, _ in own])
+        base = np.array([g for _, _, g in own], np.uint64)
+        h = _mixed(np.array([[ord(c) for c in w] for _, w, _ in own], np.uint64).reshape(len(own), n))
+        sums = np.zeros((len(own), n + 1), np.uint64)
+        np.cumsum(h * power[:n], axis=1, dtype=np.uint64, out=sums[:, 1:])
+
+        def add(keys: np.ndarray, gone: np.ndarray, places=places) -> None:
+            at = np.minimum(np.searchsorted(wanted, gone), len(wanted) - 1)
+            hit = np.flatnonzero(wanted[at] == gone) if len(wanted) else ()
+            for k in hit:
+                out[places[k]].append((int(keys[k].view(np.int64)), int(gone[k].view(np.int64))))
+
+        whole = sums[:, n]
+        add(whole, base)
+        for i in range(n):
+            once = sums[:, i] + (whole - sums[:, i + 1]) * back
+            add(once, base + h[:, i])
+            for j in range(i + 1, n):
+                add(sums[:, i] + (sums[:, j] - sums[:, i + 1]) * back + (whole - sums[:, j + 1]) * back * back, base + h[:, i] + h[:, j])
+    return [sorted(set(x)) for x in out]
+
+
+_KEYS = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("gone", T.LongType())]))
+
+
+def _keys_of(wanted: np.ndarray, drops: tuple[str, ...] = ()):
+    @arrow_udf(_KEYS)
     def keys(words: pa.Array) -> pa.Array:
-        return pa.array([_deletes(w, most) if w and len(w) <= 40 else [w] for w in words.to_pylist()], pa.list_(pa.string()))
+        return _nested(delete_keys(words.to_pylist(), wanted, drops), {"key": pa.int64(), "gone": pa.int64()})
 
     return keys
 
 
-def misreading_cost(read: str, printed: str) -> float:
-    """Edit distance from what was read to what was printed: confusions are cheap, anything else is far."""
+def confused_sums(weights: Weights) -> list[tuple[int, int]]:
+    """(gone of what was read, gone of what was printed) of one confusion, or of two that together cost no more than MOST."""
+    pairs = [(_gone(read), _gone(printed), cost) for read, of in weights.items() for printed, cost in of.items()]
+    two = [(a + c & _ALL, b + d & _ALL) for k, (a, b, x) in enumerate(pairs) for c, d, y in pairs[k:] if x + y <= MOST]
+    return sorted({*[(a, b) for a, b, x in pairs if x <= MOST], *two})
+
+
+_ALL = (1 << 64) - 1
+
+
+def learnt(known: DataFrame, doubtful: DataFrame) -> Weights:
+    """Pairs of letters that misread words show: (word, n) that are known, and (word, own) that no unscanned text holds.
+
+    Words that differ in one letter meet by what is left of them, with the place open, so no place has more words than
+    there are letters. A pair counts where the known word is TIMES as frequent. What known words differ by among themselves
+    is how words differ anyway: the pair's cost falls from MOST to CONFUSED the more it is over that.
+    """
+    open_place = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.struct(F.concat(F.substring(c, F.lit(1), i - 1), F.lit("\x01"), F.substring(c, i + 1, F.length(c))).alias("rest"), F.substring(c, i, F.lit(1)).alias("letter"))))
+    at = lambda df, n: df.where(F.length("word").between(4, LONGEST)).select("word", F.col(n).alias("n"), open_place(F.col("word")).alias("p")).select("n", "p.rest", "p.letter")
+    own = written(at(known, "n"), "open")
+    read = at(doubtful, "own").select("rest", F.col("letter").alias("read"), F.col("n").alias("own"))
+    printed = own.select("rest", F.col("letter").alias("printed"), "n")
+    shown = read.join(printed, "rest").where(f"read <> printed and n >= own * {TIMES}").groupBy("read", "printed").agg(F.count("*").alias("shown")).where(F.col("shown") >= SHOWN)
+    usual = own.select("rest", F.col("letter").alias("read")).join(printed, "rest").where("read <> printed").groupBy("read", "printed").agg(F.count("*").alias("usual"))
+    sizes = known.agg(F.count("*").alias("n_known")).crossJoin(doubtful.agg(F.count("*").alias("n_doubtful")))  # one row each
+    lift = (F.col("shown") / F.col("n_doubtful")) / ((F.coalesce("usual", F.lit(0)) + 1) / F.col("n_known"))
+    rows = shown.join(usual, ["read", "printed"], "left").crossJoin(sizes).select("read", "printed", lift.alias("lift")).where(F.col("lift") >= LIFT).collect()  # pairs of letters
+    out: Weights = {}
+    for r in rows:
+        out.setdefault(r["read"], {})[r["printed"]] = CONFUSED + (MOST - CONFUSED) * LIFT / r["lift"]
+    return out
+
+
+def merged(*several: Weights) -> Weights:
+    """The cheapest of the given costs of each pair."""
+    out: Weights = {}
+    for weights in several:
+        for read, of in weights.items():
+            for printed, cost in of.items():
+                own = out.setdefault(read, {})
+                own[printed] = min(cost, own.get(printed, cost))
+    return out
+
+
+def misreading_cost(read: str, printed: str, weights: Weights) -> float:
+    """Edit distance from what was read to what was printed: confusions cost what they weigh, any other edit of a character OTHER."""
     n, m = len(read), len(printed)
-    if abs(n - m) > 2 * MOST / CONFUSED:
-        return FAR
-    cost = [[FAR] * (m + 1) for _ in range(n + 1)]
-    cost[0][0] = 0.0
+    widest = max(map(len, weights), default=1)
+    cost = [[(i + j) * OTHER for j in range(m + 1)] for i in range(n + 1)]
     for i in range(n + 1):
         for j in range(m + 1):
-            c = cost[i][j]
-            if c > MOST:
-                continue
-            if i < n and j < m and read[i] == printed[j]:
-                cost[i + 1][j + 1] = min(cost[i + 1][j + 1], c)
-            if j < m:
-                for k in (1, 2, 3):
-                    if i + k <= n and printed[j] in CONFUSIONS.get(read[i : i + k], ""):
-                        cost[i + k][j + 1] = min(cost[i + k][j + 1], c + CONFUSED)
+            best = cost[i][j]
+            if i:
+                best = min(best, cost[i - 1][j] + OTHER)
+            if j:
+                best = min(best, cost[i][j - 1] + OTHER)
+            if i and j:
+                best = min(best, cost[i - 1][j - 1] + (0.0 if read[i - 1] == printed[j - 1] else OTHER))
+                for k in range(1, min(widest, i) + 1):
+                    if (own := weights.get(read[i - k : i])) and printed[j - 1] in own:
+                        best = min(best, cost[i - k][j - 1] + own[printed[j - 1]])
+            cost[i][j] = best
     return cost[n][m]
 
 
-@arrow_udf(T.DoubleType())
-def _cost(read: pa.Array, printed: pa.Array) -> pa.Array:
-    return pa.array([misreading_cost(a, b) for a, b in zip(read.to_pylist(), printed.to_pylist())], pa.float64())
+def _cost_of(weights: Weights):
+    @arrow_udf(T.DoubleType())
+    def cost(read: pa.Array, printed: pa.Array) -> pa.Array:
+        return pa.array([misreading_cost(a, b, weights) for a, b in zip(read.to_pylist(), printed.to_pylist())], pa.float64())
+
+    return cost
 
 
 @arrow_udf(T.IntegerType())
@@ -289,24 +404,34 @@ _DIGIT_LETTERS = ("0135689", "olesbbg")
 def repairs(read: DataFrame, words: DataFrame, broken: DataFrame) -> DataFrame:
     """(word, repair, cost, n): every misread word in lower case with its candidates.
 
-    Words of unscanned text are the known ones. The symmetric-delete index holds each word of the lexicon
-    with one character left out or none; a word that no unscanned text holds is looked up with up to two left
-    out, so one character for one, and two for one, both meet. Of the pairs that meet, those whose weighted
-    distance is that of at most two confusions stay, if the candidate is known or TIMES as frequent. A word of
-    letters and digits without any candidate gets letters for its digits.
+    Words of unscanned text are the known ones. The symmetric-delete index holds each word of the lexicon that can be
+    a repair, with up to two characters left out; a word that no unscanned text holds is looked up with up to two
+    left out, and besides without a group of characters that is read for one. So any two confusions meet, also of two
+    or three characters for one. Left out are only characters that are confused, and pairs stay if what both lack
+    is that of one or two confusions. Of these, words whose weighted distance is at most MOST are candidates, if
+    known or TIMES as frequent. A word of letters and digits without any candidate gets letters for its digits.
     """
     extra = broken.groupBy(F.lower("joined").alias("word")).agg(F.count("*").alias("n_joined"))
     every = words.where("word not like '%-%'").join(extra, "word", "full").na.fill(0, ["n_clean", "n_scanned", "n_joined"])
     every = written(every.select("word", "n_clean", (F.col("n_scanned") + F.col("n_joined")).alias("n_scanned")), "lexicon")
-    doubtful = every.where((F.col("n_clean") == 0) & (F.length("word") >= 3) & F.col("word").rlike(r"\p{L}")).select("word", F.col("n_scanned").alias("own"))
+    doubtful = every.where((F.col("n_clean") == 0) & (F.length("word") >= SHORTEST) & F.col("word").rlike(r"\p{L}")).select("word", F.col("n_scanned").alias("own"))
     stems = every.where("n_clean > 0").select(F.concat("word", F.lit("!")).alias("word"))  # a real exclamation mark
     doubtful = doubtful.join(stems, "word", "left_anti")
-    index = every.where((F.length("word") >= 3) & ~F.col("word").rlike(r"\p{N}")).select(F.col("word").alias("repair"), "n_clean", F.col("n_scanned").alias("n"), F.explode(_deletes_of(1)("word")).alias("key"))
-    asked = doubtful.select("word", "own", F.explode(_deletes_of(2)("word")).alias("key"))
+    letters = every.where((F.length("word") >= SHORTEST) & ~F.col("word").rlike(r"\p{N}"))
+    weights = merged(listed(), learnt(letters.where("n_clean > 0").select("word", (F.col("n_clean") + F.col("n_scanned")).alias("n")), doubtful))
+    sums = confused_sums(weights)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    confused = every.sparkSession.createDataFrame([(signed(a), signed(b)) for a, b in sums], "gone long, gone_too long")
+    side = lambda k: np.unique(np.array([0, *(x[k] for x in sums)], np.uint64))
+    groups = tuple(sorted(x for x in weights if len(x) > 1))
+    able = letters.where(f"n_clean > 0 or n_scanned >= {TIMES}")  # no other is so many times as frequent as a word that occurs
+    index = able.select(F.col("word").alias("repair"), "n_clean", F.col("n_scanned").alias("n"), F.explode(_keys_of(side(1))("word")).alias("k")).select("repair", "n_clean", "n", "k.key", F.col("k.gone").alias("gone_too"))
+    asked = doubtful.select("word", "own", F.explode(_keys_of(side(0), groups)("word")).alias("k")).select("word", "own", "k.key", "k.gone")
     near = (
         asked.join(index, "key").where(f"word <> repair and (n_clean > 0 or n >= own * {TIMES})")
+        .join(F.broadcast(confused), ["gone", "gone_too"], "left_semi")  # one or two of the listed pairs, or one that was learnt: a few thousand rows
         .select("word", "repair", (F.col("n_clean") + F.col("n")).alias("n")).distinct()
-        .withColumn("cost", _cost("word", "repair")).where(F.col("cost") <= MOST)
+        .withColumn("cost", _cost_of(weights)("word", "repair")).where(F.col("cost") <= MOST)
     )
     digits = (
         doubtful.where(F.col("word").rlike(r"\p{N}") & F.col("word").rlike(r"\p{L}{2}"))
@@ -404,7 +529,8 @@ def continuous_text(rows: DataFrame, editions: DataFrame) -> DataFrame:
 
     Rows that go on into the next row (they end in the middle of a sentence, and the next begins with a small
     letter) are one paragraph, par_n its first row. Headers and page numbers are gone, broken words whole,
-    misread words repaired. Rows of nothing but noise give no text. Copies count once.
+    misread words repaired. Rows of nothing but noise give no text. Copies count once; different rows with one place
+    are one paragraph, rows without section or place give no text.
     """
     read = written(readings(rows, editions), "read")
     words = written(lexicon(rows, read), "words")
@@ -419,11 +545,11 @@ def continuous_text(rows: DataFrame, editions: DataFrame) -> DataFrame:
     heads = broken.where("rest_par <> par_n").select("section_id", F.col("rest_par").alias("par_n"), F.lit(True).alias("drop_head")).distinct()
     pages = scanned(rows, editions).select(*keys, "paragraph").join(read.select(*keys, "noise"), keys)
     text = pages.join(fixes, keys, "left").join(parts, keys, "left").join(heads, keys, "left").mapInPandas(_repaired, "section_id long, par_n int, text string").where("text <> ''")
-    order = Window.partitionBy("section_id").orderBy("par_n")
-    joins = F.col("text").rlike(r"^[\p{Ll}\p{N},;]") & ~F.col("open").rlike(r"[.!?…։。！？][\"'”’»“«)\]]*$")
-    slim = text.select(*keys, F.substring("text", 1, 1).alias("text"), F.lag(F.expr("right(text, 4)")).over(order).alias("open"))
-    starts = slim.withColumn("start", (~F.coalesce(joins, F.lit(False))).cast("int"))
-    groups = starts.select(*keys, F.sum("start").over(order).alias("paragraph_n"))
+    text = written(text.where("section_id is not null and par_n is not null").groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text")), "texts")
+    block = F.floor(F.col("par_n") / ROWS)
+    joins = F.col("begin").rlike(r"^[\p{Ll}\p{N},;]") & ~F.col("open").rlike(r"[.!?…։。！？][\"'”’»“«)\]]*$")
+    slim = nearest(text.select(*keys, F.substring("text", 1, 1).alias("begin"), F.expr("right(text, 4)").alias("end")), ["section_id"], block, ["par_n"], {"open": F.col("end")})
+    groups = running(slim, ["section_id"], block, ["par_n"], {"paragraph_n": (~F.coalesce(joins, F.lit(False))).cast("int")}).select(*keys, "paragraph_n")
     return (
         text.join(groups, keys).groupBy("section_id", "paragraph_n")
         .agg(F.min("par_n").alias("par_n"), F.max("par_n").alias("last_par_n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("par_n", "text"))), lambda x: x["text"]), " ").alias("text"))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 from laudarium.llm import ocr
 
 BOOK = "Akta sejmikowe ziemi Bzudosko, t. 1"
@@ -20,10 +22,11 @@ def test_lines_of_headers_and_numbers():
 
 
 def test_misreadings_cost_little():
-    for read, printed in (("przcd", "przed"), ("sąclem", "sądem"), ("liibernę", "hibernę"), ("posłorn", "posłom"), ("wypłac!ł", "wypłacił"), ("z:adnej", "żadnej"), ("3емлі", "землі"), ("omncs", "omnes")):
-        assert ocr.misreading_cost(read, printed) <= ocr.MOST
+    for read, printed in (("przcd", "przed"), ("sąclem", "sądem"), ("liibernę", "hibernę"), ("posłorn", "posłom"), ("wypłac!ł", "wypłacił"), ("z:adnej", "żadnej"), ("3емлі", "землі"), ("omncs", "omnes"), ("przcdzcn", "przedzen"), ("sąclcm", "sądem"), ("iiiarn", "mam")):
+        assert ocr.misreading_cost(read, printed, ocr.listed()) <= ocr.MOST
     for read, printed in (("poseł", "posła"), ("sejm", "sejmu"), ("borski", "korski"), ("a", "kota")):
-        assert ocr.misreading_cost(read, printed) > ocr.MOST
+        assert ocr.MOST < ocr.misreading_cost(read, printed, ocr.listed()) < 10
+    assert ocr.misreading_cost("x", "y", {}) == ocr.OTHER and ocr.misreading_cost("axb", "ab", {}) == ocr.OTHER and ocr.misreading_cost("", "", {}) == 0
 
 
 def _noise(rows, editions, given):
@@ -55,3 +58,50 @@ def test_nothing(rows, editions):
     assert _noise(rows, editions, []) == set()
     assert ocr.continuous_text(rows([]), editions).count() == 0
     assert _noise(rows, editions, [(1, 2, "słowo", -1)]) == set()
+
+
+def _misread(rng, word, times):
+    """A word with so many of the listed confusions in it."""
+    places = [(i, len(printed), read) for read, of in ocr.CONFUSIONS.items() for printed in of for i in range(len(word)) if word[i] == printed]
+    for i, n, read in sorted(rng.sample(places, min(times, len(places))), reverse=True):
+        word = word[:i] + read + word[i + n :]
+    return word
+
+
+def test_candidates_are_those_of_brute_force(spark):
+    """Every pair of words whose distance is small enough meets, with one confusion and with two, of one character or more for one."""
+    rng = random.Random(5)
+    known = sorted({"".join(rng.choice("aceilmnostuzżśćńłbdhr") for _ in range(rng.randint(3, 9))) for _ in range(120)})
+    read = {n: [_misread(rng, w, n) for w in known] for n in (1, 2)}
+    doubtful = sorted({w for ws in read.values() for w in ws} - set(known))
+    words = spark.createDataFrame([*((w, 50, 0) for w in known), *((w, 0, 1) for w in doubtful)], "word string, n_clean long, n_scanned long")
+    none = spark.createDataFrame([], "joined string")
+    got = {(r.word, r.repair): r.cost for r in ocr.repairs(words, words, none).collect() if r.n}
+    weights = ocr.listed()  # too few words to learn from
+    want = {(w, k): c for w in doubtful for k in known if (c := ocr.misreading_cost(w, k, weights)) <= ocr.MOST}
+    assert got == want
+    for n, ws in read.items():
+        met = [(w, k) in got for w, k in zip(ws, known) if w != k and w in doubtful and ocr.misreading_cost(w, k, weights) <= ocr.MOST]
+        assert len(met) > 60 and all(met), n
+
+
+def test_confusions_are_learnt_from_the_words(spark):
+    rng = random.Random(6)
+    known = sorted({"".join(rng.choice("abdegklmnoprst") for _ in range(8)) for _ in range(300)})
+    read = [(w.replace("g", "y"), 1) for w in known if w.count("g") == 1 and "y" not in w]
+    got = ocr.learnt(spark.createDataFrame([(w, 40) for w in known], "word string, n long"), spark.createDataFrame(read, "word string, own long"))
+    assert set(got) == {"y"} and set(got["y"]) == {"g"} and ocr.CONFUSED < got["y"]["g"] <= ocr.MOST
+
+
+def test_long_words_and_lines_are_taken_as_they_are(rows, editions):
+    long = "ą" * 5000
+    scans = [(1, 2, f"{long} przcd\n{'AKTA   SEJMIKOWE' + ' ' * 200 + 'ZIEMI BZUDOSKO'}\n{'słowo ' * 400}", 7)]
+    got = _noise(rows, editions, [(9, 2, "przed przed przed " * 3)] + scans)
+    assert got == {(1, 2, 1, "char"), (1, 2, 2, "header")}
+
+
+def test_a_word_goes_on_however_many_rows_of_noise_are_between(rows, editions):
+    scans = [(1, 2, "Poseł wypła-", 7), *[(1, n, "AKTA SEJMIKOWE ZIEMI BZUDOSKO", 7) for n in range(3, 9)], (1, 9, "cił podatki", 7)]
+    got = _noise(rows, editions, CLEAN + scans)
+    assert (1, 2, 1, "hyphen") in got
+    assert [r.text for r in ocr.continuous_text(rows(CLEAN + scans), editions).collect()] == ["Poseł wypłacił podatki"]
