@@ -42,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_form_pairs": _on(lambda t: cooccurrence.pair_counts(t, "form"), "parsed_tokens"),
     "p7_found": _on(packing.found, "documents"),
     "p7_containers": _on(packing.pack, "documents"),
+    "p7_neighbours": _on(packing.neighbours, "documents"),
     "p7_fill": _on(packing.fill_report, "documents"),
     "p8_found": _on(mixing.found, "documents", "mix_targets"),
     "p8_mix": _on(lambda d, m: mixing.mix(d, m)[0], "documents", "mix_targets"),

@@ -1,8 +1,9 @@
 from __future__ import annotations
 
+import math
 import os
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -42,6 +43,63 @@ def test_every_text_is_in_containers_once(documents, clashing, monkeypatch):
     assert sum(fill.values()) / (512 * len(fill)) > 0.9
 
 
+def _bm25(texts, seed):
+    """Relevance of every text to a seed, straight from the formula."""
+    said = [Counter(packing._TERM.findall((t or "").lower())) for t in texts]
+    mean, n = sum(c.total() for c in said) / len(said), len(said)
+    df = Counter(w for c in said for w in c)
+    score = []
+    for c in said:
+        norm = packing.K1 * (1 - packing.B + packing.B * c.total() / mean)
+        score.append(sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * (packing.K1 + 1) / (c[w] + norm) for w in said[seed] if w in c and df[w] > 1))
+    return score
+
+
+def test_neighbours_are_those_of_the_whole_corpus(documents, monkeypatch):
+    """Recall of the ten best over 25 shards and several blocks of seeds, against the formula over all texts."""
+    monkeypatch.setattr(packing, "INDEX_ITEMS", 20)
+    monkeypatch.setattr(packing, "BLOCK_SEEDS", 2)
+    monkeypatch.setattr(packing, "SEED_EVERY", 50)
+    rng = random.Random(9)
+    words = ["w" + "".join(chr(97 + int(d)) for d in str(k)) for k in range(400)]
+    texts = [" ".join(rng.choice(words[: rng.choice([40, 400])]) for _ in range(rng.randint(3, 60))) for _ in range(500)]
+    got = defaultdict(list)
+    for r in packing.neighbours(documents(list(enumerate(texts)))).orderBy("seed_id", "rank").collect():
+        got[r.seed_id].append((r.doc_id, r.score))
+    assert set(got) == set(range(0, 500, 50))
+    met = 0
+    for seed, found in got.items():
+        score = _bm25(texts, seed)
+        best = sorted((d for d in range(500) if d != seed), key=lambda d: (-score[d], d))[:10]
+        assert [s for _, s in found] == pytest.approx([score[d] for d, _ in found])
+        met += len(set(best) & {d for d, _ in found})
+    assert met / (10 * len(got)) >= 0.99
+
+
+def test_a_seed_is_packed_with_its_own_texts(documents, monkeypatch):
+    monkeypatch.setattr(packing, "SEED_EVERY", 10)
+    monkeypatch.setattr(packing, "INDEX_ITEMS", 16)
+    rng = random.Random(2)
+    subject = [[f"{chr(97 + k)}{x}{y}" for x in "abcdefgh" for y in "klmnop"] for k in range(6)]
+    given = [(i, " ".join(rng.choice(subject[i // 10]) for _ in range(60))) for i in range(60)]
+    of = defaultdict(set)
+    for r in packing.pack(documents(given), 1000).collect():
+        of[r.container].add(r.doc_id)
+    with_seed = [{d for d in held if d // 10 == seed // 10} for held in of.values() for seed in held if seed % 10 == 0]
+    assert sum(len(own) >= 3 for own in with_seed) >= 5  # the last quarter is filled by size
+
+
+def test_many_copies_are_many_tasks(documents, monkeypatch):
+    """Two thirds of the texts are one text: they fall to all of its seeds, and their shards stay small."""
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 50)
+    monkeypatch.setattr(packing, "SEED_EVERY", 10)
+    given = [(i, "ten sam tekst zawsze" if i % 3 else f"inny tekst numer {i} oraz {i * 7}") for i in range(900)]
+    got = packing.pack(documents(given), 64).collect()
+    assert len(got) == 900 and {r.doc_id for r in got} == set(range(900))
+    own = packing._search(packing._listed(documents(given), 64, VOCABULARY), 900, None).groupBy("seed").count().collect()
+    assert max(r["count"] for r in own) < 100 and len(own) > 60
+
+
 def test_packing_nothing(documents):
     assert packing.pack(documents([])).count() == 0
     assert packing.found(documents([(1, "x")])).count() == 0
