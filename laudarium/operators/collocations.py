@@ -28,8 +28,8 @@ def _sequence(tokens: DataFrame, fields: Sequence[str], size: int, boundary: str
         placed = placed.withColumn(f"w{k + 1}", F.lead("w1", k).over(order))
     if boundary == "paragraph":
         return spread(placed.select(*held, *[f"w{k + 1}" for k in range(size)]))
-    back = Window.partitionBy("section_id", "par_n").orderBy(F.desc("tok_n"), *[F.desc(f) for f in fields])
-    marked = placed.withColumn("from_end", F.row_number().over(back)).withColumn("from_start", F.row_number().over(order))
+    all_of = Window.partitionBy("section_id", "par_n")
+    marked = placed.withColumn("from_start", F.row_number().over(order)).withColumn("from_end", F.count("*").over(all_of) - F.col("from_start") + 1)
     heads = spread(marked.where("from_start <= 2")).groupBy(*keys, "section_id", "par_n").agg(
         F.max(F.when(F.col("from_start") == 1, F.col("w1"))).alias("h1"), F.max(F.when(F.col("from_start") == 2, F.col("w1"))).alias("h2")
     )
@@ -92,7 +92,7 @@ def collocations(tokens: DataFrame, fields: Sequence[str], size: int = 2, bounda
     keys = ["subset"] if by_subset else []
     plain = tokens.select(*(["subsets"] if by_subset else []), "section_id", "par_n", "tok_n", *[F.coalesce(f, F.lit("")).alias(f) for f in fields])
     grams = _sequence(plain, fields, size, boundary, by_subset)
-    if marks is not None or by_subset:
+    if size == 3 or marks is not None or by_subset:
         grams = written(grams, "grams")  # counted up to three times; the plan would outgrow the driver
     names = [f"w{k + 1}" for k in range(size)]
     counted = grams.where(F.col(names[-1]).isNotNull()).groupBy(*keys, *names).agg(F.count("*").alias("n"))

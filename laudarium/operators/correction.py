@@ -11,17 +11,20 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 
-@arrow_udf(T.ArrayType(T.StringType()))
-def _keys(words: pa.Array) -> pa.Array:
-    """The word with one character left out, or none."""
-    return pa.array([sorted({w} | {"".join(c) for c in combinations(w, len(w) - 1)}) if w else [] for w in words.to_pylist()], pa.list_(pa.string()))
+def _keys(most: int):
+    @arrow_udf(T.ArrayType(T.StringType()))
+    def keys(words: pa.Array) -> pa.Array:
+        """The word with up to `most` characters left out."""
+        return pa.array([sorted({"".join(c) for k in range(min(most, len(w)) + 1) for c in combinations(w, len(w) - k)}) if w else [] for w in words.to_pylist()], pa.list_(pa.string()))
+
+    return keys
 
 
 def candidates(forms: DataFrame, dictionary: DataFrame, most: int = 1) -> DataFrame:
     """(form, tag, candidate, interps, distance) for distinct (form, tag): dictionary forms within `most` edits, met by the deletes that both share."""
     asked = forms.select("form", "tag").where("form is not null").distinct()
-    keyed = asked.select("form").distinct().select("form", F.explode(_keys("form")).alias("key"))
-    index = dictionary.select(F.col("form").alias("candidate"), F.explode(_keys("form")).alias("key"))
+    keyed = asked.select("form").distinct().select("form", F.explode(_keys(most)("form")).alias("key"))
+    index = dictionary.select(F.col("form").alias("candidate"), F.explode(_keys(most)("form")).alias("key"))
     near = keyed.join(index, "key").select("form", "candidate").distinct().withColumn("distance", F.levenshtein("form", "candidate", most)).where("distance > 0")
     return asked.join(near, "form").join(dictionary.select(F.col("form").alias("candidate"), "interps"), "candidate")
 
@@ -42,9 +45,11 @@ def correct_tokens(tokens: DataFrame, dictionary: DataFrame, use_lemmas: bool =
     else:
         found = found.withColumn("rank", (~F.array_contains("interps", F.col("tag"))).cast("int")).withColumn("new_lemma", F.lit(None).cast("string"))
     best = found.groupBy("form", "tag").agg(F.min(F.struct("rank", "distance", F.col("candidate"), "new_lemma")).alias("best"))
-    joined = tagged.join(best.select("form", "tag", F.col("best.candidate").alias("_to"), F.col("best.new_lemma").alias("_lemma"), F.lit(True).alias("unknown_form")), ["form", "tag", "unknown_form"], "left")
+    joined = asked.join(best.select("form", "tag", F.col("best.candidate").alias("_to"), F.col("best.new_lemma").alias("_lemma")), ["form", "tag"], "left")
     hit = F.col("_to").isNotNull()
-    return joined.withColumns({
+    fixed = joined.withColumns({
         "form": F.when(hit, F.replace("_to", F.lit(" "), F.lit("_"))).otherwise(F.col("form")), "lemma": F.coalesce("_lemma", "lemma"),
         "unknown_form": F.when(hit, False).otherwise(F.col("unknown_form")), "corrected": F.when(hit, True).otherwise(F.col("corrected")),
-    }).select(*tokens.columns)
+    })
+    known = tokens.where(~F.coalesce("unknown_form", F.lit(False)))  # they stay where they are: no shuffle
+    return fixed.select(*tokens.columns).unionByName(known)

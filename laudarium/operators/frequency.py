@@ -8,42 +8,65 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import interp_str
+from .subsets import by_attribute
 
 
-def basic_stats(tokens: DataFrame) -> DataFrame:
+def _in_subsets(by_book: DataFrame, books: DataFrame | None) -> DataFrame:
+    """What is counted by book once for every subset that the book is in."""
+    if books is None:
+        return by_book
+    known = books.select("book_title", "palatinate", "convent_location").dropDuplicates(["book_title"])
+    return by_attribute(by_book.join(known, "book_title", "left")).drop("book_title", "palatinate", "convent_location")
+
+
+def basic_stats(tokens: DataFrame, books: DataFrame | None = None) -> DataFrame:
     """(subset, stat, n): sections, tokens and tokens by flag, titles included; flags that never occur have no row.
 
-    tokens has a column subset; null flags are not set.
+    tokens has a column subset, or book_title where books (book_title, palatinate, convent_location) are given;
+    null flags are not set.
     """
-    flags = ["corrected", "unknown_form", "proper_name", "latin"]
-    by_section = tokens.groupBy("subset", "section_id").agg(F.count("*").alias("n"), *[F.count_if(f).alias(f) for f in flags])
-    by = by_section.groupBy("subset").agg(F.count("*").alias("all_docs"), F.sum("n").alias("all_tokens"), *[F.sum(f).alias(f"{f}_tokens") for f in flags])
+    flags, key = ["corrected", "unknown_form", "proper_name", "latin"], "subset" if books is None else "book_title"
+    by_section = tokens.groupBy(key, "section_id").agg(F.count("*").alias("n"), *[F.count_if(f).alias(f) for f in flags])
+    by_book = by_section.groupBy(key).agg(F.count("*").alias("all_docs"), F.sum("n").alias("all_tokens"), *[F.sum(f).alias(f"{f}_tokens") for f in flags])
     names = ["all_docs", "all_tokens", *[f"{f}_tokens" for f in flags]]
+    by = _in_subsets(by_book, books).groupBy("subset").agg(*[F.sum(n).alias(n) for n in names])
     pairs = ", ".join(f"'{n}', {n}" for n in names)
     return by.select("subset", F.expr(f"stack({len(names)}, {pairs}) as (stat, n)")).where("n > 0 or stat like 'all%'")
 
 
-def frequency(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
+def counts(tokens: DataFrame, keys: Sequence[str], books: DataFrame | None = None) -> DataFrame:
+    """(subset, keys, n, at): occurrences and the place of the first.
+
+    With books, tokens are counted by book first and the counts then rolled up to subsets, so tokens are shuffled
+    once and not for every subset.
+    """
+    own = tokens.groupBy("subset" if books is None else "book_title", *keys).agg(F.count("*").alias("n"), F.min(F.struct("section_id", "par_n", "tok_n")).alias("at"))
+    if books is None:
+        return own
+    return _in_subsets(own, books).groupBy("subset", *keys).agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+
+
+def frequency(tokens: DataFrame, keys: Sequence[str], books: DataFrame | None = None) -> DataFrame:
     """(subset, keys, n, ratio, first_section, first_par, first_tok), most frequent first, ties in order of first occurrence.
 
     Hot words and subsets are counted before any shuffle; the order of the result is a range sort.
     """
-    counts = tokens.groupBy("subset", *keys).agg(F.count("*").alias("n"), F.min(F.struct("section_id", "par_n", "tok_n")).alias("at"))
-    totals = counts.groupBy("subset").agg(F.sum("n").alias("total"))
+    own = counts(tokens, keys, books)
+    totals = own.groupBy("subset").agg(F.sum("n").alias("total"))
     return (
-        counts.join(totals, "subset")
+        own.join(totals, "subset")
         .select("subset", *keys, "n", F.round(F.col("n") / F.col("total"), 9).alias("ratio"), F.col("at.section_id").alias("first_section"), F.col("at.par_n").alias("first_par"), F.col("at.tok_n").alias("first_tok"))
         .orderBy("subset", F.desc("n"), "first_section", "first_par", "first_tok")
     )
 
 
-def form_frequency(tokens: DataFrame) -> DataFrame:
+def form_frequency(tokens: DataFrame, books: DataFrame | None = None) -> DataFrame:
     """By form, lemma and tags."""
-    return frequency(tokens.withColumn("tags", interp_str(F.col("interp"))), ["form", "lemma", "tags"])
+    return frequency(tokens.withColumn("tags", interp_str(F.col("interp"))), ["form", "lemma", "tags"], books)
 
 
-def lemma_frequency(tokens: DataFrame) -> DataFrame:
-    return frequency(tokens, ["lemma"])
+def lemma_frequency(tokens: DataFrame, books: DataFrame | None = None) -> DataFrame:
+    return frequency(tokens, ["lemma"], books)
 
 
 def head_sum(counts: DataFrame, lines: int, order: Sequence) -> DataFrame:

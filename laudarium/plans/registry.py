@@ -22,10 +22,6 @@ def _on(f: Callable[..., DataFrame], *tables: str) -> Query:
     return lambda spark, sf_dir: f(*[table(spark, sf_dir, t) for t in tables])
 
 
-def _subset_tokens(parsed: DataFrame, editions: DataFrame) -> DataFrame:
-    return subsets.by_attribute(model.tokens(parsed, editions))
-
-
 def _corpus(parsed: DataFrame) -> DataFrame:
     """Tokens without titles and abbreviations: the lemma corpus."""
     return model.unabbreviated(model.body(model.tokens(parsed)))
@@ -76,8 +72,7 @@ def _head_sum(parsed: DataFrame, editions: DataFrame) -> DataFrame:
 
 
 def _distribution(parsed: DataFrame, editions: DataFrame, kw: DataFrame) -> DataFrame:
-    tokens = model.unabbreviated(model.body(_subset_tokens(parsed, editions)))
-    return keywords.keyword_distribution(tokens.groupBy("subset", "lemma").agg(F.count("*").alias("n")), kw)
+    return keywords.keyword_distribution(frequency.counts(_corpus(parsed), ["lemma"], editions), kw)
 
 
 def _rules(rows: DataFrame, kw: DataFrame) -> DataFrame:
@@ -213,9 +208,9 @@ def _html(rows: DataFrame) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "token_codec": _on(_token_codec, "parsed_tokens"),
     "paragraph_tokens": _on(_paragraph_tokens, "parsed_tokens"),
-    "basic_stats": _on(lambda p, e: frequency.basic_stats(_subset_tokens(p, e)), "parsed_tokens", "editions"),
-    "form_frequency": _on(lambda p, e: frequency.form_frequency(model.body(_subset_tokens(p, e))), "parsed_tokens", "editions"),
-    "lemma_frequency": _on(lambda p, e: frequency.lemma_frequency(model.unabbreviated(model.body(_subset_tokens(p, e)))), "parsed_tokens", "editions"),
+    "basic_stats": _on(lambda p, e: frequency.basic_stats(model.tokens(p), e), "parsed_tokens", "editions"),
+    "form_frequency": _on(lambda p, e: frequency.form_frequency(model.body(model.tokens(p)), e), "parsed_tokens", "editions"),
+    "lemma_frequency": _on(lambda p, e: frequency.lemma_frequency(_corpus(p), e), "parsed_tokens", "editions"),
     "head_sum": _on(_head_sum, "parsed_tokens", "editions"),
     "form_bigrams": _on(lambda p: collocations.collocations(model.body(model.tokens(p)).withColumn("tags", codec.interp_str(F.col("interp"))), ["form", "lemma", "tags"], 2), "parsed_tokens"),
     "form_trigrams": _on(lambda p: collocations.collocations(model.body(model.tokens(p)).withColumn("tags", codec.interp_str(F.col("interp"))), ["form", "lemma", "tags"], 3), "parsed_tokens"),
