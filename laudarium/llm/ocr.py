@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from ..numbering import nearest, running
+from ..numbering import carry
 from ..session import written
 
 # What a scanner reads, and what was printed; a pair costs CONFUSED in the edit distance. What else is confused is learnt from the words.
@@ -211,7 +211,7 @@ def readings(rows: DataFrame, editions: DataFrame) -> DataFrame:
     pages = scanned(rows, editions).select("section_id", "par_n", "paragraph", "book_title", "page")
     read = written(pages.mapInArrow(_readings, _READING), "readings")
     slim = read.where("section_id is not null and par_n is not null").select("section_id", "par_n", "last_line", "last_part", F.when(F.col("has_text"), F.struct("head", "par_n", "head_line")).alias("own"))
-    at = nearest(slim, ["section_id"], F.floor(F.col("par_n") / ROWS), ["par_n", "last_line"], {"next": F.col("own")}, after=True)
+    at = carry(slim, ["section_id"], F.floor(F.col("par_n") / ROWS), ["par_n", "last_line"], after={"next": F.col("own")})
     over = F.struct(F.col("last_line").alias("line_n"), F.col("last_part").alias("first"), F.col("next.head").alias("rest"), F.col("next.par_n").alias("rest_par"), F.col("next.head_line").alias("rest_line"))
     joined = at.where("last_part is not null and next.head is not null").groupBy("section_id", "par_n").agg(F.max(over).alias("over"))
     return read.join(joined, ["section_id", "par_n"], "left")
@@ -548,8 +548,8 @@ def continuous_text(rows: DataFrame, editions: DataFrame) -> DataFrame:
     text = written(text.where("section_id is not null and par_n is not null").groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("text")), " ").alias("text")), "texts")
     block = F.floor(F.col("par_n") / ROWS)
     joins = F.col("begin").rlike(r"^[\p{Ll}\p{N},;]") & ~F.col("open").rlike(r"[.!?…։。！？][\"'”’»“«)\]]*$")
-    slim = nearest(text.select(*keys, F.substring("text", 1, 1).alias("begin"), F.expr("right(text, 4)").alias("end")), ["section_id"], block, ["par_n"], {"open": F.col("end")})
-    groups = running(slim, ["section_id"], block, ["par_n"], {"paragraph_n": (~F.coalesce(joins, F.lit(False))).cast("int")}).select(*keys, "paragraph_n")
+    slim = carry(text.select(*keys, F.substring("text", 1, 1).alias("begin"), F.expr("right(text, 4)").alias("end")), ["section_id"], block, ["par_n"], before={"open": F.col("end")})
+    groups = carry(slim, ["section_id"], block, ["par_n"], upto={"paragraph_n": (~F.coalesce(joins, F.lit(False))).cast("int")}).select(*keys, "paragraph_n")
     return (
         text.join(groups, keys).groupBy("section_id", "paragraph_n")
         .agg(F.min("par_n").alias("par_n"), F.max("par_n").alias("last_par_n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("par_n", "text"))), lambda x: x["text"]), " ").alias("text"))
