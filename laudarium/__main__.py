@@ -15,6 +15,7 @@ from .functions.tokens import encoded, forms_text, interp_str, token_list
 from .operators import collocations, correction, decisions, frequency, keywords, loader, score, search, subsets
 from .sinks import files as sinks
 from .sinks import tei
+from .session import written
 from .sources import files, html
 
 
@@ -47,14 +48,14 @@ def load(spark: SparkSession, args: argparse.Namespace) -> None:
     parts = loader.page_paragraphs(loader.without_pages(pages, [tuple(r) for r in config.get("ignore_page_ranges", [])]), config.get("min_inparagraph_line_len"))
     found = loader.segment(parts, lines, most, config.get("heading_length_discount", 70))
     found = decisions.replay(found, files.decisions(spark, args.decisions)) if args.decisions else loader.merge_short(found)
-    sinks.indexed_csv(_rows(found, config, True), args.out)
+    sinks.indexed_csv(_rows(written(found, "loaded"), config, True), args.out)
 
 
 def html_load(spark: SparkSession, args: argparse.Namespace) -> None:
     config = files.config(args.config)
     pages = spark.read.text(config["html_file_path"], wholetext=True).select(F.lit("e").alias("edition"), F.col("value").alias("html"))
     found = html.sections(pages, config["structure"], bool(config.get("text_section")), args.strip_ruthenian, config.get("max_nonmeta_line_len", 200), config.get("max_heading_len", 300))
-    sinks.indexed_csv(_rows(found, config, False), args.out)
+    sinks.indexed_csv(_rows(written(found, "loaded"), config, False), args.out)
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:

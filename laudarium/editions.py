@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.dates import stored_date
 from .functions.tokens import token_list
 from .operators.decisions import apply_decisions
 from .operators.loader import islands
+from .session import written
 from .sources import files
 
 _SECTION_BITS = 32
@@ -21,13 +22,14 @@ def paragraphs(spark: SparkSession, path: str, ordinal: int = 0) -> DataFrame:
 
     section_id holds the edition's ordinal and the place of the section; par_n counts from 1.
     """
-    raw = files.indexed_csv(spark, path)
-    marked = islands(raw, ["file"], ["place"], "inbook_section_id")
+    raw = files.indexed_csv(spark, path).withColumn("edition_ord", F.lit(ordinal))
+    marked = written(islands(raw, ["edition_ord"], "place", "inbook_section_id"), "edition")
     section = F.shiftleft(F.lit(ordinal).cast("long"), _SECTION_BITS) + F.col("island_n")
-    order = Window.partitionBy("section_id").orderBy("place")
+    begins = marked.groupBy("island_n").agg(F.min("place").alias("_begin"))
     return (
-        marked.withColumn("section_id", section).withColumn("par_n", F.row_number().over(order)).withColumn("date", stored_date(F.col("section_date")))
-        .select("section_id", F.lit(ordinal).alias("edition_ord"), F.col("island_n").alias("section_n"), "par_n", *[c for c in files.INDEXED.names], "date")
+        marked.join(begins, "island_n")
+        .withColumn("section_id", section).withColumn("par_n", (F.col("place") - F.col("_begin") + 1).cast("int")).withColumn("date", stored_date(F.col("section_date")))
+        .select("section_id", "edition_ord", F.col("island_n").alias("section_n"), "par_n", *[c for c in files.INDEXED.names], "date")
     )
 
 

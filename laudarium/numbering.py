@@ -32,35 +32,38 @@ def dense_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     )
 
 
-def nearest(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], values: dict[str, Column], after: bool = False) -> DataFrame:
-    """df with, by name, the last value that is not null in the rows before a row, or with `after` the first in those after it.
+Values = dict[str, Column]
 
-    Rows of equal keys (not null) stand in the order of `order`; block must not fall in that order. Values go on
-    over the blocks first and within a block then, so a task has a block, never all rows of a key.
+
+def carry(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], before: Values | None = None, after: Values | None = None, upto: Values | None = None, earlier: Values | None = None) -> DataFrame:
+    """df with new columns by name, of the rows of equal keys (not null) in the order of `order`.
+
+    before: the last value that is not null in the rows before a row; after: the first in those after it; upto: the sum
+    of a value over the rows up to and with a row; earlier: without it.
+
+    block must not fall in that order. Values go on over the blocks first and within a block then, so a task has a
+    block, never all rows of a key. df is read twice: write it before, if it is not cheap.
     """
-    own = [*keys, "_block"]
-    marked = df.withColumn("_block", block).withColumns({f"_of_{n}": v for n, v in values.items()})
-    side = (lambda c: F.col(c).desc()) if after else (lambda c: F.col(c).asc())
-    within = Window.partitionBy(*own).orderBy(*map(side, order)).rowsBetween(Window.unboundedPreceding, -1)
-    over = Window.partitionBy(*keys).orderBy(side("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    edge = F.min_by if after else F.max_by
+    before, after, upto, earlier = before or {}, after or {}, upto or {}, earlier or {}
+    own, near, sums = [*keys, "_block"], before | after, upto | earlier
+    marked = df.withColumn("_block", block).withColumns({f"_of_{n}": v for n, v in (near | sums).items()})
     place = lambda n: F.when(F.col(f"_of_{n}").isNotNull(), F.struct(*order))
-    edges = marked.groupBy(*own).agg(*[edge(f"_of_{n}", place(n)).alias(f"_edge_{n}") for n in values])
-    carried = edges.select(*own, *[F.last(f"_edge_{n}", ignorenulls=True).over(over).alias(f"_edge_{n}") for n in values])
-    inner = marked.withColumns({n: F.last(f"_of_{n}", ignorenulls=True).over(within) for n in values})
-    out = inner.join(carried, own).withColumns({n: F.coalesce(n, f"_edge_{n}") for n in values})
-    return out.drop("_block", *[f"_of_{n}" for n in values], *[f"_edge_{n}" for n in values])
-
-
-def running(df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], values: dict[str, Column], inclusive: bool = True) -> DataFrame:
-    """df with, by name, the sum of a value over the rows up to a row (before it, if not inclusive); blocks as in nearest()."""
-    own = [*keys, "_block"]
-    marked = df.withColumn("_block", block).withColumns({f"_of_{n}": v for n, v in values.items()})
-    within = Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    over = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = marked.groupBy(*own).agg(*[F.sum(f"_of_{n}").alias(f"_edge_{n}") for n in values])
-    carried = sums.select(*own, *[F.sum(f"_edge_{n}").over(over).alias(f"_edge_{n}") for n in values])
-    inner = marked.withColumns({n: F.sum(f"_of_{n}").over(within) for n in values})
+    edges = marked.groupBy(*own).agg(
+        *[F.max_by(f"_of_{n}", place(n)).alias(f"_edge_{n}") for n in before], *[F.min_by(f"_of_{n}", place(n)).alias(f"_edge_{n}") for n in after],
+        *[F.sum(f"_of_{n}").alias(f"_edge_{n}") for n in sums],
+    )
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    blocks, rows = Window.partitionBy(*keys).orderBy("_block"), Window.partitionBy(*own).orderBy(*order)
+
+    def over(name: str, source: str, window: Window, inner: bool) -> Column:
+        c = F.col(f"{source}_{name}")
+        if name in sums:
+            return F.sum(c).over(window.rowsBetween(first, 0 if inner and name in upto else -1))
+        return F.last(c, ignorenulls=True).over(window.rowsBetween(first, -1)) if name in before else F.first(c, ignorenulls=True).over(window.rowsBetween(1, last))
+
+    names = [*near, *sums]
+    carried = edges.select(*own, *[over(n, "_edge", blocks, False).alias(f"_from_{n}") for n in names])
+    inner = marked.withColumns({n: over(n, "_of", rows, True) for n in names})
     zero = F.lit(0)
-    out = inner.join(carried, own).withColumns({n: F.coalesce(n, zero) + F.coalesce(f"_edge_{n}", zero) for n in values})
-    return out.drop("_block", *[f"_of_{n}" for n in values], *[f"_edge_{n}" for n in values])
+    out = inner.join(carried, own).withColumns({n: F.coalesce(n, zero) + F.coalesce(f"_from_{n}", zero) if n in sums else F.coalesce(n, f"_from_{n}") for n in names})
+    return out.drop("_block", *[f"_of_{n}" for n in names], *[f"_from_{n}" for n in names])

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import match_key
 from ..functions.dates import to_date
+from .loader import numbered
 
 CONTEXT = 80  # characters of a paragraph's begin or end that a decision names
 
@@ -40,9 +41,7 @@ def apply_decisions(sections: DataFrame, decisions: DataFrame) -> DataFrame:
         "title": F.coalesce("_title", "title"), "section_type": F.coalesce("_type", "section_type"), "pertinence": F.coalesce("_pert", "pertinence"),
         "date": F.coalesce(to_date(F.col("_date.day"), F.col("_date.month"), F.col("_date.year")), "date"),
     })
-    by = Window.partitionBy("edition").orderBy("section_n")
-    docs = F.sum(F.when(F.col("section_type") == "document", 1).otherwise(0)).over(by) - 1
-    return out.withColumn("inbook_section_id", F.row_number().over(by) - 1).withColumn("inbook_document_id", F.when(F.col("section_type") == "document", docs.cast("int"))).drop("_title", "_date", "_type", "_pert", "title_key")
+    return numbered(out.drop("_title", "_date", "_type", "_pert", "title_key", "inbook_section_id", "inbook_document_id"))
 
 
 def _key(text: str) -> str:
@@ -92,11 +91,16 @@ def _replayed(sections: pd.DataFrame, decisions: pd.DataFrame) -> pd.DataFrame:
 def replay(sections: DataFrame, decisions: DataFrame) -> DataFrame:
     """Splits and merges replayed over paragraphs (edition, section_n, section_type, page_n, par_n, text), an edition at a time.
 
-    The order of sections decides what a merge meets, so an edition, a printed book, is one group. A split
+    The order of sections decides what a merge meets, so an edition that has decisions, a printed book, is one group;
+    others stay as they are, with their numbers. A split
     into a document takes the rest of its section, one into a note a single paragraph. A merge goes after the
     paragraph of the nearest earlier document that ends as named; none, or several, are errors.
     """
     plain = decisions.where("decision_type in ('split_sections', 'merge_sections')").select("decision_n", "decision_type", "pagenum", "from_title", "preceding_fragm", "following_fragm", "new_section_type")
     known = plain.join(sections.select("edition", F.col("page_n").alias("pagenum")).distinct(), "pagenum") if "edition" not in decisions.columns else plain.join(decisions.select("decision_n", "edition"), "decision_n")
     known = known.withColumnRenamed("edition", "of")
-    return sections.groupBy("edition").cogroup(known.groupBy("of")).applyInPandas(lambda s, d: _replayed(s, d) if len(s) else s, PARAGRAPH)
+    own = sections.select("edition", "section_n", "section_type", "page_n", "par_n", "text")
+    decided = known.select(F.col("of").alias("edition")).distinct()
+    touched = own.join(decided, "edition", "left_semi")
+    replayed = touched.groupBy("edition").cogroup(known.groupBy("of")).applyInPandas(lambda s, d: _replayed(s, d) if len(s) else s, PARAGRAPH)
+    return replayed.unionByName(own.join(decided, "edition", "left_anti"))

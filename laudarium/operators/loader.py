@@ -1,7 +1,7 @@
-"""Pages to sections: paragraphs, notes, headings, documents, all by windows over an edition.
+"""Pages to sections: paragraphs, notes, headings, documents.
 
-Every operator takes paragraphs with edition, page_n and par_n; rows of other columns go along. An edition is
-one printed book, so a window over it is bounded by a book, not by the corpus.
+Every operator takes paragraphs with edition, page_n and par_n. What depends on the order of an edition is carried
+on over blocks of its pages first and within a block then, so a book of any length is many tasks' work.
 """
 
 from __future__ import annotations
@@ -12,8 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classify import beginning_score, heading_score, meta_reason, ocr_corrected
+from ..numbering import carry
+from ..session import written
 
 SHORT = 250
+#: Pages, and sections, of an edition that one task looks through.
+PAGES, SECTIONS = 32, 4096
 
 
 def without_pages(pages: DataFrame, ranges: Sequence[tuple[int, int]]) -> DataFrame:
@@ -50,29 +54,29 @@ def segment(paragraphs: DataFrame, max_line: int = 200, max_heading: int = 300,
     A paragraph that is no note is a title if its heading score, and the beginning score of the next one that
     is no note if that is above 0, are together above 0; the last one of an edition is none. Documents begin
     at titles. A note comes after the document that was open when it stood, in the order of commits: a
-    document is committed at the paragraph after the title of the next. An edition of notes alone gives nothing.
+    document is committed at the paragraph after the title of the next. An edition of notes alone gives nothing;
+    nor do paragraphs without an edition.
     """
-    by = "partition by edition order by page_n, par_n"
-    text = F.col("text")
-    scored = paragraphs.select("edition", "page_n", "par_n", "text", meta_reason(text, max_line).isNotNull().alias("meta"), heading_score(text, max_heading, discount).alias("score"), beginning_score(text).alias("begin"))
-    return (
-        scored
-        # what follows looks past the notes: their values are null, and nulls are not counted
-        .withColumn("next", F.expr(f"lead(case when not meta then begin end) ignore nulls over ({by})"))
-        .withColumn("title", F.expr("case when not meta then next is not null and score + greatest(0D, next) > 0 end"))
-        .withColumn("said", F.expr(f"count(title) over ({by})"))
-        .withColumn("begins", F.expr("coalesce(title, false) and said > 1"))
-        .withColumn("document_n", F.expr(f"sum(int(begins)) over ({by})"))
-        .withColumn("commits", F.expr(f"not meta and coalesce(lag(case when not meta then begins end) ignore nulls over ({by}), false)"))
-        .withColumn("committed", F.expr(f"coalesce(sum(int(commits)) over ({by} rows between unbounded preceding and 1 preceding), 0)"))
-        .withColumn("some", F.expr("max(not meta) over (partition by edition)"))
-        .where("some")
-        .withColumn("seq", F.expr("case when meta then committed else document_n end"))
-        .withColumn("at", F.struct("seq", "meta"))
-        .withColumn("new", F.expr("meta or coalesce(lag(at) over (partition by edition order by seq, meta, page_n, par_n) <> at, true)"))
-        .withColumn("section_n", F.expr("cast(sum(int(new)) over (partition by edition order by seq, meta, page_n, par_n) - 1 as int)"))
-        .select("edition", "section_n", F.when(F.col("meta"), "meta").otherwise("document").alias("section_type"), "page_n", "par_n", F.when(F.col("title"), ocr_corrected(F.trim(ocr_corrected(text)))).otherwise(text).alias("text"))
-    )
+    text, keys, order = F.col("text"), ["edition"], ["page_n", "par_n"]
+    block = F.floor(F.coalesce("page_n", F.lit(-1)) / PAGES)
+    scored = paragraphs.where("edition is not null").select("edition", "page_n", "par_n", "text", F.coalesce(meta_reason(text, max_line).isNotNull(), F.lit(False)).alias("meta"), heading_score(text, max_heading, discount).alias("score"), beginning_score(text).alias("begin"))
+    plain = lambda c: F.when(~F.col("meta"), c)  # noqa: E731 - what looks before or behind looks past the notes
+    seen = carry(written(scored, "scored"), keys, block, order, before={"earlier": plain(F.lit(1))}, after={"next": plain(F.col("begin"))})
+    title = plain(F.col("next").isNotNull() & F.coalesce(F.col("score") + F.greatest(F.lit(0.0), "next") > 0, F.lit(False)))
+    titled = seen.withColumn("title", title).withColumn("begins", F.coalesce("title", F.lit(False)) & F.col("earlier").isNotNull())
+    opened = carry(written(titled.select("edition", "page_n", "par_n", "text", "meta", "title", "begins"), "titled"), keys, block, order, before={"opened": plain(F.col("begins"))}, upto={"document_n": F.col("begins").cast("int")})
+    committing = opened.withColumn("commits", ~F.col("meta") & F.coalesce("opened", F.lit(False)))
+    placed = carry(written(committing, "opened"), keys, block, order, earlier={"committed": F.col("commits").cast("int"), "notes": F.col("meta").cast("int")})
+    placed = written(placed, "placed")
+    # a document stands behind the documents before it and the notes before its commit, a note behind the documents committed by then and the notes before it
+    before = placed.where("commits").select("edition", (F.col("committed") + 1).alias("document_n"), F.col("notes").alias("notes_before"))
+    some = placed.where("not meta").select("edition").distinct()
+    section = F.when(F.col("meta"), F.col("committed") + 1 + F.col("notes")).otherwise(F.col("document_n") + F.coalesce("notes_before", F.lit(0)))
+    out = placed.join(before, ["edition", "document_n"], "left").join(some, "edition", "left_semi")
+    return out.select(
+        "edition", section.cast("int").alias("section_n"), F.when(F.col("meta"), "meta").otherwise("document").alias("section_type"), "page_n", "par_n",
+        F.when(F.col("title"), ocr_corrected(F.trim(ocr_corrected(text)))).otherwise(text).alias("text"),
+    )
 
 
 def merge_short(sections: DataFrame) -> DataFrame:
@@ -80,26 +84,36 @@ def merge_short(sections: DataFrame) -> DataFrame:
 
     Whether a document is short depends on its own paragraphs alone. Numbers stay those before the merge.
     """
-    sizes = sections.where("section_type = 'document'").groupBy("edition", "section_n").agg(F.count("*").alias("n"), (F.sum(F.length("text")) + 2 * (F.count("*") - 1)).alias("size"))
-    by = Window.partitionBy("edition").orderBy("section_n")
-    gone = F.coalesce(F.lag((F.col("n") == 1) | (F.col("size") < SHORT)).over(by), F.lit(False))
-    kept = sizes.withColumn("gone", gone).withColumn("into", F.max(F.when(~F.col("gone"), F.col("section_n"))).over(by)).select("edition", "section_n", "into")
-    return sections.join(kept, ["edition", "section_n"], "left").withColumn("section_n", F.coalesce("into", "section_n")).drop("into")
+    sizes = written(sections.where("section_type = 'document'").groupBy("edition", "section_n").agg(F.count("*").alias("n"), (F.sum(F.length("text")) + 2 * (F.count("*") - 1)).alias("size")), "sizes")
+    block, order = F.floor(F.col("section_n") / SECTIONS), ["section_n"]
+    after = carry(sizes, ["edition"], block, order, before={"short": (F.col("n") == 1) | (F.col("size") < SHORT)}).withColumn("gone", F.coalesce("short", F.lit(False)))
+    kept = carry(written(after, "short"), ["edition"], block, order, before={"earlier": F.when(~F.col("gone"), F.col("section_n"))})
+    into = kept.select("edition", "section_n", F.when(F.col("gone"), F.col("earlier")).otherwise(F.col("section_n")).alias("into"))
+    return sections.join(into, ["edition", "section_n"], "left").withColumn("section_n", F.coalesce("into", "section_n")).drop("into")
+
+
+def numbered(sections: DataFrame) -> DataFrame:
+    """Sections (edition, section_n, section_type, ...) with inbook_section_id from 0 and inbook_document_id, null for notes."""
+    document = F.coalesce(F.col("section_type") == "document", F.lit(False))
+    counted = carry(written(sections, "sections"), ["edition"], F.floor(F.col("section_n") / SECTIONS), ["section_n"], earlier={"inbook_section_id": F.lit(1), "inbook_document_id": document.cast("int")})
+    return counted.withColumns({"inbook_section_id": F.col("inbook_section_id").cast("int"), "inbook_document_id": F.when(document, F.col("inbook_document_id")).cast("int")})
 
 
 def renumber(sections: DataFrame) -> DataFrame:
     """inbook_section_id from 0 over all sections of an edition, inbook_document_id over its documents (null for notes)."""
-    one = sections.select("edition", "section_n", "section_type").distinct()
-    by = Window.partitionBy("edition").orderBy("section_n")
-    docs = F.sum(F.when(F.col("section_type") == "document", 1).otherwise(0)).over(by) - 1
-    return one.select("edition", "section_n", "section_type", (F.row_number().over(by) - 1).alias("inbook_section_id"), F.when(F.col("section_type") == "document", docs.cast("int")).alias("inbook_document_id"))
+    return numbered(sections.select("edition", "section_n", "section_type").distinct()).select("edition", "section_n", "section_type", "inbook_section_id", "inbook_document_id")
 
 
-def islands(rows: DataFrame, partition: Sequence[str], order: Sequence[str], key: str) -> DataFrame:
-    """rows with island_n, counted from 0: consecutive rows of a partition with the same key, null being one, are one island."""
-    by = Window.partitionBy(*partition).orderBy(*order)
-    new = (F.row_number().over(by) == 1) | ~F.col(key).eqNullSafe(F.lag(key).over(by))
-    return rows.withColumn("_new", new.cast("int")).withColumn("island_n", (F.sum("_new").over(by) - 1).cast("int")).drop("_new")
+def islands(rows: DataFrame, partition: Sequence[str], order: str, key: str, size: int = 4096) -> DataFrame:
+    """rows with island_n, counted from 0: consecutive rows of a partition (not null) with the same key, null being one, are one island.
+
+    order is a column of whole numbers, different in each row of a partition; a task has so many as `size` of them.
+    """
+    block = F.floor(F.col(order) / size)
+    seen = carry(written(rows.select(*partition, order, key), "keys"), partition, block, [order], before={"_last": F.struct(key)})
+    new = F.col("_last").isNull() | ~F.col(key).eqNullSafe(F.col("_last")[key])
+    counted = carry(written(seen.select(*partition, order, new.cast("int").alias("_new")), "new"), partition, block, [order], upto={"island_n": F.col("_new")})
+    return rows.join(counted.select(*partition, order, (F.col("island_n") - 1).cast("int").alias("island_n")), [*partition, order])
 
 
 def load_edition(pages: DataFrame, ignore: Sequence[tuple[int, int]] = (), shortest_line: int | None = None, max_line: int = 200, max_heading: int = 300, discount: float = 70) -> DataFrame:

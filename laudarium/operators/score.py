@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..numbering import carry
+from ..session import written
+from .loader import SECTIONS
+
 
 def true_lengths(pages: Sequence[int]) -> list[int]:
     """Pages of each document from the first pages: the gap to the next, and one more, for pages are shared."""
@@ -20,8 +24,8 @@ def true_lengths(pages: Sequence[int]) -> list[int]:
 
 def page_lengths(starts: DataFrame) -> DataFrame:
     """(edition, document_n, pages) from (edition, document_n, start_page); the last document of an edition has no next one and is left out."""
-    following = F.lead("start_page").over(Window.partitionBy("edition").orderBy("document_n"))
-    return starts.select("edition", "document_n", (following - F.col("start_page") + 1).alias("pages")).where("pages is not null")
+    ahead = carry(written(starts.select("edition", "document_n", "start_page"), "starts"), ["edition"], F.floor(F.col("document_n") / SECTIONS), ["document_n"], after={"following": F.col("start_page")})
+    return ahead.select("edition", "document_n", (F.col("following") - F.col("start_page") + 1).alias("pages")).where("pages is not null")
 
 
 def _numbered(lengths: Column) -> Column:

@@ -128,8 +128,8 @@ def _guessed_dates(rows: DataFrame) -> DataFrame:
 
 def _islands(rows: DataFrame) -> DataFrame:
     """Consecutive rows of a book as delivered with one section number are one section, however often the number comes again."""
-    flat = rows.select("book_title", "row_id", "section_id")
-    by = loader.islands(flat, ["book_title"], ["row_id"], "section_id")
+    flat = rows.select(F.struct("book_title").alias("book"), "book_title", "row_id", "section_id")  # a struct is not null
+    by = loader.islands(flat, ["book"], "row_id", "section_id")
     return by.groupBy("book_title", "island_n").agg(F.max("section_id").alias("section_id"), F.count("*").alias("n_rows"))
 
 

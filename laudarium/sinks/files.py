@@ -14,8 +14,15 @@ def date_tuple(date):
 
 
 def indexed_csv(rows: DataFrame, path: str) -> None:
-    """An indexed edition, a line for each paragraph, strings quoted; rows keep their order within a section."""
-    rows.sortWithinPartitions("book_title", "inbook_section_id", *(["par_n"] if "par_n" in rows.columns else [])).select(*INDEXED).write.csv(path, quoteAll=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    """An indexed edition, a line for each paragraph, strings quoted.
+
+    Rows are in order over all files, by name: of section_id and par_n where rows have them, else of their place, else of
+    the section's number, so a section comes back whole wherever a file ends.
+    """
+    held = set(rows.columns)
+    number = F.col("inbook_section_id").try_cast("int")
+    order = ["section_id", "par_n"] if {"section_id", "par_n"} <= held else ["place"] if "place" in held else ["book_title", number, *(["par_n"] if "par_n" in held else [])]
+    rows.orderBy(*order).select(*INDEXED).write.csv(path, quoteAll=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def results(found: DataFrame, path: str, by: tuple[str, ...] = ("subset",)) -> None:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..numbering import dense_ids
+
 INDEXED = T.StructType([
     T.StructField(name, T.StringType())
     for name in ("book_title", "inbook_section_id", "inbook_document_id", "scan_page", "section_type", "section_date", "palatinate", "convent_location", "created_location", "author", "paragraph", "pertinence")
@@ -27,12 +29,15 @@ def pages(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
 def indexed_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows of an indexed edition as written by sinks.indexed_csv: no header, quotes doubled, line breaks within fields.
 
-    A file is read in order; place is that of the row in its file. Numbers that are none are null, a
-    document id that is no number stays a string in inbook_document_id alone.
+    An edition is one file, or a folder of several, read in the order of their names; place is that of the row in
+    all of them. Numbers that are none are null, a document id that is no number stays a string in
+    inbook_document_id alone.
     """
     raw = spark.read.schema(INDEXED).csv(path, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    placed = dense_ids(raw.select(*INDEXED.names, at.alias("_place")), "_place", "place")
     return (
-        raw.withColumn("file", F.input_file_name()).withColumn("place", F.monotonically_increasing_id())
+        placed.withColumn("file", F.col("_place.file")).drop("_place")
         .withColumns({"inbook_section_id": F.col("inbook_section_id").try_cast("int"), "scan_page": F.col("scan_page").try_cast("int"), "document_number": F.col("inbook_document_id").try_cast("int")})
         .withColumn("pertinent", F.coalesce(F.col("pertinence") == "True", F.lit(False)))
     )

@@ -3,7 +3,9 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from laudarium import editions
 from laudarium.operators.loader import islands
 from laudarium.sinks import files as sinks
 from laudarium.sinks import tei
@@ -17,10 +19,28 @@ def test_an_edition_comes_back(spark, tmp_path):
     back = files.indexed_csv(spark, str(tmp_path / "e"))
     assert sorted(tuple(str(x) for x in r) for r in back.select(*sinks.INDEXED).collect()) == sorted(rows)
     assert back.where("document_number = 0 and pertinent").count() == 5
-    assert [r.island_n for r in islands(back, ["file"], ["place"], "inbook_section_id").orderBy("place").collect()] == [0, 0, 1, 1, 2]
+    assert [r.island_n for r in islands(back, ["file"], "place", "inbook_section_id").orderBy("place").collect()] == [0, 0, 1, 1, 2]
     assert files.editions([back.drop("file"), back.limit(1)]).groupBy("edition_ord").count().count() == 2
 
 
+def test_an_edition_of_several_files_comes_back(spark, tmp_path):
+    """Forty sections over four files, cut where sections go on: every section is whole, in order, with all its paragraphs."""
+    rows = [("Księga, t. 1", str(k % 20), "0", str(k), "document", "False", "p", "c", "False", "a", f"{k} akapit {n}\nlinia", "True", k, n) for k in range(40) for n in range(1, 6)]
+    df = spark.createDataFrame(rows, T.StructType([*files.INDEXED.fields, T.StructField("section_id", T.IntegerType()), T.StructField("par_n", T.IntegerType())]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.indexed_csv(df.repartition(7, "paragraph"), str(tmp_path / "e"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "e").glob("*.csv"))) == 4
+    back = editions.paragraphs(spark, str(tmp_path / "e"), 3)
+    got = [(r.section_n, r.par_n, r.inbook_section_id, r.paragraph) for r in back.orderBy("section_id", "par_n").collect()]
+    assert got == [(k, n, k % 20, f"{k} akapit {n}\nlinia") for k in range(40) for n in range(1, 6)]
+    sinks.indexed_csv(back, str(tmp_path / "again"))
+    again = editions.paragraphs(spark, str(tmp_path / "again"), 3)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, back.collect()))
+
+
 def test_pages_keywords_dictionaries(spark, tmp_path):
     for name, text in (("v-002.txt", "dwa"), ("v-001.txt", "jeden\n\nakapit"), ("w-001.txt", "nie")):
         (tmp_path / "p").mkdir(exist_ok=True)

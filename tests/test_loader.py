@@ -66,7 +66,10 @@ def _got(df):
     return {e: [s[k] for k in sorted(s)] for e, s in by.items()}
 
 
-def test_documents_are_those_of_a_walk_through_the_edition(spark, scored):
+@pytest.mark.parametrize("blocks", [(32, 4096), (1, 2)])
+def test_documents_are_those_of_a_walk_through_the_edition(spark, scored, monkeypatch, blocks):
+    monkeypatch.setattr(loader, "PAGES", blocks[0])
+    monkeypatch.setattr(loader, "SECTIONS", blocks[1])
     rng = random.Random(1)
     editions = {f"e{k}": [rng.choice(KINDS) for _ in range(rng.randint(1, 14))] for k in range(60)}
     rows = [(e, i // 4, i, t) for e, ts in editions.items() for i, t in enumerate(ts)]
@@ -92,6 +95,30 @@ def test_pages_to_paragraphs(spark):
 
 def test_islands_and_numbers(spark):
     df = spark.createDataFrame([("b", i, k) for i, k in enumerate([1, 1, 2, 1, None, None, 2])], "book string, i int, k int")
-    assert [r.island_n for r in loader.islands(df, ["book"], ["i"], "k").orderBy("i").collect()] == [0, 0, 1, 2, 3, 3, 4]
+    for size in (2, 4096):
+        assert [r.island_n for r in loader.islands(df, ["book"], "i", "k", size).orderBy("i").collect()] == [0, 0, 1, 2, 3, 3, 4]
     s = spark.createDataFrame([("e", n, t) for n, t in enumerate(["document", "meta", "document"])], "edition string, section_n int, section_type string")
     assert [(r.inbook_section_id, r.inbook_document_id) for r in loader.renumber(s).orderBy("section_n").collect()] == [(0, 0), (1, None), (2, 1)]
+
+
+def test_one_book_of_nearly_all_rows_is_many_tasks(spark, monkeypatch):
+    """Of 9,000 paragraphs, 90 % of one book, windows over rows go over blocks, and only those over blocks go over the edition."""
+    windows, plain = [], loader.written
+
+    def recorded(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        windows.extend(line.split("windowspecdefinition", 1)[1].split("specifiedwindowframe")[0] for line in plan.splitlines() if " Window " in line)
+        return plain(df, name)
+
+    monkeypatch.setattr(loader, "written", recorded)
+    rows = [("hot" if i % 10 else "cold", i // 20, i, "Laudum sejmiku ziemi halickiej 1590 roku w Haliczu" if i % 50 == 1 else "i tak dalej aż do końca sprawy naszej na tym sejmiku") for i in range(9000)]
+    found = loader.segment(spark.createDataFrame(rows, "edition string, page_n int, par_n int, text string"))
+    assert found.count() == 9000 and loader.merge_short(found).count() == 9000
+    assert len(windows) > 6 and all("_block" in w for w in windows)
+
+
+def test_paragraphs_without_edition_page_or_text(spark):
+    rows = [("e", None, 1, KINDS[0]), ("e", 1, 2, KINDS[1]), ("e", 1, 3, None), (None, 1, 1, KINDS[0])]
+    got = loader.segment(spark.createDataFrame(rows, "edition string, page_n int, par_n int, text string")).collect()
+    assert {r.edition for r in got} == {"e"} and len(got) == 3
+    assert loader.segment(spark.createDataFrame([], "edition string, page_n int, par_n int, text string")).count() == 0

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from laudarium.numbering import dense_ids, nearest, running
+from laudarium.numbering import carry, dense_ids
 
 
 def test_values_and_sums_go_on_over_blocks(spark):
@@ -12,8 +12,8 @@ def test_values_and_sums_go_on_over_blocks(spark):
     rows = [(k, n, rng.choice([None, None, n * 10]), rng.randint(0, 5)) for k in ("a", "b") for n in range(1, 60)]
     df = spark.createDataFrame(rows, "k string, n int, v int, w int")
     block = F.floor(F.col("n") / 7)
-    out = running(nearest(nearest(df, ["k"], block, ["n"], {"before": F.col("v")}), ["k"], block, ["n"], {"after": F.col("v")}, after=True), ["k"], block, ["n"], {"upto": F.col("w")})
-    out = running(out, ["k"], block, ["n"], {"earlier": F.col("w")}, inclusive=False)
+    v, w = F.col("v"), F.col("w")
+    out = carry(df, ["k"], block, ["n"], before={"before": v}, after={"after": v}, upto={"upto": w}, earlier={"earlier": w})
     for r in out.collect():
         own = [(n, v, w) for k, n, v, w in rows if k == r.k]
         assert r.before == next((v for n, v, _ in reversed(own) if n < r.n and v is not None), None)
