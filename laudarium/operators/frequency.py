@@ -87,22 +87,38 @@ def subset_lengths(found: DataFrame, value: str) -> DataFrame:
     return found.groupBy(F.col(value).alias("value")).agg(F.sum("text_length").alias("text_length"), F.count("*").alias("n_sections"))
 
 
+def by_subsets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts n by keys and, where counts has an array subsets, by each of them: what is equal but for that is counted before it is multiplied."""
+    if "subsets" not in counts.columns:
+        return counts
+    return counts.withColumn("subset", F.explode("subsets")).groupBy("subset", *keys).agg(F.sum("n").alias("n"))
+
+
+def held_subsets(df: DataFrame) -> list[str]:
+    """The column that tells subsets apart, where df has one."""
+    return [c for c in ("subset", "subsets") if c in df.columns]
+
+
 def year_tokens(words: DataFrame) -> DataFrame:
-    """Tokens by year of their dated sections."""
-    return words.where("date is not null").groupBy(F.year("date").alias("year")).agg(F.count("*").alias("n"))
+    """([subset, ]year, n): tokens by year of their dated sections; of every subset, if words has an array subsets."""
+    counted = words.where("date is not null").groupBy(*held_subsets(words), F.year("date").alias("year")).agg(F.count("*").alias("n"))
+    return by_subsets(counted, ["year"])
 
 
 def rule_lifetimes(rules: DataFrame) -> DataFrame:
-    """(rule, years, years_not): from a table (year, rule), the years in which a rule holds, and the other years that the table knows, sorted."""
-    held = rules.where("rule is not null and year is not null").select("rule", "year").distinct()
-    years = held.select("year").distinct().groupBy().agg(F.sort_array(F.collect_list("year")).alias("every"))  # calendar years: a few hundred
-    by = held.groupBy("rule").agg(F.sort_array(F.collect_list("year")).alias("years"))
-    return by.crossJoin(F.broadcast(years)).select("rule", "years", F.array_except("every", "years").alias("years_not"))
+    """([subset, ]rule, years, years_not): from a table ([subset, ]year, rule), the years in which a rule holds, and the other years that the table knows, sorted."""
+    keys = held_subsets(rules)
+    held = rules.where("rule is not null and year is not null").select(*keys, "rule", "year").distinct()
+    years = held.select(*keys, "year").distinct().groupBy(*keys).agg(F.sort_array(F.collect_list("year")).alias("every"))  # calendar years: a few hundred
+    by = held.groupBy(*keys, "rule").agg(F.sort_array(F.collect_list("year")).alias("years"))
+    both = by.join(years, keys) if keys else by.crossJoin(F.broadcast(years))  # one row
+    return both.select(*keys, "rule", "years", F.array_except("every", "years").alias("years_not"))
 
 
 def rules_dropped(rules: DataFrame) -> DataFrame:
-    """(year, rule): rules of the year that the table knows before it, which no longer hold."""
-    held = rules.where("rule is not null and year is not null").select("rule", "year").distinct()
-    years = held.select("year").distinct()  # a few hundred rows
-    following = years.select("year", F.lead("year").over(Window.orderBy("year")).alias("next")).where("next is not null")
-    return held.join(following, "year").select(F.col("next").alias("year"), "rule").join(held, ["year", "rule"], "left_anti")
+    """([subset, ]year, rule): rules of the year that the table knows before it, which no longer hold."""
+    keys = held_subsets(rules)
+    held = rules.where("rule is not null and year is not null").select(*keys, "rule", "year").distinct()
+    years = held.select(*keys, "year").distinct()  # a few hundred rows of a subset
+    following = years.select(*keys, "year", F.lead("year").over(Window.partitionBy(*keys).orderBy("year")).alias("next")).where("next is not null")
+    return held.join(following, [*keys, "year"]).select(*keys, F.col("next").alias("year"), "rule").join(held, [*keys, "year", "rule"], "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .collocations import collocations
+from .frequency import by_subsets, held_subsets
 
 
 def groups(keywords: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def keyword_distribution(lemma_counts: DataFrame, keywords: DataFrame) -> DataFr
     subsets = lemma_counts.select("subset").distinct()
     names = groups(keywords).select("keyword_category", "group_n", "first_lemma")
     listed = keywords.where("lemma is not null").select("keyword_category", "group_n", "lemma_n", "lemma")
-    grid = subsets.crossJoin(F.broadcast(listed))  # a fixed table of keywords: every subset shows every group
+    grid = subsets.crossJoin(listed)  # every subset shows every group, so that is the size of the result
     counts = grid.join(lemma_counts.select("subset", "lemma", "n"), ["subset", "lemma"], "left").na.fill(0, ["n"])
     total = F.sum("n").over(Window.partitionBy("subset", "keyword_category", "group_n"))
     return (
@@ -71,9 +72,13 @@ def keyword_report(distribution: DataFrame) -> DataFrame:
 
 
 def group_years(words: DataFrame, keywords: DataFrame, first_year: int = 1572, last_year: int = 1696) -> DataFrame:
-    """(keyword_group, year, n): how often a group's lemmas occur in dated sections; a lemma that a group lists twice counts twice."""
+    """([subset, ]keyword_group, year, n): how often a group's lemmas occur in dated sections; a lemma that a group lists twice counts twice.
+
+    Of every subset, if words has an array subsets.
+    """
     names = groups(keywords).select("keyword_category", "group_n", F.concat_ws("_", "keyword_category", "first_lemma").alias("keyword_group"))
     listed = keywords.where("lemma is not null").join(names, ["keyword_category", "group_n"]).select("lemma", "keyword_group")
-    year = F.year("date")
-    by_lemma = words.where(year.between(first_year, last_year)).groupBy("lemma", year.alias("year")).agg(F.count("*").alias("n"))
-    return by_lemma.join(listed, "lemma").groupBy("keyword_group", "year").agg(F.sum("n").alias("n"))
+    year, keys = F.year("date"), held_subsets(words)
+    by_lemma = words.where(year.between(first_year, last_year)).groupBy(*keys, "lemma", year.alias("year")).agg(F.count("*").alias("n"))
+    counted = by_lemma.join(listed, "lemma").groupBy(*keys, "keyword_group", "year").agg(F.sum("n").alias("n"))
+    return by_subsets(counted, ["keyword_group", "year"])

@@ -80,6 +80,19 @@ def _rules(rows: DataFrame, kw: DataFrame) -> DataFrame:
     return keywords.group_years(_words(rows), kw).select("year", F.col("keyword_group").alias("rule"))
 
 
+def _words_of_subsets(rows: DataFrame, date_ranges: DataFrame) -> DataFrame:
+    """_words with the array of the subsets that their section is in, date ranges among them."""
+    of = subsets.subset_index(model.documents_only(model.sections(rows)), date_ranges).groupBy("section_id").agg(F.array_sort(F.collect_set("subset")).alias("subsets"))
+    return _words(rows).join(of, "section_id")
+
+
+def _lifetimes(rules: DataFrame) -> DataFrame:
+    """Lifetimes with years as they are written."""
+    found = frequency.rule_lifetimes(rules)
+    years = lambda c: F.array_join(F.transform(c, lambda y: y.cast("string")), ":").alias(c)
+    return found.select(*[c for c in found.columns if c == "subset"], "rule", years("years"), years("years_not"))
+
+
 def _edition(rows: DataFrame) -> DataFrame:
     """Scanned paragraphs as an edition's own: edition, page_n, par_n, text."""
     scans = model.paragraphs(rows).where("scan_page >= 0 and paragraph is not null")
@@ -91,6 +104,10 @@ def _segmented(rows: DataFrame) -> DataFrame:
     return loader.segment(p.withColumn("text", F.trim(classify.ocr_corrected(F.col("text")))).where("text <> ''"))
 
 
+def _plain_places(found: DataFrame) -> DataFrame:
+    return found.select("edition", "section_n", "section_type", "page_n", "par_n.section_id", "par_n.par_n", "text")
+
+
 def _split_lines(rows: DataFrame) -> DataFrame:
     p = _edition(rows)
     return loader.page_paragraphs(p.select(F.concat_ws("#", "edition", F.col("par_n").cast("string")).alias("edition"), "page_n", "text"), 30)
@@ -238,7 +255,10 @@ QUERIES: dict[str, Query] = {
     "keyword_report": _on(lambda p, e, k: keywords.keyword_report(_distribution(p, e, k)), "parsed_tokens", "editions", "keyword_lemmas"),
     "kw_group_years": _on(lambda r, k: keywords.group_years(_words(r), k), "edition_rows", "keyword_lemmas"),
     "year_tokens": _on(lambda r: frequency.year_tokens(_words(r)), "edition_rows"),
-    "rule_lifetimes": _on(lambda r, k: frequency.rule_lifetimes(_rules(r, k)), "edition_rows", "keyword_lemmas"),
+    "rule_lifetimes": _on(lambda r, k: _lifetimes(_rules(r, k)), "edition_rows", "keyword_lemmas"),
+    "year_tokens_by_subset": _on(lambda r, d: frequency.year_tokens(_words_of_subsets(r, d)), "edition_rows", "date_ranges"),
+    "kw_group_years_by_subset": _on(lambda r, d, k: keywords.group_years(_words_of_subsets(r, d), k), "edition_rows", "date_ranges", "keyword_lemmas"),
+    "rule_lifetimes_by_subset": _on(lambda r, d, k: _lifetimes(keywords.group_years(_words_of_subsets(r, d), k).withColumnRenamed("keyword_group", "rule")), "edition_rows", "date_ranges", "keyword_lemmas"),
     "rules_dropped": _on(lambda r, k: frequency.rules_dropped(_rules(r, k)), "edition_rows", "keyword_lemmas"),
     "dictionary": _on(lambda p: frequency.dictionary(model.tokens(p)).select("form", F.array_join("interps", "|").alias("interps")), "parsed_tokens"),
     "correct_tokens": _on(_correct, "parsed_tokens"),
@@ -262,8 +282,8 @@ QUERIES: dict[str, Query] = {
     "extract_dates": _on(lambda r: model.paragraphs(r).select("section_id", "par_n", F.explode(dates.extract_dates("paragraph")).alias("d")).select("section_id", "par_n", "d.day", "d.month", "d.year").distinct(), "edition_rows"),
     "guessed_dates": _on(_guessed_dates, "edition_rows"),
     "split_short_lines": _on(_split_lines, "edition_rows"),
-    "segment_documents": _on(_segmented, "edition_rows"),
-    "merge_short": _on(lambda r: loader.merge_short(_segmented(r)), "edition_rows"),
+    "segment_documents": _on(lambda r: _plain_places(_segmented(r)), "edition_rows"),
+    "merge_short": _on(lambda r: _plain_places(loader.merge_short(_segmented(r))), "edition_rows"),
     "decided_sections": _on(_decided, "edition_rows"),
     "lattice_arcs": _on(_variants, "parsed_tokens"),
     "token_sentences": _on(_token_sentences, "parsed_tokens"),

@@ -170,6 +170,31 @@ group_years as (
   where year(date) between 1572 and 1696 group by all)
 """
 
+_INDEX = """
+indexed as (
+  select unnest(['ALL', 'book_title__' || coalesce(book_title, 'None'), 'convent_location__' || coalesce(convent_location, 'None'), 'palatinate__' || coalesce(palatinate, 'None')]) as subset, section_id from documents_only
+  union all
+  select 'date_range__' || s || '_' || e as subset, section_id from documents_only join (
+    select strptime(range_start, '%-d-%-m-%Y')::date as s, strptime(range_end, '%-d-%-m-%Y')::date as e from date_ranges) on date >= s and date < e)"""
+
+_GROUP_YEARS_OF = f"""{_WORDS}, {_GROUPS}, {_INDEX},
+group_years as (
+  select subset, keyword_category || '_' || first_lemma as keyword_group, year(date)::int as year, count(*) as n
+  from said join indexed using (section_id) join keyword_lemmas k on k.lemma = said.lemma join groups g using (keyword_category, group_n)
+  where year(date) between 1572 and 1696 group by all)
+"""
+
+
+def _life(keys: str) -> str:
+    """Years of each rule and the other years, of group_years by keys."""
+    own = f"{keys}, " if keys else ""
+    return f""",
+every as (select {own}list(distinct year) as ys from group_years {"group by " + keys if keys else ""}),
+held as (select {own}keyword_group as rule, list(distinct year) as ys from group_years group by all)
+select {own}rule, array_to_string(list_sort(held.ys), ':') as years, array_to_string(list_sort(list_filter(every.ys, lambda y: not list_contains(held.ys, y))), ':') as years_not
+from held {f"join every using ({keys})" if keys else "cross join every"}"""
+
+
 _OCR = "paragraph"
 for _from, _to in [("lnstru", "Instru"), ("rn ", "m "), ("ćm ", "em "), ("ćj ", "ej "), ("wv", "w"), ("^ ?@", "§"), ("^ ?%", "§"), ("^ ?&", "§"), ("^ ?ś ", "§ "), ("^ ?g ", "§ "), (" lmc", " Imc"), (" ct ", " et ")]:
     _OCR = f"regexp_replace({_OCR}, '{_from}', '{_to}', 'g')"
@@ -203,6 +228,60 @@ titled as (
 """
 )
 
+
+_META_LIKE = [p.replace(r"[\WiIvVxX]", rf"(?:[^\p{{L}}\p{{M}}\p{{N}}_]|[iIvVxX])") for p in patterns.META_SIGNS]
+
+
+def _reason(text: str) -> str:
+    """Why a paragraph is an editor's note, or null: the rules in their order."""
+    said = f"list_filter(regexp_split_to_array({text}, '[\\s\\x{{00a0}}]'), lambda w: w <> '')"
+    count = lambda of, rule: f"len(list_filter({of}, lambda w: {rule}))"
+    titled = _hits(text, patterns.RESOLUTION_TITLES + patterns.OTHER_TITLES + patterns.NEAR_TITLES)
+    n = f"length({text})"
+    return f"""case when {n} < 9 then 'short'
+  when list_max(list_transform(string_split({text}, chr(10)), lambda w: length(w))) > 200 then 'long line'
+  when {n} < 800 and {_hits(text, _META_LIKE)} > 0 then 'sign'
+  when length(regexp_replace({text}, '[\\p{{L}}\\p{{M}}_]', '', 'g')) / {n} >= 0.65 then 'not letters'
+  when len({said}) >= 4 and {count(said, "length(w) <= 2")} > 0.48 * len({said}) then 'short words'
+  when len({said}) < 10 and {count(said, "length(w) > 3 and regexp_matches(w, '[IVXLCM]') and w = upper(w) and w <> lower(w)")} > 0 then 'capital word'
+  when {titled} = 0 and len({said}) >= 3 and {count(said, "left(w, 1) <> lower(left(w, 1)) or regexp_matches(w, '[^\\p{L}\\p{M}_]')")} > 0.85 * len({said}) then 'capitals'
+  when {n} < 380 and len(regexp_extract_all({text}, '(?:(?:^| ).|. )\\)')) >= 2 then 'footnotes'
+  when {n} between 2 and 16 and len(list_distinct(string_split(lower({text}), ''))) <= greatest(2.0, {n} / 3) then 'few characters'
+  when {count(f"regexp_extract_all({text}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+\\.')", "regexp_full_match(w, '[A-Za-z]{1,5}\\.')")} > len(string_split({text}, ' ')) * 0.33 then 'abbreviations' end"""
+
+
+def _repaired(text: str) -> str:
+    return _OCR.replace("(paragraph,", f"({text},") if "(paragraph," in _OCR else text
+
+
+_SEGMENTED = (
+    _SCORED.replace("from paragraphs p left join", "from scans p left join").replace("coalesce(most, 300)", "300").replace(
+        ",\nbare as", f""",
+scans as (
+  select distinct book_title, scan_page, section_id, par_n, trim({_repaired("paragraph")}) as paragraph from paragraphs
+  where scan_page >= 0 and paragraph is not null and book_title is not null and trim({_repaired("paragraph")}) <> ''),
+bare as""").rsplit(",\ntitled as", 1)[0]
+    + f""",
+judged as (
+  select book_title, scan_page, section_id, par_n, paragraph as text, coalesce({_reason("paragraph")}, '') <> '' as meta,
+    case when length(paragraph) < 15 or length(paragraph) > 300 then -1.5 else raw end as score, beginning from scored),
+ahead as (select *, lead(case when not meta then beginning end ignore nulls) over w as next from judged window w as (partition by book_title order by scan_page, section_id, par_n)),
+titled as (select *, not meta and next is not null and score + greatest(0, next) > 0 as title from ahead),
+begun as (select *, title and count(*) filter (where not meta) over (partition by book_title order by scan_page, section_id, par_n rows unbounded preceding) > 1 as begins from titled),
+opened as (
+  select *, sum(begins::int) over w as document_n, not meta and coalesce(lag(case when not meta then begins end ignore nulls) over w, false) as commits, bool_or(not meta) over (partition by book_title) as has_text
+  from begun window w as (partition by book_title order by scan_page, section_id, par_n)),
+committed as (select *, coalesce(sum(commits::int) over (partition by book_title order by scan_page, section_id, par_n rows between unbounded preceding and 1 preceding), 0) as committed from opened where has_text),
+placed as (select *, case when meta then committed else document_n end as seq from committed),
+news as (
+  select *, case when meta or lag(seq) over w is null or lag(seq) over w <> seq or lag(meta) over w then 1 else 0 end as new
+  from placed window w as (partition by book_title order by seq, meta, scan_page, section_id, par_n)),
+segmented as (
+  select book_title as edition, (sum(new) over (partition by book_title order by seq, meta, scan_page, section_id, par_n rows unbounded preceding) - 1)::int as section_n,
+    case when meta then 'meta' else 'document' end as section_type, scan_page as page_n, section_id, par_n, case when title then {_repaired("trim(" + _repaired("text") + ")")} else text end as text from news)
+"""
+)
+
 _STATS = ["all_docs", "all_tokens", "corrected_tokens", "unknown_form_tokens", "proper_name_tokens", "latin_tokens"]
 
 SQL: dict[str, str] = {
@@ -259,6 +338,10 @@ select distinct subset, keyword_category, group_n, '##' || first_lemma || ' etc.
 union all select subset, keyword_category, group_n, lemma || ' - ' || n from distribution where n > 0""",
     "kw_group_years": _GROUP_YEARS + "select keyword_group, year, n from group_years",
     "year_tokens": _WORDS + "select year(date)::int as year, count(*) as n from said group by all",
+    "year_tokens_by_subset": _WORDS + "," + _INDEX + "select subset, year(date)::int as year, count(*) as n from said join indexed using (section_id) group by all",
+    "kw_group_years_by_subset": _GROUP_YEARS_OF + "select subset, keyword_group, year, n from group_years",
+    "rule_lifetimes": _GROUP_YEARS + _life(""),
+    "rule_lifetimes_by_subset": _GROUP_YEARS_OF + _life("subset"),
     "rules_dropped": _GROUP_YEARS
     + """,
 years as (select year, lead(year) over (order by year) as next from (select distinct year from group_years))
@@ -341,5 +424,47 @@ select section_id, par_n, sent_n, count(*) as n_tokens from numbered group by al
     + """,
 arcs as (select section_id, par_n, tok_n from tokens where par_n is not null and tok_n is not null)
 select section_id, par_n, count(*) as arcs, count(distinct tok_n)::double as prob, max(tok_n) as last from arcs group by section_id, par_n""",
+    "meta_fragments": _PARAGRAPHS + f"select * from (select distinct section_id, par_n, {_reason('paragraph')} as reason from paragraphs) where reason is not null",
+    "segment_documents": _SEGMENTED + "select edition, section_n, section_type, page_n, section_id, par_n, text from segmented",
+    "merge_short": _SEGMENTED
+    + """,
+sizes as (select edition, section_n, count(*) = 1 or sum(length(text)) + 2 * (count(*) - 1) < 250 as short from segmented where section_type = 'document' group by edition, section_n),
+kept as (select edition, section_n, coalesce(lag(short) over (partition by edition order by section_n), false) as gone from sizes),
+merged as (select edition, section_n, max(case when not gone then section_n end) over (partition by edition order by section_n) as target from kept)
+select s.edition, coalesce(target, s.section_n)::int as section_n, section_type, page_n, section_id, par_n, text from segmented s left join merged m on m.edition = s.edition and m.section_n = s.section_n""",
+    "html_report": _SCORED
+    + f""",
+notes as (select section_id, list(replace(replace(replace(coalesce(paragraph, ''), '&', '&amp;'), '<', '&lt;'), chr(10), '<br>') order by par_n, coalesce(paragraph, '')) as texts from paragraphs group by section_id),
+reasons as (select section_id, {_reason('paragraph')} as reason from (select section_id, first(coalesce(paragraph, '') order by par_n, coalesce(paragraph, '')) as paragraph from paragraphs group by section_id))
+select s.book_title as edition, s.section_id as section_n, case when section_type = 'meta' then
+  '<p style="background-color: moccasin; font-family: monospace">' || texts[1] || '</p><p style="background-color: moccasin"><em>' || coalesce(reason, '') || '</em></p>' else '<h4>' || replace(replace(replace(coalesce(title, ''), '&', '&amp;'), '<', '&lt;'), chr(10), '<br>') || '</h4>' || array_to_string(list_transform(texts, lambda x: '<p>' || x || '</p>'), '') end as html
+from sections s join notes n on n.section_id = s.section_id left join titled t on t.section_id = s.section_id left join reasons r on r.section_id = s.section_id""",
+    "decided_sections": _SCORED
+    + """,
+pages as (select section_id, min_by(scan_page, par_n) as a, max_by(scan_page, par_n) as b from paragraphs group by section_id),
+own as (
+  select s.*, t.title, a, b, regexp_replace(coalesce(title, ''), '[\\s\\x{00a0}]|\\\\n', '', 'g') as k from sections s join titled t on t.section_id = s.section_id join pages p on p.section_id = s.section_id where book_title is not null),
+receipts as (select distinct k, a from own where a >= 0 and starts_with(title, 'Pokwitowanie'))
+select section_id as section_n, book_title as edition,
+  case when exists (select 1 from receipts r where r.k = own.k and r.a between own.a and own.b) then false else pertinence = 'True' end as pertinence, date::varchar as date,
+  (row_number() over (partition by book_title order by section_id) - 1)::int as inbook_section_id,
+  case when section_type = 'document' then (sum(case when section_type = 'document' then 1 else 0 end) over (partition by book_title order by section_id rows unbounded preceding) - 1)::int end as inbook_document_id
+from own""",
+    "correct_tokens": _TOKENS
+    + """,
+known as (
+  select form, list(distinct coalesce(array_to_string(interp, ':'), '')) as interps from tokens where form is not null and not coalesce(unknown_form, false) group by form),
+asked as (select distinct form, coalesce(array_to_string(interp, ':'), '') as tag from tokens where form is not null and unknown_form),
+near as (
+  select a.form, a.tag, k.form as candidate, not list_contains(k.interps, a.tag) as other from asked a join known k
+  on k.form <> a.form and abs(length(k.form) - length(a.form)) <= 1 and (length(a.form) = 1 or left(k.form, 1) = left(a.form, 1) or right(k.form, 1) = right(a.form, 1)) and case
+    when length(k.form) = length(a.form) then list_sum(list_transform(range(1, length(a.form) + 1), lambda i: (a.form[i] <> k.form[i])::int)) = 1
+    when length(k.form) > length(a.form) then list_contains(list_transform(range(0, length(k.form)), lambda i: left(k.form, i) || substr(k.form, i + 2)), a.form)
+    else list_contains(list_transform(range(0, length(a.form)), lambda i: left(a.form, i) || substr(a.form, i + 2)), k.form) end),
+best as (select form, tag, first(candidate order by other, candidate) as candidate from near group by form, tag)
+select section_id, par_n, tok_n, case when b.candidate is not null then replace(b.candidate, ' ', '_') else t.form end as form, lemma,
+  case when b.candidate is not null then false else unknown_form end as unknown_form, case when b.candidate is not null then true else corrected end as corrected
+from tokens t left join best b on t.unknown_form and b.form = t.form and b.tag = coalesce(array_to_string(t.interp, ':'), '')
+where b.candidate is not null or corrected""",
     "near_sections": _PARAGRAPHS + "select section_id as section_n, section_type, n_paragraphs from sections where abs(section_id - 100) <= 4",
 }
