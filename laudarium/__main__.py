@@ -1,43 +1,47 @@
-"""Commands: load, html-load, run, search, dictionary, correct, score, tei, html, ids. See --help of each."""
+"""Commands: load, html-load, tag, run, search, dictionary, correct, score, tei, html, ids, decline, sumhead. See --help of each."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import editions, model
-from .functions.classify import meta_reason, pertinent
+from .functions.classify import joined_lines, meta_reason, pertinent
 from .functions.dates import earliest, extract_dates, to_date
 from .functions.tokens import encoded, forms_text, interp_str, token_list
-from .operators import collocations, correction, decisions, frequency, keywords, loader, score, search, subsets
+from .operators import collocations, correction, decisions, frequency, keywords, lattice, loader, score, search, subsets, tagging
 from .sinks import files as sinks
 from .sinks import tei
 from .session import written
 from .sources import files, html
 
 
-def _rows(loaded: DataFrame, config: dict, pages: bool) -> DataFrame:
-    """Sections as rows of an indexed edition: numbers, dates and pertinence as far as the text tells."""
-    numbers = loader.renumber(loaded).select("edition", "section_n", "inbook_section_id", "inbook_document_id")
+def _rows(loaded: DataFrame, config: dict, pages: bool, decided: DataFrame | None = None) -> DataFrame:
+    """Sections as rows of an indexed edition: numbers, dates and pertinence as far as the text tells, then as it was decided."""
     par = lambda k: F.max(F.when(F.col("par_n") == k, F.col("text")))
-    ordered = loaded.withColumn("_k", F.struct(*(["page_n", "par_n"] if pages else ["par_n"])))
-    placed = ordered.withColumn("par_n", F.row_number().over(Window.partitionBy("edition", "section_n").orderBy("_k")))
-    found = placed.select("edition", "section_n", "par_n", extract_dates("text").alias("d")).where(F.size("d") > 0)
-    dates = found.groupBy("edition", "section_n").agg(F.min_by(F.when(F.col("par_n") == 1, earliest(F.col("d"))).otherwise(F.get("d", F.lit(0))), "par_n").alias("d"))
-    about = placed.groupBy("edition", "section_n").agg(F.count("*").alias("n"), par(1).alias("a"), par(2).alias("b"), par(3).alias("c"))
-    known = about.select("edition", "section_n", pertinent(F.col("n"), F.col("b"), F.col("c"), F.col("a")).alias("pertinent"))
     keys = ["edition", "section_n"]
-    out = placed.join(numbers, keys).join(dates, keys, "left").join(known, keys)
-    document = F.col("section_type") == "document"
+    ordered = loaded.withColumn("_k", F.struct(*(["page_n", "par_n"] if pages else ["par_n"]))).withColumn("scan_page", F.col("page_n") if pages else F.lit(-1))
+    placed = written(ordered.withColumn("par_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_k"))).drop("_k"), "placed")
+    found = placed.select(*keys, "par_n", extract_dates("text").alias("d")).where(F.size("d") > 0)
+    dates = found.groupBy(*keys).agg(F.min_by(F.when(F.col("par_n") == 1, earliest(F.col("d"))).otherwise(F.get("d", F.lit(0))), "par_n").alias("d"))
+    about = placed.groupBy(*keys, "section_type").agg(F.count("*").alias("n"), par(1).alias("title"), par(2).alias("b"), par(3).alias("c"), F.min("scan_page").alias("start_page"), F.max("scan_page").alias("end_page"))
+    known = F.when(F.col("section_type") == "document", pertinent(F.col("n"), F.col("b"), F.col("c"), F.col("title")) if pages else F.lit(True)).otherwise(False)
+    sections = about.join(dates, keys, "left").select(
+        *keys, "title", "start_page", "end_page", "section_type", F.when(F.col("section_type") == "document", to_date(F.col("d.day"), F.col("d.month"), F.col("d.year"))).alias("date"), known.alias("pertinence")
+    )
+    sections = loader.numbered(sections) if decided is None else decisions.apply_decisions(sections, decided)
+    out = placed.drop("section_type").join(sections, keys)
     text = lambda key: F.lit(config.get(key)).cast("string")
     return out.select(
         text("book_title").alias("book_title"), "inbook_section_id", F.coalesce(F.col("inbook_document_id").cast("string"), F.lit("False")).alias("inbook_document_id"),
-        (F.col("page_n") if pages else F.lit(-1)).alias("scan_page"), "section_type", sinks.date_tuple(F.when(document, to_date(F.col("d.day"), F.col("d.month"), F.col("d.year")))).alias("section_date"),
-        text("palatinate").alias("palatinate"), text("convent_location").alias("convent_location"), F.lit("False").alias("created_location"), text("default_convent_author").alias("author"), F.col("text").alias("paragraph"),
-        F.when(document & (F.col("pertinent") if pages else F.lit(True)), "True").otherwise("False").alias("pertinence"), "par_n",
+        "scan_page", "section_type", sinks.date_tuple(F.when(F.col("section_type") == "document", F.col("date"))).alias("section_date"),
+        text("palatinate").alias("palatinate"), text("convent_location").alias("convent_location"), F.lit("False").alias("created_location"), text("default_convent_author").alias("author"),
+        F.when(F.col("par_n") == 1, F.col("title")).otherwise(F.col("text")).alias("paragraph"),
+        F.when((F.col("section_type") == "document") & F.col("pertinence"), "True").otherwise("False").alias("pertinence"), "par_n",
     )
 
 
@@ -47,8 +51,44 @@ def load(spark: SparkSession, args: argparse.Namespace) -> None:
     lines, most = config.get("max_nonmeta_line_len", 200), config.get("max_heading_len", 300)
     parts = loader.page_paragraphs(loader.without_pages(pages, [tuple(r) for r in config.get("ignore_page_ranges", [])]), config.get("min_inparagraph_line_len"))
     found = loader.segment(parts, lines, most, config.get("heading_length_discount", 70))
-    found = decisions.replay(found, files.decisions(spark, args.decisions)) if args.decisions else loader.merge_short(found)
-    sinks.indexed_csv(_rows(written(found, "loaded"), config, True), args.out)
+    made = files.decisions(spark, args.decisions) if args.decisions else None
+    found = loader.merge_short(found) if made is None else decisions.replay(found, made)
+    sinks.indexed_csv(_rows(written(found, "loaded"), config, True, made), args.out)
+
+
+def _named(name: str):
+    """What a plug-in is called: module:function."""
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def tag(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Documents of an edition tagged by an engine, from a section on; notes stay as they are, or go."""
+    rows = editions.paragraphs(spark, args.edition).where(F.col("section_n") >= args.start_section)
+    document = F.col("section_type") == "document"
+    text = F.col("paragraph") if args.leave_hyphens else joined_lines(F.col("paragraph"))
+    given = rows.where(document & (F.trim(F.coalesce("paragraph", F.lit(""))) != "")).withColumn("paragraph", text)
+    none = F.lit(False)
+    token = encoded(F.col("form"), F.col("lemma"), F.col("interp"), none, none, none, none)
+    each = tagging.tag(given, _named(args.engine)).select("section_id", "par_n", "sent_n", F.struct("tok_n", token.alias("t")).alias("t"))
+    of = lambda c, between: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["t"]), between)
+    sentences = each.groupBy("section_id", "par_n", "sent_n").agg(of("t", " ").alias("t")).groupBy("section_id", "par_n").agg(of(F.struct("sent_n", "t"), "\n").alias("_text"))
+    tagged = given.join(sentences, ["section_id", "par_n"], "left").withColumn("paragraph", F.concat(F.coalesce("_text", F.lit("")), F.lit("\n"))).drop("_text")
+    sinks.indexed_csv(tagged if args.strip_meta else tagged.unionByName(rows.where(~document)), args.out)
+
+
+def decline(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Each lemma of a list with the forms that an engine declines it to."""
+    lemmas = spark.read.text(args.lemmas).select(F.explode(F.split("value", r"\s+")).alias("lemma")).where("lemma <> ''")
+    by = tagging.expand(lemmas, _named(args.engine)).groupBy("lemma").agg(F.array_sort(F.collect_set("form")).alias("forms"))
+    by.orderBy("lemma").select(F.array_join("forms", " ").alias("value")).write.text(args.out)
+
+
+def sum_head(spark: SparkSession, args: argparse.Namespace) -> None:
+    """The sum of the last but one column over the first lines of a list; the whole sum of a shorter one."""
+    lines = spark.read.text(args.path).select("value", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()).alias("at"))
+    fields = F.filter(F.split("value", r"\s+"), lambda w: w != "")
+    print(frequency.head_sum(lines.select("at", F.try_element_at(fields, F.lit(-2)).try_cast("long").alias("n")), args.lines, ["at"]).first()["head_sum"])
 
 
 def html_load(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -90,8 +130,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if kw is not None:
         counts = lemmas.groupBy("subset", "lemma").agg(F.count("*").alias("n"))
         save("keyword_dist", keywords.keyword_report(keywords.keyword_distribution(counts, kw)))
-        years = lemmas.where("subset = 'ALL' and date is not null").select("date", "lemma")
-        save("group_years", keywords.group_years(years, kw, args.first_year, args.last_year).withColumn("subset", F.lit("ALL")), "subset", "keyword_group")
+        years = keywords.group_years(corpus.where("date is not null"), kw, args.first_year, args.last_year)
+        save("group_years", years, "subset", "keyword_group")
+        lives = frequency.rule_lifetimes(years.select("subset", "year", F.col("keyword_group").alias("rule")))
+        joined = lambda c: F.array_join(F.transform(c, lambda y: y.cast("string")), ":").alias(c)
+        save("rule_lifetimes", lives.select("subset", "rule", joined("years"), joined("years_not")))
+    save("year_tokens", frequency.year_tokens(corpus))
 
 
 def find(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -143,9 +187,30 @@ def _whole(rows: DataFrame) -> DataFrame:
     return editions.sections(rows).join(gathered, "section_id")
 
 
+def _parsed(raw: DataFrame, tagged: DataFrame) -> DataFrame:
+    """(section_id, parsed): of each paragraph the sentences of its tokens, with their places in the raw text."""
+    keys = ["section_id", "par_n"]
+    listed = tagged.select(*keys, token_list(F.col("paragraph")).alias("t"))
+    both = raw.select(*keys, F.coalesce("paragraph", F.lit("")).alias("raw")).join(listed, keys)
+    placed = tagging.transfer_spaces(both.select(*keys, "raw", F.transform("t", lambda t: t["form"]).alias("forms"))).where("offset >= 0")
+    tokens = listed.select(*keys, F.posexplode("t").alias("tok_n", "t")).join(placed.select(*keys, "tok_n", "offset"), [*keys, "tok_n"])
+    at = lattice.split_sentences(tokens.select(F.struct(*keys).alias("par"), F.col("tok_n").alias("pos_n"), (F.col("t.form") == ".").alias("is_stop"), F.array_contains("t.interp", "brev").alias("is_brev"), "t", "offset"))
+    interp = F.struct(F.col("t.lemma").alias("base"), F.coalesce(F.get("t.interp", F.lit(0)), F.lit("")).alias("ctag"), F.array_join(F.slice("t.interp", F.lit(2), F.greatest(F.size("t.interp") - 1, F.lit(0))), ":").alias("msd"))
+    token = F.struct("pos_n", F.struct(F.col("t.form").alias("orth"), "offset", F.array(interp).alias("interps")).alias("t"))
+    gathered = lambda c, name: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["t"]).alias(name)
+    sentences = at.groupBy("par", "sent_n").agg(gathered(token, "t")).groupBy("par").agg(gathered(F.struct("sent_n", "t"), "t")).select("par.*", "t")
+    empty = F.array().cast(sentences.schema["t"].dataType)
+    every = raw.select(*keys).join(sentences, keys, "left").select(*keys, F.coalesce("t", empty).alias("t"))
+    return every.groupBy("section_id").agg(gathered(F.struct("par_n", "t"), "parsed"))
+
+
 def write_tei(spark: SparkSession, args: argparse.Namespace) -> None:
-    one = _whole(editions.paragraphs(spark, args.edition)).where("n_paragraphs > 1 or section_type = 'meta'")
-    cols = one.select("book_title", "section_n", "section_type", "document_id", "title", F.col("date").cast("string").alias("date"), "convent_location", "paragraphs")
+    rows = editions.paragraphs(spark, args.edition)
+    one = _whole(rows).where("n_paragraphs > 1 or section_type = 'meta'")
+    cols = one.select("section_id", "book_title", "section_n", "section_type", "document_id", "title", F.col("date").cast("string").alias("date"), "convent_location", "paragraphs")
+    if args.tagged:
+        documents = F.col("section_type") == "document"
+        cols = cols.join(_parsed(rows.where(documents), editions.paragraphs(spark, args.tagged).where(documents)), "section_id", "left")
     sinks.save_texts(tei.corpus_files(cols, files.config(args.config), args.corpus), args.out, "xml")
 
 
@@ -177,12 +242,15 @@ def main(argv: list[str] | None = None) -> None:
     flag = {"action": "store_true"}
     command("load", load, "config", "out", decisions={})
     command("html-load", html_load, "config", "out", strip_ruthenian=flag)
+    command("tag", tag, "edition", "out", engine={"required": True}, strip_meta=flag, leave_hyphens=flag, start_section={"type": int, "default": 0})
+    command("decline", decline, "lemmas", "out", engine={"required": True})
+    command("sumhead", sum_head, "path").add_argument("lines", type=int)
     command("run", run, "list", "out", keywords={}, ranges={}, weights={}, seed={"type": int, "default": 1}, first_year={"type": int, "default": 1572}, last_year={"type": int, "default": 1696})
     command("search", find, "list").add_argument("patterns", nargs="+")
     command("dictionary", make_dictionary, "list", "out", assume_all_correct=flag, store_lemmas=flag)
     command("correct", correct, "edition", "dictionary", "out", use_lemmas=flag)
     command("score", rate, "config", "edition")
-    command("tei", write_tei, "config", "edition", "out", corpus={"default": "corpus"})
+    command("tei", write_tei, "config", "edition", "out", corpus={"default": "corpus"}, tagged={})
     command("html", write_html, "edition", "out")
     command("ids", ids, "edition", "out")
     args = top.parse_args(argv)

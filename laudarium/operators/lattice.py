@@ -94,3 +94,18 @@ def positions(paths: list[list[int]]):
         if stop is not None:
             out.append(stop)
     return out
+
+
+def path_positions(paths: DataFrame) -> DataFrame:
+    """(sent, position_n, alternatives) of all_paths(): the position view of each sentence, a list of ways through each position.
+
+    A token that all paths have is the only way of its position.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        said = [[int(t) for t in p] for p in rows.sort_values("path_n")["path"]]
+        ways = [[x] if isinstance(x, int) else [y if isinstance(y, list) else [y] for y in x] for x in positions(said)]
+        ways = [[[w[0]]] if w and isinstance(w[0], int) else w for w in ways]
+        return pd.DataFrame({"sent": key[0], "position_n": range(len(ways)), "alternatives": ways})
+
+    return paths.select("sent", "path_n", "path").groupBy("sent").applyInPandas(run, "sent long, position_n int, alternatives array<array<int>>")

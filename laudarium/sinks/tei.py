@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-XML, XI, NKJP = "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2001/XInclude", "http://www.nkjp.pl/ns/1.0"
+TEI, XML, XI, NKJP = "http://www.tei-c.org/ns/1.0", "http://www.w3.org/XML/1998/namespace", "http://www.w3.org/2001/XInclude", "http://www.nkjp.pl/ns/1.0"
 ET.register_namespace("xi", XI)
 ET.register_namespace("nkjp", NKJP)
 _ID, _LANG = f"{{{XML}}}id", f"{{{XML}}}lang"
@@ -22,7 +22,7 @@ def _add(parent: ET.Element, tag: str, text: str | None = None, **attrs: str) ->
 
 def _shell(name: str | None = None, lang: str | None = None) -> tuple[ET.Element, ET.Element]:
     """An empty corpus and its body."""
-    corpus = ET.Element("teiCorpus")
+    corpus = ET.Element("teiCorpus", {"xmlns": TEI})
     tei = ET.SubElement(corpus, "TEI")
     ET.SubElement(tei, f"{{{XI}}}include", {"href": "header.xml"})
     text = ET.SubElement(tei, "text", ({_ID: f"{name}_text"} if name else {}) | ({_LANG: lang} if lang else {}))
@@ -32,7 +32,7 @@ def _shell(name: str | None = None, lang: str | None = None) -> tuple[ET.Element
 def header(section: dict, config: dict, corpus: str, region: str | None, note_n: int = 1) -> ET.Element:
     """config: authors by "<document id>:::<title>", default_convent_author, page_num_shift, publication_info."""
     meta = section["section_type"] == "meta"
-    out = ET.Element("teiHeader", {_ID: f"note_{note_n}" if meta else f"{corpus}-{section['document_id']}"})
+    out = ET.Element("teiHeader", {"xmlns": TEI, _ID: f"note_{note_n}" if meta else f"{corpus}-{section['document_id']}"})
     _add(_add(out, "titleStmt"), "title", f"TEI P5 encoded version of note {note_n}" if meta else f'TEI P5 encoded version of "{section["title"]}"')
     source = _add(out, "sourceDesc")
     original = _add(source, "bibl", type="original")
@@ -177,7 +177,7 @@ def _string(root: ET.Element) -> str:
 
 
 def corpus_files(sections: DataFrame, config: dict, corpus: str) -> DataFrame:
-    """(path, xml): text.xml and header.xml of each section, and ann_segmentation.xml and ann_morphosyntax.xml where it is parsed.
+    """(path, xml): text.xml and header.xml of each section, in a folder named by the header, and ann_segmentation.xml and ann_morphosyntax.xml where it is parsed.
 
     sections has book_title, section_n, section_type, document_id, title, date, convent_location, paragraphs
     (ARRAY<STRUCT<page, text>>) and, optionally, parsed: for each paragraph an array of sentences of tokens
@@ -192,8 +192,10 @@ def corpus_files(sections: DataFrame, config: dict, corpus: str) -> DataFrame:
                 section = r | {"paragraphs": [(p["page"], p["text"]) for p in r["paragraphs"] or []]}
                 if not section["paragraphs"]:
                     continue
-                folder, n = f"{corpus}/{r['section_n']}", int(r["section_n"]) + 1
-                made = {"text.xml": raw_text(section, config, note_n=n), "header.xml": header(section, config, corpus, r["convent_location"], n)}
+                n = int(r["section_n"]) + 1
+                about = header(section, config, corpus, r["convent_location"], n)
+                folder = f"{corpus.replace(' ', '_')}/{about.get(_ID)}"
+                made = {"text.xml": raw_text(section, config, note_n=n), "header.xml": about}
                 if with_parse and r["parsed"] is not None:
                     made |= {"ann_segmentation.xml": segmentation(r["parsed"]), "ann_morphosyntax.xml": morphosyntax(r["parsed"])}
                 paths += [f"{folder}/{name}" for name in made]
