@@ -16,7 +16,7 @@ from .functions.tokens import encoded, forms_text, interp_str, token_list
 from .operators import collocations, correction, decisions, frequency, keywords, lattice, loader, score, search, subsets, tagging
 from .sinks import files as sinks
 from .sinks import tei
-from .session import written
+from .session import drop_written, written
 from .sources import files, html
 
 
@@ -255,7 +255,10 @@ def main(argv: list[str] | None = None) -> None:
     command("ids", ids, "edition", "out")
     args = top.parse_args(argv)
     spark = SparkSession.builder.appName("laudarium").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    args.do(spark, args)
+    try:
+        args.do(spark, args)
+    finally:
+        drop_written(spark)
 
 
 if __name__ == "__main__":

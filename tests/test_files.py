@@ -94,11 +94,11 @@ def test_reports_and_tei(spark):
     out = {r.path: ET.fromstring(r.xml) for r in tei.corpus_files(spark.createDataFrame(rows, schema), config, "corp").collect()}
     assert sorted(out) == ["corp/corp-0/ann_morphosyntax.xml", "corp/corp-0/ann_segmentation.xml", "corp/corp-0/header.xml", "corp/corp-0/text.xml", "corp/note_2/header.xml", "corp/note_2/text.xml"]
     assert out["corp/corp-0/header.xml"].find(".//{*}author").text == "marszałek" and out["corp/corp-0/header.xml"].find(".//{*}biblScope").text == "15-16"
-    assert [pb.get("n") for pb in out["corp/corp-0/text.xml"].iter("{*}pb")] == ["15", "16"] and out["corp/note_2/text.xml"].find(".//{*}note").text == "nota"
-    segs = list(out["corp/corp-0/ann_segmentation.xml"].iter("{*}seg"))
+    assert [pb.get("n") for pb in out["corp/corp-0/text.xml"].iter(f"{{{tei.TEI}}}pb")] == ["15", "16"] and out["corp/note_2/text.xml"].find(".//{*}note").text == "nota"
+    segs = list(out["corp/corp-0/ann_segmentation.xml"].iter(f"{{{tei.TEI}}}seg"))
     assert [s.get(f"{{{tei.NKJP}}}nps") for s in segs] == [None, None, "true", None] and segs[2].get("corresp") == "text.xml#string-range(txt_1.1-ab,6,1)"
     lex = out["corp/corp-0/ann_morphosyntax.xml"].find(".//{*}f[@name='interps']")
-    assert len(lex) == 2 and len(list(lex.iter("{*}vAlt"))) == 1
+    assert len(lex) == 2 and len(list(lex.iter(f"{{{tei.TEI}}}vAlt"))) == 1
 
 
 def test_date_tuples(spark):
