@@ -29,12 +29,14 @@ def by_attribute(rows: DataFrame, attributes: Sequence[str] = INDEXED) -> DataFr
 def subset_index(found: DataFrame, date_ranges: DataFrame, attributes: Sequence[str] = INDEXED) -> DataFrame:
     """(subset, section_id): ALL, every attribute's value, and every date range that holds the section's date.
 
-    Ranges are few and meet a section by comparison of dates, so they are joined as they are; an undated
-    section is in no range.
+    Ranges meet sections by the years that they touch, and then by comparison of dates; an undated section is
+    in no range.
     """
     of_attributes = by_attribute(found, attributes).select("subset", "section_id")
-    span = ranges(date_ranges).where("start is not null and end is not null")
-    dated = found.where("date is not null").join(F.broadcast(span), (F.col("date") >= F.col("start")) & (F.col("date") < F.col("end")))  # a fixed table of reigns
+    span = ranges(date_ranges).where("start is not null and end is not null and start < end")
+    of_years = span.withColumn("_year", F.explode(F.sequence(F.year("start"), F.year("end"))))
+    near = found.where("date is not null").select("section_id", "date", F.year("date").alias("_year")).join(of_years, "_year")
+    dated = near.where((F.col("date") >= F.col("start")) & (F.col("date") < F.col("end")))
     return of_attributes.unionByName(dated.select(F.concat(F.lit("date_range__"), "start", F.lit("_"), "end").alias("subset"), "section_id"))
 
 

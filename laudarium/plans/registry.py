@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import model
+from .. import editions, model
 from ..functions import classify, dates
 from ..functions import tokens as codec
 from ..operators import collocations, correction, decisions, frequency, keywords, lattice, loader, review, score, search, subsets
-from ..session import table
+from ..session import new_path, table
 from ..sinks import files as sinks
 from .sql import SQL
 
@@ -150,6 +150,15 @@ def _islands(rows: DataFrame) -> DataFrame:
     return by.groupBy("book_title", "island_n").agg(F.max("section_id").alias("section_id"), F.count("*").alias("n_rows"))
 
 
+def _round_trip(rows: DataFrame) -> DataFrame:
+    """The edition written as an indexed CSV and read again: its sections, told apart by their numbers alone, and their paragraphs."""
+    spark = rows.sparkSession
+    path = new_path(spark, "edition")
+    sinks.indexed_csv(model.paragraphs(rows).where("section_id is not null and par_n is not null").withColumn("inbook_section_id", F.col("section_id")), path)
+    back = editions.paragraphs(spark, path)
+    return back.select("section_n", "par_n", F.col("inbook_section_id").cast("long").alias("number"), "book_title", F.col("scan_page").cast("int").alias("scan_page"), F.coalesce("paragraph", F.lit("")).alias("paragraph"), F.col("date").cast("string").alias("date"))
+
+
 def _sections(rows: DataFrame) -> DataFrame:
     return model.sections(rows).select("section_id", "book_title", "section_type", F.col("date").cast("string").alias("date"), "n_paragraphs", "text_length")
 
@@ -271,6 +280,7 @@ QUERIES: dict[str, Query] = {
     "section_pages": _on(_pages, "edition_rows"),
     "first_paragraphs": _on(_first_paragraphs, "edition_rows"),
     "section_islands": _on(_islands, "edition_rows"),
+    "indexed_round_trip": _on(_round_trip, "edition_rows"),
     "renumbered": _on(_renumbered, "edition_rows"),
     "ocr_correct": _on(lambda r: model.paragraphs(r).select("section_id", "par_n", classify.ocr_corrected(F.col("paragraph")).alias("text")).distinct(), "edition_rows"),
     "match_keys": _on(lambda r: model.paragraphs(r).select("section_id", "par_n", classify.match_key(F.col("paragraph")).alias("match_key")).distinct(), "edition_rows"),

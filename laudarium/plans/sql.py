@@ -388,6 +388,10 @@ from hits h join tokens t on t.section_id = h.section_id and t.par_n = h.par_n a
 with marked as (select book_title, row_id, section_id, case when row_number() over w = 1 or section_id is distinct from lag(section_id) over w then 1 else 0 end as new from edition_rows window w as (partition by book_title order by row_id)),
 numbered as (select *, sum(new) over (partition by book_title order by row_id rows unbounded preceding) - 1 as island_n from marked)
 select book_title, island_n::int as island_n, max(section_id) as section_id, count(*) as n_rows from numbered group by book_title, island_n""",
+    "indexed_round_trip": _PARAGRAPHS
+    + """
+select (dense_rank() over (order by section_id) - 1)::int as section_n, (row_number() over (partition by section_id order by par_n))::int as par_n, section_id as number, book_title, scan_page, coalesce(paragraph, '') as paragraph, date::varchar as date
+from paragraphs where section_id is not null and par_n is not null""",
     "renumbered": _PARAGRAPHS
     + """
 select book_title as edition, section_id as section_n, section_type, (row_number() over (partition by book_title order by section_id) - 1)::int as inbook_section_id,
@@ -424,6 +428,15 @@ select section_id, par_n, sent_n, count(*) as n_tokens from numbered group by al
     + """,
 arcs as (select section_id, par_n, tok_n from tokens where par_n is not null and tok_n is not null)
 select section_id, par_n, count(*) as arcs, count(distinct tok_n)::double as prob, max(tok_n) as last from arcs group by section_id, par_n""",
+    "split_short_lines": _PARAGRAPHS
+    + f"""
+, scans as (select distinct book_title || '#{{' || section_id || ', ' || par_n || '}}' as edition, scan_page as page_n, paragraph from paragraphs where scan_page >= 0 and paragraph is not null),
+blocks as (select edition, page_n, unnest(string_split(paragraph, chr(10) || chr(10))) as block, generate_subscripts(string_split(paragraph, chr(10) || chr(10)), 1) as block_n from scans),
+lines as (select edition, page_n, block_n, unnest(string_split(block, chr(10))) as line, generate_subscripts(string_split(block, chr(10)), 1) as line_n from blocks),
+cut_lines as (select *, coalesce(sum((length(line) < 30)::int) over (partition by edition, page_n, block_n order by line_n rows between unbounded preceding and 1 preceding), 0) as part_n from lines),
+joined as (select edition, page_n, block_n, part_n, string_agg(line, chr(10) order by line_n) as text from cut_lines group by all),
+clean as (select edition, page_n, block_n, part_n, regexp_replace({_repaired("text")}, '^[\\s\\x{{00a0}}]+|[\\s\\x{{00a0}}]+$', '', 'g') as text from joined)
+select edition, page_n, (row_number() over (partition by edition, page_n order by block_n, part_n))::int as par_n, text from clean where text <> ''""",
     "meta_fragments": _PARAGRAPHS + f"select * from (select distinct section_id, par_n, {_reason('paragraph')} as reason from paragraphs) where reason is not null",
     "segment_documents": _SEGMENTED + "select edition, section_n, section_type, page_n, section_id, par_n, text from segmented",
     "merge_short": _SEGMENTED

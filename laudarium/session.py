@@ -56,12 +56,17 @@ def drop_written(spark: SparkSession) -> None:
 def written(df: DataFrame, name: str = "part") -> DataFrame:
     """The rows of df from a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of the shared folder that nothing is written to yet; drop_written() deletes it."""
+    _made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the Python workers, once for each context.
 
