@@ -76,6 +76,20 @@ def test_neighbours_are_those_of_the_whole_corpus(documents, monkeypatch):
     assert met / (10 * len(got)) >= 0.99
 
 
+def test_the_search_copies_neither_items_nor_seeds(documents, monkeypatch):
+    """However many shards and blocks there are, an item has one row, a seed as many as are asked for, and nothing is shuffled."""
+    monkeypatch.setattr(packing, "INDEX_ITEMS", 20)
+    monkeypatch.setattr(packing, "BLOCK_SEEDS", 2)
+    monkeypatch.setattr(packing, "SEED_EVERY", 20)
+    items = packing._listed(documents(list(enumerate(_texts(4, 300)))), packing.CAPACITY, VOCABULARY)
+    own, near = packing._search(items, 300, None), packing._search(items, 300, 3)
+    assert own.count() == own.select("item").distinct().count() > 200
+    assert {r["count"] for r in near.groupBy("seed").count().collect()} == {3}
+    assert not any("Exchange" in df._jdf.queryExecution().executedPlan().toString() for df in (own, near))
+    best = near.groupBy("seed").agg({"score": "max"}).count()
+    assert best == items.where("doc_id % 20 = 0 and n_pieces = 1 and size(terms) > 0").count()
+
+
 def test_a_seed_is_packed_with_its_own_texts(documents, monkeypatch):
     monkeypatch.setattr(packing, "SEED_EVERY", 10)
     monkeypatch.setattr(packing, "INDEX_ITEMS", 16)
