@@ -43,17 +43,18 @@ SHORTEST = 2
 HYPHENS = "-­‐‑–¬="
 
 #: A word as a scanner leaves it: some marks stand for letters within a word, or at its ends.
-_WORD = r"(?:(?<!\S)!(?=\p{Ll}))?[\p{L}\p{N}\p{M}]+(?:['’!«:|](?=\p{L})[\p{L}\p{N}\p{M}]+)*(?:'(?=\s+\p{Ll})|[!«](?=[\s.,;:]|$))?"
+_WORD = r"(?:(?<!\S)[!«](?=\p{Ll}))?[\p{L}\p{N}\p{M}]+(?:['’!«:|](?=\p{L})[\p{L}\p{N}\p{M}]+)*(?:'(?=\s+\p{Ll})|[!«](?=[\s.,;:]|$))?"
 _WORDS = regex.compile(_WORD)
 _BROKEN = regex.compile(rf"({_WORD})[{regex.escape(HYPHENS)}]\s*$")
 _FIRST = regex.compile(rf"^\s*({_WORD})")
 
 _AS_LETTER = str.maketrans("0153846Λ", "OISZBAGA")
 _AS_DIGIT = str.maketrans("lIi|OoQSsBZzbgqΛ", "1111000558226994")
-_NUMBER = r"(?:str\.?\s*|s\.\s*|p\.\s*)?(?:[\[(—–-]\s*)?(?:[0-9lIiOoSsB|](?:\s?[0-9lIiOoSsB|]){0,4}|[IVXLCDMl1]+)(?:\s*[\])—–-])?\s*\.?"
+_NUMBER = r"(?:str\.?\s*|s\.\s*|p\.\s*)?(?:[\[(—–-]\s*)?(?:[0-9lIiOoSsB|](?:\s?[0-9lIiOoSsB|])*|[IVXLCDMl1]+)(?:\s*[\])—–-])?\s*\.?"
 _ALONE = regex.compile(rf"\s*({_NUMBER})\s*")
 _LEADING = regex.compile(rf"\s*({_NUMBER})\s+(.+)")
 _TRAILING = regex.compile(rf"(.+?)\s+({_NUMBER})\s*")
+_ROMAN_ENDS = regex.compile(r"^\s*+(?:str\.?|s\.|p\.)?[\s\[(—–-]*+[IVXLCDMl1]++(?!\S*[\p{L}\p{N}])|(?<![\p{L}\p{N}])[IVXLCDMl1]++[\s\])—–.-]*+$")  # the later the page, the longer
 _OF_YEAR = regex.compile(r"(\p{L}+) Z ROKU [0-9OISZBAGLQ]{4}")
 _PLACE_YEAR = regex.compile(r"(\p{L}+) [0-9OISZBAGLQ]{4}")
 _PROSE = regex.compile(r"(?:\p{Ll}{2}.*?){3}")  # a line in small letters, and so no header unless it speaks of a year
@@ -64,9 +65,9 @@ _ROMAN = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
 def page_number(said: str) -> int | None:
     """The number that a line or part of it gives, digits or Roman, read through usual misreadings."""
     core = regex.sub(r"^(?:str|s|p)\.?\s*|[\s\[\]()—–.-]", "", said)
-    if regex.search(r"\d", core) or core.translate(_AS_DIGIT).isdigit() and not regex.fullmatch(r"[IVXLCDM]+", core):
-        digits = core.translate(_AS_DIGIT)
-        return int(digits) if digits.isdigit() else None
+    digits = core.translate(_AS_DIGIT)
+    if digits.isdigit() and not regex.fullmatch(r"[IVXLCDM]+", core):
+        return int(digits) if len(digits) < 19 else None  # a page is a number of 64 bits at most
     core = core.replace("1", "I").replace("l", "I")
     if not core or any(ch not in _ROMAN for ch in core):
         return None
@@ -120,7 +121,7 @@ def line_kind(line: str, title: str | None, page: int | None) -> tuple[bool, boo
     none is known, if it stands in dashes or brackets or after str. A number beside a header always counts.
     """
     title = title or ""
-    if _PROSE.search(line) and not _YEAR_HINT.search(line) or len(line) > 80 and len(" ".join(line.split())) > 80 + 2 * len(title):  # longer than the title, a year and a number can be
+    if _PROSE.search(line) and not _YEAR_HINT.search(line) or len(line) > 80 and len(" ".join(_ROMAN_ENDS.sub(" ", line).split())) > 80 + 2 * len(title):  # longer than the title, a year and a number in digits can be
         return False, False
     if m := _ALONE.fullmatch(line):
         n = page_number(m[1])

@@ -21,6 +21,24 @@ def test_lines_of_headers_and_numbers():
     assert kind("[31]", None) == (False, True) and kind("31", None) == (False, False) and ocr.line_kind("31", None, None) == (False, False)
 
 
+def test_page_numbers_of_any_size():
+    """Books of a large table have pages beyond 100,000, and Roman numbers as long as lines."""
+    head = "AKTA SEJMIKOWE ZIEMI BZUDOSKO"
+    for page in (7, 99_999, 123_456, 1_206_758):
+        digits, roman = str(page), "C" * (page // 100) + ["", "VII", "LVI", "LVIII", "XCIX"][{0: 0, 7: 1, 56: 2, 58: 3, 99: 4}[page % 100]]
+        for said in (digits, f"— {digits} —", f"[{digits}]", " ".join(digits) + " .", digits.replace("1", "l").replace("0", "O"), roman, f"— {roman} —", roman.replace("I", "1")):
+            assert ocr.line_kind(said, BOOK, page) == (False, True), (page, said[-20:])
+            assert ocr.line_kind(said, BOOK, page - 1) == (False, True) and ocr.line_kind(said, BOOK, page + 1) == (False, False)
+            assert ocr.line_kind(f"{head}  {said}", BOOK, page) == (True, True) == ocr.line_kind(f"{said}   {head}", BOOK, page), (page, said[-20:])
+    for text in ("1" * 5000, "I" + "1" * 5000, "I " * 5000, "C" * 5000 + " uchwalono na sejmiku ziemskim", "C" * 5000 + "x", "1 " * 5000 + "x"):
+        assert ocr.line_kind(text, BOOK, 29) == (False, False), text[:9]
+
+
+def test_a_mark_for_the_first_letter_of_a_word(rows, editions):
+    got = _noise(rows, editions, CLEAN + [(109, 2, "Aucun délai, aucun autre.", -1), (1, 2, "Poseł «ucun\nwypłacił «hibernę»", 7)])
+    assert got == {(1, 2, 1, "char")}
+
+
 def test_misreadings_cost_little():
     for read, printed in (("przcd", "przed"), ("sąclem", "sądem"), ("liibernę", "hibernę"), ("posłorn", "posłom"), ("wypłac!ł", "wypłacił"), ("z:adnej", "żadnej"), ("3емлі", "землі"), ("omncs", "omnes"), ("przcdzcn", "przedzen"), ("sąclcm", "sądem"), ("iiiarn", "mam")):
         assert ocr.misreading_cost(read, printed, ocr.listed()) <= ocr.MOST
