@@ -90,6 +90,14 @@ def test_the_search_copies_neither_items_nor_seeds(documents, monkeypatch):
     assert best == items.where("doc_id % 20 = 0 and n_pieces = 1 and size(terms) > 0").count()
 
 
+def test_tables_are_read_from_folders_of_any_name(spark, tmp_path):
+    for name in ("plain", "zażółć %41 {a} b", "文 #1?"):
+        df = spark.range(0, 50, 1, 3)
+        df.write.parquet(path := (tmp_path / name).as_uri())
+        got = list(packing._stored(sorted(spark.read.parquet(path).inputFiles()), ["id"], 20))
+        assert [len(x) for x in got] == [20, 20, 10] and sorted(i for x in got for i in x["id"]) == list(range(50)), name
+
+
 def test_a_seed_is_packed_with_its_own_texts(documents, monkeypatch):
     monkeypatch.setattr(packing, "SEED_EVERY", 10)
     monkeypatch.setattr(packing, "INDEX_ITEMS", 16)
